@@ -19,7 +19,8 @@ def sample_entities(df: DataFrame, entity: str, percent: float, seed: int = 42)
     found from counts per digest prefix, then within the one prefix it falls into.
     """
     key = stripped(F.col(entity).cast("string"))
-    digests = df.select(digest(key, seed).alias("_d")).filter(F.col(entity).isNotNull()).distinct()
+    df = df.filter(F.col(entity).isNotNull())
+    digests = df.select(digest(key, seed).alias("_d")).distinct()
     digests = digests.withColumn("_p", F.substring("_d", 1, _PREFIX))
     counts = digests.groupBy("_p").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(F.lit(0)).orderBy("_p")  # at most 16 ** _PREFIX rows
