@@ -6,9 +6,10 @@ Features are computed once by the caller. Predictions always have the columns
 
 from __future__ import annotations
 
+import uuid
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -83,22 +84,28 @@ def learned(
     spark = features.sparkSession
     plan = schedule.eligible_windows(features, span, regimen, entity, ts, target).filter("predict_rows > 0")
     todo = store.pending(plan, f"{out}/done", ["window_id"]).orderBy("window_id").collect()
-    def run(window) -> None:
+    def run(window) -> tuple:
         train = _between(features, ts, window["train_start"], window["train_stop"])
         test = _between(features, ts, window["predict_start"], window["predict_stop"])
         model = forecast.fit(train, names, target, kind)
         rows = model.transform(test).withColumn("window_id", F.lit(window["window_id"]).cast("bigint"))
         path = f"{out}/predictions/part-{window['window_id']}"
         _shape(rows, entity, ts, target).write.mode("overwrite").parquet(path)
-        done = spark.createDataFrame([(window["window_id"], path)], "window_id bigint, path string")
-        done.coalesce(1).write.mode("append").parquet(f"{out}/done")
+        return window["window_id"], path
 
-    if todo:
-        with ThreadPool(min(parallelism, len(todo))) as pool:
-            pool.map(inheritable_thread_target(spark)(run), todo)
+    _run_all(spark, run, todo, parallelism, f"{out}/done", "window_id bigint, path string")
     return store.finished(spark, f"{out}/done", _empty_schema(features, entity, ts, target))
 
 
+def _run_all(spark: SparkSession, run, todo: list, parallelism: int, ledger: str, schema: str) -> None:
+    """Run the fits side by side; only this thread writes the ledger, one entry per finished fit."""
+    if not todo:
+        return
+    with ThreadPool(min(parallelism, len(todo))) as pool:
+        for entry in pool.imap_unordered(inheritable_thread_target(spark)(run), todo):
+            spark.createDataFrame([entry], schema).coalesce(1).write.mode("append").parquet(ledger)
+
+
 def _between(df: DataFrame, ts: str, start, stop) -> DataFrame:
     return df.filter((F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) < F.lit(stop).cast("timestamp_ntz")))
 
@@ -132,7 +139,7 @@ def learned_per_entity(
         plan = schedule.entity_windows(rows, regimen, entity, ts, target).filter("trained")
     todo = store.pending(plan, f"{out}/done", [entity, "window_id"]).orderBy(entity, "window_id").collect()
 
-    def run(job) -> None:
+    def run(job) -> tuple:
         own = clean.one_entity(rows, entity, job[entity])
         if cutoff is not None:
             train, test = clean.cutoff_split(own, ts, cutoff)
@@ -141,15 +148,12 @@ def learned_per_entity(
             test = _between(own, ts, job["predict_start"], job["predict_stop"])
         model = forecast.fit(train, names, target, kind)
         result = model.transform(test).withColumn("window_id", F.lit(job["window_id"]).cast("bigint"))
-        path = f"{out}/predictions/part-{todo.index(job)}-{job['window_id']}"
+        path = f"{out}/predictions/part-{uuid.uuid4().hex}"
         _shape(result, entity, ts, target).write.mode("overwrite").parquet(path)
-        done = spark.createDataFrame([(job[entity], job["window_id"], path)], done_schema)
-        done.coalesce(1).write.mode("append").parquet(f"{out}/done")
+        return job[entity], job["window_id"], path
 
     done_schema = f"{entity} {features.schema[entity].dataType.simpleString()}, window_id bigint, path string"
-    if todo:
-        with ThreadPool(min(parallelism, len(todo))) as pool:
-            pool.map(inheritable_thread_target(spark)(run), todo)
+    _run_all(spark, run, todo, parallelism, f"{out}/done", done_schema)
     return store.finished(spark, f"{out}/done", _empty_schema(features, entity, ts, target))
 
 
