@@ -106,9 +106,8 @@ def regular(
         entity, "_origin", "_bin", *[F.when(F.col(c).isNotNull(), s).alias(c) for c, s in states.items()]
     )
     body = body.withColumn("_seg", timecols.floor_div(F.col("_bin") + back, size))
-    heads = _heads(body, entity, values if fill else [], size, back)
-    if not fill:
-        heads = heads.withColumns({c: F.lit(None).cast(body.schema[c].dataType) for c in values})
+    # Both branches read the same columns, so the raw table is reduced to bins only once.
+    heads = _heads(body, entity, values, size, back)
 
     part = F.col("_seg")
     if back:  # bins shortly before a part's first own bin are also read by that part

@@ -75,17 +75,19 @@ def daily(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int =
         "variance": F.var_pop,
     }
     chosen = {v: f for v, f in both.items() if v in views}
-    stats = placed.groupBy(entity, "_day").agg(
-        F.min("_hour").alias("_min"), F.max("_hour").alias("_max"),
-        *[F.struct(*[f(c).alias(c) for c in SERIES]).alias(v) for v, f in chosen.items()],
-    )
     wants_busy = "busy_hour" in views or "busy_avg" in views
+    stats = None
+    if chosen or not wants_busy:
+        stats = placed.groupBy(entity, "_day").agg(
+            F.count("*").alias("_n"), *[F.struct(*[f(c).alias(c) for c in SERIES]).alias(v) for v, f in chosen.items()]
+        )
     if wants_busy:
         hours = placed.groupBy(entity, "_day", "_hour").agg(*[F.avg(c).alias(c) for c in SERIES])
         hours = hours.groupBy(entity, "_day").agg(
-            F.collect_list(F.struct(F.col("_hour").alias("hour"), *SERIES)).alias("_hours")
-        )
-        stats = stats.join(hours, [entity, "_day"])
+            F.collect_list(F.struct(F.col("_hour").alias("hour"), *SERIES)).alias("_hours"),
+            F.min("_hour").alias("_min"), F.max("_hour").alias("_max"),
+        )
+        stats = hours if stats is None else stats.join(hours, [entity, "_day"])
     w = Window.partitionBy(entity).orderBy("_day")
     stats = stats.withColumns({"_next": F.lead("_day").over(w), "_nr": F.row_number().over(w)})
     until = F.coalesce(F.date_sub("_next", 1), F.col("_day"))

@@ -78,10 +78,13 @@ def learned(
 ) -> DataFrame:
     """One model over all entities per window. Runs jobs; results land in ``out`` window by window.
 
+    The features are written once, by day, and a window reads only the days it covers.
+
     Finished windows are listed in a ledger and skipped when the call is repeated, so a lost driver costs only
     the windows that were under way. Ineligible windows are passed over and the schedule goes on.
     """
     spark = features.sparkSession
+    features = store.write_by_day(features, ts, f"{out}/features")
     plan = schedule.eligible_windows(features, span, regimen, entity, ts, target).filter("predict_rows > 0")
     todo = store.pending(plan, f"{out}/done", ["window_id"]).orderBy("window_id").collect()
     def run(window) -> tuple:
@@ -107,6 +110,8 @@ def _run_all(spark: SparkSession, run, todo: list, parallelism: int, ledger: str
 
 
 def _between(df: DataFrame, ts: str, start, stop) -> DataFrame:
+    if store.DAY in df.columns:
+        df = df.filter(F.col(store.DAY).between(F.lit(start.date()), F.lit(stop.date())))
     return df.filter((F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) < F.lit(stop).cast("timestamp_ntz")))
 
 
@@ -128,7 +133,7 @@ def learned_per_entity(
     """
     spark = features.sparkSession
     chosen = scores.top_entities(features, entity, top).select(entity)
-    rows = features.join(F.broadcast(chosen), entity, "left_semi")
+    rows = store.write_by_day(features.join(F.broadcast(chosen), entity, "left_semi"), ts, f"{out}/features")
     if cutoff is not None:
         before, _ = clean.cutoff_split(rows, ts, cutoff)
         usable = scores.valid_targets_strict(rows, entity, target).filter("valid").join(

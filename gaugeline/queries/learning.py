@@ -52,7 +52,7 @@ def _(spark, d):
 @query("m10_m13_backtest_forest")
 def _(spark, d):
     kind = models.model_kind("RF", FAST["RF"])
-    return backtest.learned(_features(spark, d), span(spark, d), LONG, ENTITY, TS, TARGET, NAMES, kind, scratch_dir(spark, "backtest"))
+    return backtest.learned(feature_table(spark, d, NAMES), span(spark, d), LONG, ENTITY, TS, TARGET, NAMES, kind, scratch_dir(spark, "backtest"))
 
 
 @query("m11_forest_per_entity")
@@ -60,7 +60,7 @@ def _(spark, d):
     kind = models.model_kind("RF", {"rf__n_estimators": 10, "rf__max_depth": 6})
     names = ["weekday", "hour", "hist_1D"]
     return backtest.learned_per_entity(
-        _features(spark, d, names), Regimen("21D", "3D", min_train=300), ENTITY, TS, TARGET, names, kind, scratch_dir(spark, "per-entity"), top=5
+        feature_table(spark, d, names), Regimen("21D", "3D", min_train=300), ENTITY, TS, TARGET, names, kind, scratch_dir(spark, "per-entity"), top=5
     )
 
 
@@ -69,7 +69,7 @@ def _(spark, d):
     kind = models.model_kind("RF", {"rf__n_estimators": 10, "rf__max_depth": 6})
     names = ["month", "day", "weekday", "hour", "minute"]
     return backtest.learned_per_entity(
-        _features(spark, d, names), PER_ENTITY, ENTITY, TS, TARGET, names, kind, scratch_dir(spark, "cutoff"), top=5, cutoff="2024-01-20 00:00:00"
+        feature_table(spark, d, names), PER_ENTITY, ENTITY, TS, TARGET, names, kind, scratch_dir(spark, "cutoff"), top=5, cutoff="2024-01-20 00:00:00"
     )
 
 

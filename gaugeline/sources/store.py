@@ -7,6 +7,8 @@ running it again.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,29 @@ def finished(spark: SparkSession, ledger_path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).parquet(*sorted(paths))
 
 
+DAY = "_day"
+
+
+def write_by_day(df: DataFrame, ts: str, out: str) -> DataFrame:
+    """``df`` written once below ``out``, one folder per day, and read back with the day as column ``_day``.
+
+    A later call with the same ``out`` reads what the first one finished. Rows are split by ranges of (day, time),
+    so a heavy day becomes several files.
+    """
+    spark = df.sparkSession
+    done = read_or_none(spark, f"{out}/written")
+    if done is None:
+        path = f"{out}/rows-{uuid.uuid4().hex}"
+        slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.withColumn(DAY, F.to_date(ts)).repartitionByRange(slots, DAY, ts)
+        rows.write.partitionBy(DAY).parquet(path)
+        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("append").parquet(f"{out}/written")
+        done = read_or_none(spark, f"{out}/written")
+    path = done.agg(F.min("path")).first()[0]
+    schema = T.StructType([*df.schema.fields, T.StructField(DAY, T.DateType())])
+    return spark.read.schema(schema).parquet(path)
+
+
 LEDGER = "variation string, overall_error double"
 
 
