@@ -16,7 +16,7 @@ from gaugeline.operators import sampling, schedule, scores, text, views  # noqa:
 from gaugeline.operators.schedule import Regimen  # noqa: E402
 from gaugeline.plans import backtest  # noqa: E402
 from gaugeline.queries import QUERIES  # noqa: E402
-from gaugeline.session import RECOMMENDED  # noqa: E402
+from gaugeline.session import RECOMMENDED, materialize  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -43,8 +43,8 @@ def events(spark):
 
 
 def user_predictions(spark):
-    rows = feat.transform(events(spark), "user_id", "ts", "value", ["weekday", "hour", "hist_1D"], "1h")
-    return backtest.naive(rows, schedule.time_range(events(spark), "ts"), WEEK, "user_id", "ts", "value")
+    rows = materialize(feat.transform(events(spark), "user_id", "ts", "value", ["weekday", "hour", "hist_1D"], "1h"))
+    return backtest.naive(rows, schedule.measured_range(events(spark), "ts"), WEEK, "user_id", "ts", "value")
 
 
 def documents(spark):
@@ -52,14 +52,14 @@ def documents(spark):
 
 
 def user_group_means(spark):
-    rows = feat.transform(events(spark), "user_id", "ts", "value", ["weekday", "hour"], "1h")
-    return backtest.group_mean(rows, schedule.time_range(events(spark), "ts"), WEEK, "user_id", "ts", "value", keys=["hour"], per_entity=True)
+    rows = materialize(feat.transform(events(spark), "user_id", "ts", "value", ["weekday", "hour"], "1h"))
+    return backtest.group_mean(rows, schedule.measured_range(events(spark), "ts"), WEEK, "user_id", "ts", "value", keys=["hour"], per_entity=True)
 
 
 CASES = {
     "c10_features_15min": lambda s: feat.transform(events(s), "user_id", "ts", "value", STANDARD, "15min"),
     "c10_features_1h": lambda s: feat.transform(events(s), "user_id", "ts", "value", ["weekday", "hour", "hist_1D", "hist_1D_4H"], "1h"),
-    "d13_view_bundle": lambda s: views.build(user_predictions(s)),
+    "d13_view_bundle": lambda s: views.build(materialize(user_predictions(s))),
     "d4_overall_error": lambda s: scores.overall_error(scores.entity_errors(user_predictions(s))),
     "m13_backtest_naive": user_predictions,
     "m16_group_mean": user_group_means,

@@ -44,6 +44,14 @@ def time_range(df: DataFrame, ts: str) -> DataFrame:
     return df.agg(F.min(ts).alias("range_start"), F.max(ts).alias("range_end"))
 
 
+def measured_range(df: DataFrame, ts: str) -> DataFrame:
+    """The same one row with its values fixed by one job now. Everything derived from it then holds literals
+    instead of subqueries, which keeps the plans of long flows small."""
+    row = time_range(df, ts).first()
+    start, end = (f"TIMESTAMP_NTZ'{v}'" if v is not None else "CAST(NULL AS TIMESTAMP_NTZ)" for v in row)
+    return df.sparkSession.sql(f"SELECT {start} AS range_start, {end} AS range_end")
+
+
 def windows(span: DataFrame, regimen: Regimen) -> DataFrame:
     """Shared schedule from a one-row ``(range_start, range_end)``: starts at the raw first sample, goes on while
     the training interval ends within the range. A shorter range gives no window."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.operators.lookup import attach
+from gaugeline.session import fill_slots
 
 # Characters that separate words besides white space, and clitics cut off a word's end.
 SEPARATORS = r"[\s,;:@#$%&?!\"()\[\]{}<>]+|--+"
@@ -13,17 +14,28 @@ CLITICS = r"('s|'m|'d|'ll|'re|'ve|n't)$"
 EDGE_PUNCTUATION = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
+WORD = r"^\p{L}+$"
+
+
+def _term(token: Column) -> Column:
+    """The word in a token, cut free of clitics and edge punctuation; most tokens are words already."""
+    cut = F.regexp_replace(F.regexp_replace(token, CLITICS, ""), EDGE_PUNCTUATION, "")
+    return F.when(token.rlike(WORD), token).otherwise(cut)
+
+
 def words(text: str | Column) -> Column:
     """Lower-case alphabetic words of a text; tokens with digits or inner punctuation are not words."""
     text = F.col(text) if isinstance(text, str) else text
-    tokens = F.split(F.lower(text), SEPARATORS)
-    cut = F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, CLITICS, ""), EDGE_PUNCTUATION, ""))
-    return F.filter(cut, lambda t: t.rlike(r"^\p{L}+$"))
+    return F.filter(F.transform(F.split(F.lower(text), SEPARATORS), _term), lambda t: t.rlike(WORD))
 
 
 def term_counts(docs: DataFrame, key: str, text: str, lemmas: DataFrame | None = None) -> DataFrame:
     """``(key, term, tf)``. ``lemmas`` is an optional ``(term, lemma)`` table; other words stay as they are."""
-    tokens = docs.select(key, F.explode(words(text)).alias("term"))
+    # Same words as above, but token by token in rows: array functions are interpreted, rows are compiled.
+    docs = docs.select(key, text)
+    docs = docs if docs.isStreaming else fill_slots(docs)
+    tokens = docs.select(key, F.explode(F.split(F.lower(F.col(text)), SEPARATORS)).alias("_token"))
+    tokens = tokens.select(key, _term(F.col("_token")).alias("term")).filter(F.col("term").rlike(WORD))
     if lemmas is None:
         return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
     # Counted per word first, so the dictionary meets each word of a document once.
@@ -35,7 +47,8 @@ def term_counts(docs: DataFrame, key: str, text: str, lemmas: DataFrame | None =
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count("*").alias("df"))
+    # Reads tf although every row has one: the shuffled counts then serve this and the weights alike.
+    return counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def tf_idf(docs: DataFrame, key: str, text: str, lemmas: DataFrame | None = None) -> DataFrame:

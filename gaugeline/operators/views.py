@@ -28,47 +28,56 @@ def forward_average(hourly: DataFrame, column: str, name: str, entity: str = "en
     return hourly.withColumn(name, F.avg(column).over(w))
 
 
-def _scores(series: str, period: int) -> Column:
-    """Forward averages of one day as an array of (hour, score), hours ``_from.._to``."""
+def _best(series: str, mode: str) -> Column:
+    """The best (score, hour) of a day, from ``_scores``: forward averages by start hour, ``_from.._to``.
 
-    def score(h):
-        inside = F.filter("_hours", lambda x: x["hour"].between(h, h + (period - 1)) & x[series].isNotNull())
-        total = F.aggregate(inside, F.lit(0.0), lambda acc, x: acc + x[series])
-        return F.struct(h.alias("hour"), F.try_divide(total, F.size(inside)).alias("score"))
-
-    return F.transform(F.sequence("_from", "_to"), score)
-
-
-def _best(scores: Column, mode: str) -> Column:
-    """The best (hour, score) of a day.
-
-    ``argmax``: highest score, earliest hour on ties, null scores ignored. ``reference``: running comparison in
+    ``argmax``: highest score, earliest hour on ties, unknown scores ignored. ``reference``: running comparison in
     which a best score of zero is replaced by whatever follows and a leading unknown score stays.
     """
     if mode == "argmax":
-        ranked = F.transform(
-            F.filter(scores, lambda s: s["score"].isNotNull()),
-            lambda s: F.struct(s["score"].alias("score"), (-s["hour"]).alias("back")),
-        )
-        top = F.array_max(ranked)
-        return F.struct((-top["back"]).alias("hour"), top["score"].alias("score"))
+        known = F.filter("_scores", lambda s: s[series].isNotNull() & (s["start"] >= F.col("_from")))
+        return F.array_max(F.transform(known, lambda s: F.struct(s[series].alias("score"), (-s["start"]).alias("back"))))
     if mode == "reference":
+
+        def score(h):
+            here = F.filter("_scores", lambda s: s["start"] == h)
+            return F.struct(F.get(here, 0)[series].alias("score"), (-h).alias("back"))
+
         return F.aggregate(
-            scores,
-            F.lit(None).cast("struct<hour:int,score:double>"),
+            F.transform(F.sequence("_from", "_to"), score),
+            F.lit(None).cast("struct<score:double,back:int>"),
             lambda acc, x: F.when(acc.isNull() | (acc["score"] == 0) | (x["score"] > acc["score"]), x).otherwise(acc),
         )
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def _day_scores(placed: DataFrame, entity: str, period: int) -> DataFrame:
+    """Per (entity, day) the forward averages of all start hours that reach a known hour, at most 24.
+
+    Every hour counts for itself and the ``period - 1`` start hours before it, also where those hours are empty.
+    """
+    hours = placed.groupBy(entity, "_day", "_hour").agg(*[F.avg(c).alias(c) for c in SERIES])
+    starts = F.sequence(F.greatest(F.col("_hour") - (period - 1), F.lit(0)), F.col("_hour"))
+    scores = hours.withColumn("start", F.explode(starts)).groupBy(entity, "_day", "start").agg(
+        F.min("_hour").alias("_hour"), *[F.avg(c).alias(c) for c in SERIES]
+    )
+    return scores.groupBy(entity, "_day").agg(
+        F.collect_list(F.struct("start", *SERIES)).alias("_scores"), F.min("_hour").alias("_min"), F.max("start").alias("_max")
+    )
+
+
+def _by_day(pred: DataFrame, entity: str, ts: str) -> DataFrame:
+    rows = pred.select(entity, ts, F.to_date(ts).alias("_day"), *SERIES)
+    return rows.filter(F.col(entity).isNotNull() & F.col("_day").isNotNull()).repartition(entity, "_day")
+
+
 def daily(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int = 95, busy: int = 4, mode: str = "argmax",
           views=ALL_VIEWS) -> DataFrame:
     """One wide row per (entity, day), days without data included; a struct (predict, actual) per view.
 
     Predictions are shuffled once, by (entity, day); both the day and the hour aggregates read that shuffle.
     """
-    placed = pred.select(entity, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour"), *SERIES)
-    placed = placed.repartition(entity, "_day")
+    placed = _by_day(pred, entity, ts)
     both = {
         "percentile": lambda c: F.percentile(c, F.lit(pctile / 100)),
         "std": F.stddev_pop,
@@ -79,15 +88,13 @@ def daily(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int =
     stats = None
     if chosen or not wants_busy:
         stats = placed.groupBy(entity, "_day").agg(
-            F.count("*").alias("_n"), *[F.struct(*[f(c).alias(c) for c in SERIES]).alias(v) for v, f in chosen.items()]
+            F.max(ts).alias("_seen"), *[F.struct(*[f(c).alias(c) for c in SERIES]).alias(v) for v, f in chosen.items()]
         )
     if wants_busy:
-        hours = placed.groupBy(entity, "_day", "_hour").agg(*[F.avg(c).alias(c) for c in SERIES])
-        hours = hours.groupBy(entity, "_day").agg(
-            F.collect_list(F.struct(F.col("_hour").alias("hour"), *SERIES)).alias("_hours"),
-            F.min("_hour").alias("_min"), F.max("_hour").alias("_max"),
-        )
+        hours = _day_scores(placed.withColumn("_hour", F.hour(ts)), entity, busy)
         stats = hours if stats is None else stats.join(hours, [entity, "_day"])
+    if "_seen" in stats.columns:  # keeps the shuffled columns equal in all branches, so there is one shuffle
+        stats = stats.withColumn("_day", F.to_date("_seen"))
     w = Window.partitionBy(entity).orderBy("_day")
     stats = stats.withColumns({"_next": F.lead("_day").over(w), "_nr": F.row_number().over(w)})
     until = F.coalesce(F.date_sub("_next", 1), F.col("_day"))
@@ -96,15 +103,15 @@ def daily(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int =
     days = days.withColumns({v: F.when(own, F.col(v)) for v in chosen})
     if wants_busy:
         first, last = own & (F.col("_nr") == 1), F.col("_next").isNull()
-        empty = F.array().cast(days.schema["_hours"].dataType)
+        none = F.array().cast(days.schema["_scores"].dataType)
         days = days.withColumns({
-            "_hours": F.when(own, F.col("_hours")).otherwise(empty),
+            "_scores": F.when(own, F.col("_scores")).otherwise(none),
             "_from": F.when(first, F.col("_min")).otherwise(0),
             "_to": F.when(last, F.col("_max")).otherwise(23),
         })
-        days = days.withColumns({f"_{c}": _best(_scores(c, busy), mode) for c in SERIES})
+        days = days.withColumns({f"_{c}": _best(c, mode) for c in SERIES})
         days = days.withColumns({
-            "busy_hour": F.struct(*[F.col(f"_{c}")["hour"].cast("double").alias(c) for c in SERIES]),
+            "busy_hour": F.struct(*[(-F.col(f"_{c}")["back"]).cast("double").alias(c) for c in SERIES]),
             "busy_avg": F.struct(*[F.col(f"_{c}")["score"].alias(c) for c in SERIES]),
         })
     kept = [v for v in ALL_VIEWS if v in views and v != "original"]
@@ -126,7 +133,8 @@ def build(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int =
     parts = []
     by_day = [v for v in ALL_VIEWS if v in views and v != "original"]
     if "original" in views:
-        parts.append(pred.select(entity, F.lit("original").alias("view"), ts, *SERIES))
+        rows = _by_day(pred, entity, ts) if by_day else pred  # with daily views, read their shuffle
+        parts.append(rows.select(entity, F.lit("original").alias("view"), ts, *SERIES))
     if by_day:
         wide = daily(pred, entity, ts, pctile, busy, mode, by_day)
         rows = F.explode(

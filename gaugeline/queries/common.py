@@ -18,7 +18,7 @@ def feature_table(spark, d, names=("weekday", "hour", "hist_1D"), step="1h", **k
 
 
 def span(spark, d):
-    return schedule.time_range(events(spark, d), TS)
+    return schedule.measured_range(events(spark, d), TS)
 
 
 def naive_predictions(spark, d):

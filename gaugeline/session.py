@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a cluster session should carry; none of them is required for right results.
 RECOMMENDED = {
@@ -35,7 +35,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/gaugeline/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df, label: str = "cut"):
+def fill_slots(df: DataFrame) -> DataFrame:
+    """Spread a table read from fewer splits than there are task slots, before per-row work that is expensive.
+
+    A table with enough splits, which is any large one, is returned as it is and not shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
