@@ -133,7 +133,7 @@ def learned_per_entity(
     """
     spark = features.sparkSession
     chosen = scores.top_entities(features, entity, top).select(entity)
-    rows = store.write_by_day(features.join(F.broadcast(chosen), entity, "left_semi"), ts, f"{out}/features")
+    rows = store.write_by_entity(features.join(F.broadcast(chosen), entity, "left_semi"), entity, ts, f"{out}/features")
     if cutoff is not None:
         before, _ = clean.cutoff_split(rows, ts, cutoff)
         usable = scores.valid_targets_strict(rows, entity, target).filter("valid").join(
@@ -145,7 +145,7 @@ def learned_per_entity(
     todo = store.pending(plan, f"{out}/done", [entity, "window_id"]).orderBy(entity, "window_id").collect()
 
     def run(job) -> tuple:
-        own = clean.one_entity(rows, entity, job[entity])
+        own = clean.one_entity(rows, store.OWNER, str(job[entity]))
         if cutoff is not None:
             train, test = clean.cutoff_split(own, ts, cutoff)
         else:

@@ -157,7 +157,7 @@ def _(spark, d):
 @query("a10_read_records", _STORED.replace("THEN 1000", "THEN 0"))
 def _(spark, d):
     path = scratch_dir(spark, "records")
-    store.records(naive_predictions(spark, d), CONFIG, record_days=10).write.json(path)
+    store.records(naive_predictions(spark, d), CONFIG).write.partitionBy("period").json(path)
     return _flat(store.read_predictions(spark, path))
 
 

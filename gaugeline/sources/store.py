@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.functions import timecols
-from gaugeline.functions.durations import DAY_US
 from gaugeline.operators import clean
 
 PERIOD = "period"
@@ -50,26 +49,31 @@ def finished(spark: SparkSession, ledger_path: str, schema: T.StructType) -> Dat
 
 
 DAY = "_day"
+OWNER = "_owner"
 
 
 def write_by_day(df: DataFrame, ts: str, out: str) -> DataFrame:
-    """``df`` written once below ``out``, one folder per day, and read back with the day as column ``_day``.
+    """``df`` written once below ``out``, one folder per day, read back with the day as column ``_day``."""
+    return _write_once(df.withColumn(DAY, F.to_date(ts)), DAY, ts, out)
 
-    A later call with the same ``out`` reads what the first one finished. Rows are split by ranges of (day, time),
-    so a heavy day becomes several files.
-    """
+
+def write_by_entity(df: DataFrame, entity: str, ts: str, out: str) -> DataFrame:
+    """The same with one folder per entity (column ``_owner``), for a table of a few entities."""
+    return _write_once(df.withColumn(OWNER, F.col(entity).cast("string")), OWNER, ts, out)
+
+
+def _write_once(df: DataFrame, by: str, ts: str, out: str) -> DataFrame:
+    """A later call with the same ``out`` reads what the first one finished. Rows are split by ranges of the folder
+    column and time, so a heavy folder holds several files."""
     spark = df.sparkSession
     done = read_or_none(spark, f"{out}/written")
     if done is None:
         path = f"{out}/rows-{uuid.uuid4().hex}"
         slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = df.withColumn(DAY, F.to_date(ts)).repartitionByRange(slots, DAY, ts)
-        rows.write.partitionBy(DAY).parquet(path)
+        df.repartitionByRange(slots, by, ts).write.partitionBy(by).parquet(path)
         spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("append").parquet(f"{out}/written")
         done = read_or_none(spark, f"{out}/written")
-    path = done.agg(F.min("path")).first()[0]
-    schema = T.StructType([*df.schema.fields, T.StructField(DAY, T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(done.agg(F.min("path")).first()[0])
 
 
 LEDGER = "variation string, overall_error double"
@@ -147,23 +151,23 @@ def merged_view(stored: DataFrame, new: DataFrame, entity: str, ts: str, order:
 # --- prediction records -----------------------------------------------------------------------------------
 
 
-def records(pred: DataFrame, config: dict, entity: str = "entity", ts: str = "ts", record_days: int = 31) -> DataFrame:
-    """One JSON-ready record per entity and stretch of ``record_days`` days.
+def records(pred: DataFrame, config: dict, entity: str = "entity", ts: str = "ts") -> DataFrame:
+    """One JSON-ready record per entity and month (``period``).
 
     ``data`` is a JSON object text from epoch milliseconds to ``{entity column, predict, target}``. An entity's
     records together are its whole series; a single one stays small however long the series gets.
     """
     target, entity_name = config["target"], config.get("entity_column", "VM_ID")
-    us = timecols.to_micros(ts)
     row = F.struct(
         F.col(entity).cast("string").alias(entity_name), F.col("predict").alias("predict"), F.col("actual").alias(target)
     )
+    ms = F.call_function("div", timecols.to_micros(ts), F.lit(1000).cast("bigint"))
     rows = pred.select(
         F.col(entity).cast("string").alias("entity"),
-        timecols.floor_div(us, record_days * DAY_US).alias("stretch"),
-        F.struct(F.call_function("div", us, F.lit(1000).cast("bigint")).alias("ms"), row.alias("row")).alias("item"),
+        F.date_format(ts, "yyyy-MM").alias(PERIOD),
+        F.struct(ms.alias("ms"), row.alias("row")).alias("item"),
     )
-    packed = rows.groupBy("entity", "stretch").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    packed = rows.groupBy("entity", PERIOD).agg(F.array_sort(F.collect_list("item")).alias("items"))
     entries = F.transform("items", lambda i: F.struct(i["ms"].cast("string").alias("key"), i["row"].alias("value")))
     data = F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"})
     return packed.select(
@@ -174,13 +178,13 @@ def records(pred: DataFrame, config: dict, entity: str = "entity", ts: str = "ts
         F.lit(config["train_days"]).cast("int").alias("train_days"),
         F.lit(config["predict_days"]).cast("int").alias("predict_days"),
         data.alias("data"),
-        "stretch",
+        PERIOD,
     )
 
 
 RECORD = (
     "entity string, features array<string>, target string, interval string, train_days int, predict_days int, "
-    "data string, stretch bigint"
+    "data string, period string"
 )
 
 
@@ -192,10 +196,11 @@ def write_predictions(pred: DataFrame, path: str, config: dict, entity: str = "e
     rows = rows.withColumn("_us", timecols.to_micros("ts"))
     rows = rows.withColumn("ts", timecols.from_micros(timecols.floor_div(F.col("_us"), 1000) * 1000))
     rows = clean.first_wins(rows, ["entity", "ts"], ["_us", "predict", "actual"]).drop("_us")
-    stored = read_or_none(spark, path, "json", pathGlobFilter="*.json")
-    if stored is not None:
-        rows = rows.join(read_predictions(spark, path).select("entity", "ts"), ["entity", "ts"], "left_anti")
-    records(rows, config).write.mode("append").json(path)
+    if read_or_none(spark, path, "json", pathGlobFilter="*.json") is not None:
+        touched = [r[0] for r in rows.select(F.date_format("ts", "yyyy-MM")).distinct().collect()]  # months, a short list
+        stored = flatten(spark.read.schema(RECORD).json(path).filter(F.col(PERIOD).isin(touched)))
+        rows = rows.join(stored.select("entity", "ts"), ["entity", "ts"], "left_anti")
+    records(rows, config).write.mode("append").partitionBy(PERIOD).json(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -205,7 +210,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def flatten(stored: DataFrame) -> DataFrame:
     items = F.explode(F.from_json("data", "map<string,map<string,string>>"))
-    rows = stored.select(*[c for c in stored.columns if c not in ("data", "stretch")], items.alias("ms", "row"))
+    rows = stored.select(*[c for c in stored.columns if c not in ("data", PERIOD)], items.alias("ms", "row"))
     value = F.col("row")
     return rows.select(
         "entity", "features", "target", "interval", "train_days", "predict_days",
