@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.session import materialize
 
-PIVOTS = 3
+SMALL, BLOCK = 16, 512
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -46,41 +48,69 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Confirmed links ``(a, b)`` that connect all nodes which any chain of links within shared buckets connects.
+def bucket_components(
+    members: DataFrame, signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], least_alike: int
+) -> DataFrame:
+    """``(node, root)`` of the components of all links between nodes that share a bucket; nodes without a link are left out.
 
-    ``members(bucket, node)`` holds each node once per bucket it is in. ``prepare`` gets the nodes that share a bucket with
-    another and returns a function that takes pairs ``(a, b)`` and returns those that are links. A first round compares every node of a bucket with up to three pivots of it, which settles
-    buckets of up to two nodes and, as the pivots differ between buckets, nearly all large groups of copies. Buckets that
-    then still hold nodes of several components go on: node by node of a fixed order becomes a pivot for those behind it,
-    each round with twice as many pivots, until every pair that lies in two components was compared or the bucket is one
-    component. So the links are complete, while pairs inside a component are not made. Runs jobs.
+    ``members(bucket, node)`` holds each node once per bucket it is in, ``signatures(node, signature)`` a binary of one byte
+    per MinHash coordinate. ``prepare`` gets the nodes that share a bucket with another and returns a function that takes
+    pairs ``(a, b)`` and returns those that are links.
+
+    First, every node of a bucket is compared with up to three pivots of it. That settles buckets of up to three nodes, and
+    as the pivots differ between buckets, nearly all of a large group of copies becomes one component. What is left are
+    buckets with nodes of several components; there each pair that lies in two components is looked at. Up to ``SMALL`` nodes,
+    such pairs are confirmed at once. Larger buckets are dealt out in blocks, so that no task holds more than two blocks,
+    and a pair of them goes on if at least ``least_alike`` coordinates agree. Pairs inside a component are never made.
+    Runs jobs.
     """
-    rank = F.xxhash64("node", "bucket")
-    keyed = members.select("bucket", "node").withColumn("rank", rank)
-    picks = [F.min(F.when(F.pmod("rank", F.lit(PIVOTS)) == i, F.struct("rank", "node"))).alias(f"p{i}") for i in range(PIVOTS)]
+    keyed = members.withColumn("rank", F.xxhash64("node", "bucket"))
+    ranked = F.struct("rank", "node")
+    picks = [F.min(ranked).alias("p0"), F.max(ranked).alias("p1"), F.min(F.struct(F.hash("rank").alias("rank"), "node")).alias("p2")]
     tops = keyed.groupBy("bucket").agg(F.count("*").alias("size"), *picks).where("size > 1")
     # Written first, so that both sides of the join are plain shuffles, which adaptive execution splits for a hot bucket.
-    tops = materialize(tops.select("bucket", F.array_compact(F.array(*(f"p{i}.node" for i in range(PIVOTS)))).alias("pivots")), "pivots")
-    shared = materialize(keyed.join(tops, "bucket"), "buckets")
+    tops = materialize(tops.select("bucket", "size", F.array_distinct(F.array("p0.node", "p1.node", "p2.node")).alias("pivots")), "pivots")
+    shared = materialize(members.join(tops, "bucket"), "buckets")
     confirm = prepare(shared.select("node").distinct())
     found = materialize(confirm(_pairs(shared.select(F.explode("pivots").alias("a"), F.col("node").alias("b")))), "found")
-    done, width = 0, 2 * PIVOTS
-    while True:
-        roots = components(found)
-        rest = shared.select("bucket", "node", "rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # A bucket is open while it holds two components; each node's place in it is fixed by its rank.
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
-        mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("size") > 2 if done == 0 else F.col("size") > done + 1))
-        rest = materialize(rest.join(mixed.select("bucket"), "bucket"), "open")
-        if rest.isEmpty():
-            return found
-        placed = rest.withColumn("place", F.expr("row_number() over (partition by bucket order by rank, node)"))
-        heads = placed.where(f"place > {done} and place <= {done + width}").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("place").alias("pa"))
-        pairs = placed.join(heads, "bucket").where("place > pa and root != ra").select("a", F.col("node").alias("b"))
-        more = materialize(confirm(_pairs(pairs)), "found")
-        found = materialize(found.union(more).distinct(), "found")
-        done, width = done + width, 2 * width
+    roots = materialize(components(found), "roots")
+    rest = shared.where("size > 3").select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = materialize(rest, "rooted")
+    mixed = materialize(rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket"), "mixed")
+    rest = materialize(rest.join(mixed, "bucket"), "open")
+    small = rest.where(f"size <= {SMALL}")
+    other = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
+    near = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(other, "bucket").where("a < b and ra != rb").select("a", "b")
+    large = rest.where(f"size > {SMALL}").join(signatures, "node")
+    large = large.withColumn("n", F.ceil(F.col("size") / F.lit(BLOCK))).withColumn("mine", F.pmod(F.xxhash64("node"), "n"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    large = large.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "signature")
+    far = large.groupBy("bucket", "i", "j").applyInPandas(_alike(least_alike), "a long, b long")
+    more = materialize(confirm(_pairs(near.union(far))), "found")
+    if more.isEmpty():
+        return roots
+    # Links between the roots of what is known already; the others keep theirs.
+    hung = more.select("a", "b").union(roots.toDF("a", "b").where("a != b"))
+    return materialize(components(hung), "roots")
+
+
+def _alike(least: int):
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        node, root, mine = rows["node"].to_numpy(), rows["root"].to_numpy(), rows["mine"].to_numpy()
+        marks = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
+        kinds, counts = np.unique(root, return_counts=True)
+        minor = np.flatnonzero(root != kinds[counts.argmax()])  # of two nodes in different components, one is here
+        out = []
+        for u in minor.tolist():
+            ok = ((marks == marks[u]).sum(1) >= least) & (root != root[u])
+            if key[1] != key[2]:
+                ok &= mine != mine[u]
+            out.append((np.full(int(ok.sum()), node[u]), node[ok]))
+        if not out:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
+
+    return run
 
 
 def _pairs(df: DataFrame) -> DataFrame:
