@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEEP = 700_000
-# Fixed value: the splitting pattern of this vocabulary; the second form is the same for ASCII texts.
+# Fixed value: the splitting pattern of this vocabulary; the other forms are the same for ASCII and Latin-1 texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PATTERN_ASCII = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+PATTERN_LATIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼-¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"""
+
+
+def is_latin(text: str) -> bool:
+    """Whether all signs are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def byte_signs() -> dict[str, int]:
@@ -64,7 +75,7 @@ class Encoder:
         self.longest = max(map(len, self.tokens))
         self.usable = {t: i for t, i in self.ids.items() if self._merge(t) == [i]}
         self.known: dict[str, bytes] = {}
-        self.splitter, self.splitter_ascii = regex.compile(PATTERN), re.compile(PATTERN_ASCII, re.ASCII)
+        self.splitter, self.splitter_ascii, self.splitter_latin = regex.compile(PATTERN), re.compile(PATTERN_ASCII, re.ASCII), re.compile(PATTERN_LATIN)
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _merge(self, word: bytes) -> list[int]:
@@ -131,10 +142,11 @@ class Encoder:
                 token, size = last[at]
                 ids.append(token)
                 at -= size
-            self.known[name] = np.array(ids[::-1], "<u4").tobytes()
+            ids.reverse()
+            self.known[name] = pack(f"<{len(ids)}I", *ids)
 
     def split(self, text: str) -> list[str]:
-        return (self.splitter_ascii if text.isascii() else self.splitter).findall(text)
+        return (self.splitter_ascii if text.isascii() else self.splitter_latin if is_latin(text) else self.splitter).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian 32-bit numbers. Texts of special tokens stand for these, as in the library."""

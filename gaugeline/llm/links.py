@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.session import materialize
 
-SMALL, BLOCK = 16, 512
+SMALL, BLOCK = 16, 1024
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,30 +48,25 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def bucket_components(
-    members: DataFrame, signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], least_alike: int
-) -> DataFrame:
+def bucket_components(members: DataFrame, prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame]], percent: int) -> DataFrame:
     """``(node, root)`` of the components of all links between nodes that share a bucket; nodes without a link are left out.
 
-    ``members(bucket, node)`` holds each node once per bucket it is in, ``signatures(node, signature)`` a binary of one byte
-    per MinHash coordinate. ``prepare`` gets the nodes that share a bucket with another and returns a function that takes
-    pairs ``(a, b)`` and returns those that are links.
+    ``members(bucket, node)`` holds each node once per bucket it is in. ``prepare`` gets the nodes that share a bucket with
+    another and returns a function that takes pairs ``(a, b)`` and returns those that are links, and the sets ``(node, n, items)``.
 
-    First, every node of a bucket is compared with up to three pivots of it. That settles buckets of up to three nodes, and
-    as the pivots differ between buckets, nearly all of a large group of copies becomes one component. What is left are
-    buckets with nodes of several components; there each pair that lies in two components is looked at. Up to ``SMALL`` nodes,
-    such pairs are confirmed at once. Larger buckets are dealt out in blocks, so that no task holds more than two blocks,
-    and a pair of them goes on if at least ``least_alike`` coordinates agree. Pairs inside a component are never made.
-    Runs jobs.
+    First, every node of a bucket is compared with two pivots of it. That settles buckets of up to three nodes, and as the
+    pivots differ between buckets, nearly all of a large group of copies becomes one component. What is left are buckets with
+    nodes of several components; only pairs that lie in two components matter there. Up to ``SMALL`` nodes, such pairs are
+    confirmed at once. Larger buckets that share nodes are one family, and the sets of a family's nodes outside its largest
+    component are compared with those of all its nodes: in blocks, so that no task holds more than two blocks, and without
+    making pairs; a block returns a link per node and component found. Runs jobs.
     """
-    keyed = members.withColumn("rank", F.xxhash64("node", "bucket"))
-    ranked = F.struct("rank", "node")
-    picks = [F.min(ranked).alias("p0"), F.max(ranked).alias("p1"), F.min(F.struct(F.hash("rank").alias("rank"), "node")).alias("p2")]
-    tops = keyed.groupBy("bucket").agg(F.count("*").alias("size"), *picks).where("size > 1")
+    ranked = F.struct(F.xxhash64("node", "bucket").alias("rank"), "node")
+    tops = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(ranked).alias("p0"), F.max(ranked).alias("p1")).where("size > 1")
     # Written first, so that both sides of the join are plain shuffles, which adaptive execution splits for a hot bucket.
-    tops = materialize(tops.select("bucket", "size", F.array_distinct(F.array("p0.node", "p1.node", "p2.node")).alias("pivots")), "pivots")
+    tops = materialize(tops.select("bucket", "size", F.array("p0.node", "p1.node").alias("pivots")), "pivots")
     shared = materialize(members.join(tops, "bucket"), "buckets")
-    confirm = prepare(shared.select("node").distinct())
+    confirm, sets = prepare(shared.select("node").distinct())
     found = materialize(confirm(_pairs(shared.select(F.explode("pivots").alias("a"), F.col("node").alias("b")))), "found")
     roots = materialize(components(found), "roots")
     rest = shared.where("size > 3").select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -81,34 +76,49 @@ def bucket_components(
     small = rest.where(f"size <= {SMALL}")
     other = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
     near = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(other, "bucket").where("a < b and ra != rb").select("a", "b")
-    large = rest.where(f"size > {SMALL}").join(signatures, "node")
-    large = large.withColumn("n", F.ceil(F.col("size") / F.lit(BLOCK))).withColumn("mine", F.pmod(F.xxhash64("node"), "n"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    large = large.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "signature")
-    far = large.groupBy("bucket", "i", "j").applyInPandas(_alike(least_alike), "a long, b long")
-    more = materialize(confirm(_pairs(near.union(far))), "found")
+    more = materialize(confirm(_pairs(near)).union(_across(rest.where(f"size > {SMALL}"), sets, percent)), "found")
     if more.isEmpty():
         return roots
     # Links between the roots of what is known already; the others keep theirs.
-    hung = more.select("a", "b").union(roots.toDF("a", "b").where("a != b"))
-    return materialize(components(hung), "roots")
-
-
-def _alike(least: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        node, root, mine = rows["node"].to_numpy(), rows["root"].to_numpy(), rows["mine"].to_numpy()
-        marks = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
-        kinds, counts = np.unique(root, return_counts=True)
-        minor = np.flatnonzero(root != kinds[counts.argmax()])  # of two nodes in different components, one is here
+    return materialize(components(more.union(roots.toDF("a", "b").where("a != b"))), "roots")
+
+
+def _across(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each family of large buckets."""
+    hubs = large.groupBy("bucket").agg(F.min("node").alias("hub"))
+    family = components(large.join(hubs, "bucket").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    nodes = materialize(large.select("node", "root").distinct().join(family.select("node", F.col("root").alias("family")), "node"), "family")
+    parts = nodes.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family")
+    tops = parts.agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"))
+    tops = materialize(tops.where("minor > 0").select("family", "top", F.ceil(F.col("n") / BLOCK).alias("all"), F.ceil(F.col("minor") / BLOCK).alias("minors")), "families")
+    rows = nodes.join(tops, "family").join(sets, "node")
+    spread = F.xxhash64("node")
+    asks = rows.where("root != top").withColumn("i", F.pmod(spread, "minors")).withColumn("j", F.explode(F.expr("sequence(0L, all - 1)")))
+    there = rows.withColumn("j", F.pmod(spread, "all")).withColumn("i", F.explode(F.expr("sequence(0L, minors - 1)")))
+    names = ["family", "i", "j", "node", "root", "items"]
+    both = asks.select(*names, F.lit(True).alias("asks")).union(there.select(*names, F.lit(False).alias("asks")))
+    return both.groupBy("family", "i", "j").applyInPandas(_alike(percent), "a long, b long")
+
+
+def _alike(percent: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        asks, there = rows[rows["asks"]], rows[~rows["asks"]]
         out = []
-        for u in minor.tolist():
-            ok = ((marks == marks[u]).sum(1) >= least) & (root != root[u])
-            if key[1] != key[2]:
-                ok &= mine != mine[u]
-            out.append((np.full(int(ok.sum()), node[u]), node[ok]))
-        if not out:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
+        if len(asks) and len(there):
+            node, root, size = there["node"].to_numpy(), there["root"].to_numpy(), there["items"].map(len).to_numpy()
+            # An index from each item to the sets that hold it.
+            item, of = np.concatenate(there["items"].tolist()), np.repeat(np.arange(len(there)), size)
+            order = np.argsort(item, kind="stable")
+            item, of = item[order], of[order]
+            for u, r, own in zip(asks["node"], asks["root"], asks["items"]):
+                low, high = np.searchsorted(item, own), np.searchsorted(item, own, side="right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                common = np.bincount(of[at], minlength=len(there))
+                hit = np.flatnonzero((100 * common >= percent * (size + len(own) - common)) & (root != r))
+                _, one = np.unique(root[hit], return_index=True)
+                out += [(u, int(node[i])) for i in hit[one]]
+        return pd.DataFrame({"a": np.array([a for a, _ in out], np.int64), "b": np.array([b for _, b in out], np.int64)})
 
     return run
 

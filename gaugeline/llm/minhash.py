@@ -46,7 +46,7 @@ def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _digests(words: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            sizes, fa, fb, keys, marks = [], [], [], [], []
+            sizes, fa, fb, keys = [], [], [], []
             for block in B.blocks(batch.column("text")):
                 hashes, first = B.word_hashes(block)
                 for i in range(len(block)):
@@ -54,12 +54,10 @@ def _digests(words: int, bands: int, rows: int):
                     sizes.append(len(s))
                     fa.append(int(B.mix(s + B.U(len(s))).sum(dtype=B.U).astype(np.int64)) if len(s) else 0)
                     fb.append(int(B.mix(s ^ B.U(0xA5A5A5A5A5A5A5A5)).sum(dtype=B.U).astype(np.int64)) if len(s) else 0)
-                    low = signature(s, bands * rows)
-                    keys.append(band_keys(low, bands, rows).view(np.int64) if len(s) else None)
-                    marks.append(low.astype(np.uint8).tobytes() if len(s) else None)
+                    keys.append(band_keys(signature(s, bands * rows), bands, rows).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                ["doc", "n_shingles", "fa", "fb", "buckets", "signature"],
+                [batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc", "n_shingles", "fa", "fb", "buckets"],
             )
 
     return run
@@ -95,12 +93,12 @@ def near_duplicates(
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
-    shape = f"doc {kind}, n_shingles long, fa long, fb long, buckets array<long>, signature binary"
+    shape = f"doc {kind}, n_shingles long, fa long, fb long, buckets array<long>"
     digests = materialize(texts.mapInArrow(_digests(words, bands, rows), shape), "minhash")
     full = digests.where("n_shingles > 0")
     # One class per distinct set; (fa, fb) is its 128-bit digest and fa alone names the node.
     classes = materialize(
-        full.groupBy("fa", "fb").agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature")), "classes"
+        full.groupBy("fa", "fb").agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("buckets").alias("buckets")), "classes"
     )
     members = classes.select(F.explode("buckets").alias("bucket"), F.col("fa").alias("node"))
     sizes = classes.select(F.col("fa").alias("node"), "n", "doc", "fb")
@@ -121,12 +119,9 @@ def near_duplicates(
             common = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).alias("c"))
             return common.where(f"100 * c >= {percent} * (na + nb - c)").select("a", "b")
 
-        return confirm
+        return confirm, sets
 
-    # Two sets at the limit agree in percent / 100 of the coordinates, with a deviation of about 0.032 at 160 coordinates;
-    # 0.18 under the limit is more than five deviations.
-    least = int((percent / 100 - 0.18) * bands * rows)
-    roots = links.bucket_components(members, classes.select(F.col("fa").alias("node"), "signature"), prepare, least)
+    roots = links.bucket_components(members, prepare, percent)
     named = classes.select("fa", "fb", "doc", "copies").join(roots.withColumnRenamed("node", "fa"), "fa", "left").withColumn("root", F.coalesce("root", "fa"))
     heads = named.groupBy("root").agg(F.min("doc").alias("component_id"), F.sum("copies").alias("members"))
     # Only classes with more than one text have to be looked up; the rest name themselves.

@@ -10,6 +10,7 @@ the end of a shard becomes sequences whose lengths are powers of two, which need
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.bpe import is_latin
 from gaugeline.session import materialize
 
 WINDOW, SHARD = 4096, 1 << 20
@@ -28,9 +30,10 @@ QUERY_TERMS, NEIGHBOURS = 24, 48  # terms of a seed that are looked up, neighbou
 K1, SLOPE = 1.2, 0.75
 END_OF_DOCUMENT = 2
 KEEP = 700_000
-# Fixed value: the splitting pattern of this vocabulary; the second form is the same for lower-case ASCII texts.
+# Fixed value: the splitting pattern of this vocabulary; the other forms are the same for ASCII and Latin-1 texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PATTERN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+"
+PATTERN_LATIN = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+"
 
 
 class Words:
@@ -43,12 +46,14 @@ class Words:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.splitter, self.splitter_ascii = regex.compile(PATTERN), re.compile(PATTERN_ASCII, re.ASCII)
+        self.splitter, self.splitter_ascii, self.splitter_latin = regex.compile(PATTERN), re.compile(PATTERN_ASCII, re.ASCII), re.compile(PATTERN_LATIN)
         self.known: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
             return self.splitter_ascii.findall(text.lower())
+        if is_latin(text):  # always in normal form
+            return self.splitter_latin.findall(text.lower())
         # The library lower-cases sign by sign, so a capital sigma never becomes a final one.
         return self.splitter.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
@@ -72,7 +77,8 @@ class Words:
             if new:
                 new = list(new)
                 for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[w] = np.array(e.ids, "<u2").tobytes()
+                    ids = e.ids
+                    self.known[w] = struct.pack(f"<{len(ids)}H", *ids)
             for i, p in enumerate(some, part):
                 if out[i] is None:
                     out[i] = b"".join(map(self.known.__getitem__, p))
