@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 from gaugeline.functions import timecols
 from gaugeline.functions.durations import canonical
 
-# Longest key list sent along as a literal / as a broadcast table.
-INLINE_KEYS = 200
-BROADCAST_KEYS = 100_000
+# Text that is a number once thousands commas are gone; other spellings a cast would take (12d, 0x1p3) are none.
+NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))$"
 
 
 # --- names and values -------------------------------------------------------------------------------------
@@ -30,7 +29,7 @@ def squeeze_names(df: DataFrame) -> DataFrame:
 
 def stripped(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def trim_strings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -43,7 +42,8 @@ def trim_strings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def number(c: str | Column) -> Column:
     """Text with thousands commas as DOUBLE, null when it is not a number."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.replace(stripped(c.cast("string")), F.lit(","), F.lit("")).try_cast("double")
+    plain = F.replace(stripped(c.cast("string")), F.lit(","), F.lit(""))
+    return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
 
 
 def to_numbers(df: DataFrame, columns: list[str], mode: str = "null_bad") -> DataFrame:
@@ -60,7 +60,9 @@ def to_numbers(df: DataFrame, columns: list[str], mode: str = "null_bad") -> Dat
         present = [c for c in present if bad[c] == 0]
     parsed = {c: number(c) for c in present}
     if mode == "strict":
-        parsed = {c: F.replace(stripped(c), F.lit(","), F.lit("")).cast("double") for c in present}
+        # A cast that fails names the value.
+        bad = {c: F.concat(F.lit("not a number: "), F.col(_q(c)).cast("string")).cast("double") for c in present}
+        parsed = {c: F.when(number(c).isNotNull() | F.col(_q(c)).isNull(), number(c)).otherwise(bad[c]) for c in present}
     return df.withColumns(parsed)
 
 
@@ -90,16 +92,15 @@ def parse_time(df: DataFrame, text: str, ts: str = "ts", pattern: str | None = N
 
 
 def keep_entities(df: DataFrame, entity: str, wanted) -> DataFrame:
-    """Rows of the wanted entities: a list (inlined or broadcast by its length) or a one-column table."""
+    """Rows of the wanted entities: a list or a one-column table.
+
+    Listed keys are read as the column's type; keys that cannot be, and null, match nothing.
+    """
     if isinstance(wanted, DataFrame):
         return df.join(wanted.select(F.col(wanted.columns[0]).alias(entity)), entity, "left_semi").select(df.columns)
-    wanted = list(dict.fromkeys(wanted))
-    if len(wanted) <= INLINE_KEYS:
-        return df.filter(F.col(entity).isin(wanted))
-    schema = T.StructType([T.StructField(entity, df.schema[entity].dataType)])
-    table = df.sparkSession.createDataFrame([(w,) for w in wanted], schema)
-    if len(wanted) <= BROADCAST_KEYS:
-        table = F.broadcast(table)
+    keys = dict.fromkeys(str(w) for w in wanted if w is not None)
+    table = df.sparkSession.createDataFrame([(k,) for k in keys], "k string")
+    table = table.select(F.col("k").try_cast(df.schema[entity].dataType).alias(entity)).distinct()
     return df.join(table, entity, "left_semi").select(df.columns)
 
 
@@ -136,11 +137,11 @@ def first_entities(df: DataFrame, entity: str, n: int | None = None) -> DataFram
 
 
 def cap_entities(df: DataFrame, entity: str, n: int | None) -> DataFrame:
-    """Only the rows of the first ``n`` entities; the list is broadcast only when ``n`` bounds it."""
+    """Only the rows of the first ``n`` entities; the planner chooses how the list is joined."""
     if n is None:
         return df
     chosen = first_entities(df, entity, n)
-    return df.join(F.broadcast(chosen) if n <= BROADCAST_KEYS else chosen, entity, "left_semi").select(df.columns)
+    return df.join(chosen, entity, "left_semi").select(df.columns)
 
 
 def conform(df: DataFrame, contract: T.StructType) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeline.functions import durations, timecols
 from gaugeline.operators import clean
@@ -77,6 +78,8 @@ def transform(
         raise ValueError(f"columns not in the input: {missing}")
     df = df.select(*dict.fromkeys([entity, ts, target, *raw, *order]))
     history = [f for f in wanted if f.kind == "history"]
+    flags = [f.name for f in df.schema.fields if f.name in raw and isinstance(f.dataType, T.BooleanType)]
+    df = df.withColumns({c: F.col(c).cast("int").cast("double") for c in flags})  # averaged as 0 and 1
     if step is None:
         made = clean.nan_to_null(df)
         for f in history:
@@ -90,7 +93,10 @@ def transform(
             fill=fill, history=history, target=target, part_rows=part_rows,
         )
     made = add_calendar(made, ts, [f.name for f in wanted if f.kind == "calendar"])
-    kept = [f.name for f in wanted if f.name in made.columns]
+    kept = [f.name for f in wanted]
+    missing = [c for c in kept if c not in made.columns]
+    if missing:
+        raise ValueError(f"features that cannot be made from this table: {missing}")
     if drop:
         made = drop_incomplete(made, kept)
     return made.select(*dict.fromkeys([entity, ts, *kept, target]))

@@ -14,22 +14,24 @@ SPREAD = 4096
 def attach(left: DataFrame, table: DataFrame, on: str, weight: str, spread_on: list[str]) -> DataFrame:
     """Left join ``table`` (unique in ``on``) onto ``left``; ``weight`` = rows of ``left`` per key.
 
-    Hot keys are looked up in a broadcast of bounded size. All other keys go through an ordinary join; rows
-    that already found their hot key are spread over it by a salt which matches nothing.
+    Hot keys are looked up in a broadcast of bounded size. All other keys go through an ordinary join; rows that already
+    found their hot key, and rows with a null key, are spread over it by a salt which matches nothing. Key and salt are
+    one struct: as two columns the optimizer would turn the constant salt of the table into a filter and shuffle by the key
+    alone. A frequent key that ``table`` does not hold is not salted; adaptive execution splits it in a batch join.
     """
     values = [c for c in table.columns if c not in (on, weight)]
     total = table.agg(F.sum(weight)).scalar()
     ranked = table.withColumn("_hot", F.col(weight) >= F.lit(HOT_SHARE) * total)
     pack = F.struct(*values).alias("_found")
     hot = ranked.filter("_hot").select(on, pack.alias("_hot_found"))
-    cold = ranked.filter("NOT _hot").select(on, F.lit(0).alias("_salt"), pack.alias("_cold_found"))
-    salt = F.when(F.col("_hot_found").isNull(), 0).otherwise(
+    cold = ranked.filter("NOT _hot").select(F.struct(F.col(on).alias("k"), F.lit(0).alias("s")).alias("_key"), pack.alias("_cold_found"))
+    salt = F.when(F.col("_hot_found").isNull() & F.col(on).isNotNull(), 0).otherwise(
         1 + F.pmod(F.xxhash64(*spread_on), F.lit(SPREAD)).cast("int")
     )
     return (
         left.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", salt)
-        .join(cold, [on, "_salt"], "left")
+        .withColumn("_key", F.struct(F.col(on).alias("k"), salt.alias("s")))
+        .join(cold, "_key", "left")
         .withColumn("_found", F.coalesce("_hot_found", "_cold_found"))
         .select(*left.columns, *[F.col("_found")[c].alias(c) for c in values])
     )

@@ -32,12 +32,13 @@ class ExtraTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSe
     numTrees = Param(Params._dummy(), "numTrees", "number of trees", TypeConverters.toInt)
     numCuts = Param(Params._dummy(), "numCuts", "random split points per feature and tree", TypeConverters.toInt)
     maxDepth = Param(Params._dummy(), "maxDepth", "depth of each tree", TypeConverters.toInt)
+    minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "least rows on either side of a split", TypeConverters.toInt)
     parallelism = Param(Params._dummy(), "parallelism", "trees fitted at the same time", TypeConverters.toInt)
 
-    def __init__(self, numTrees=20, numCuts=24, maxDepth=10, parallelism=4, seed=42):
+    def __init__(self, numTrees=20, numCuts=24, maxDepth=10, parallelism=4, seed=42, minInstancesPerNode=1):
         super().__init__()
         self._setDefault(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION)
-        self._set(numTrees=numTrees, numCuts=numCuts, maxDepth=maxDepth, parallelism=parallelism, seed=seed)
+        self._set(numTrees=numTrees, numCuts=numCuts, maxDepth=maxDepth, parallelism=parallelism, seed=seed, minInstancesPerNode=minInstancesPerNode)
 
     def _fit(self, df: DataFrame) -> "ExtraTreesModel":
         values, label = vector_to_array(self.getFeaturesCol()), self.getLabelCol()
@@ -61,6 +62,7 @@ class ExtraTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSe
                     DecisionTreeRegressor(
                         featuresCol="_binned", labelCol=label, predictionCol=f"_tree{nr}", seed=self.getSeed() + nr,
                         maxDepth=self.getOrDefault(self.maxDepth), maxBins=self.getOrDefault(self.numCuts) + 2,
+                        minInstancesPerNode=self.getOrDefault(self.minInstancesPerNode),
                     ),
                 ]).fit(wide)
 

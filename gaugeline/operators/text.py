@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.operators.lookup import attach
-from gaugeline.session import fill_slots
 
 # Characters that separate words besides white space, and clitics cut off a word's end.
 SEPARATORS = r"[\s,;:@#$%&?!\"()\[\]{}<>]+|--+"
@@ -33,7 +32,6 @@ def term_counts(docs: DataFrame, key: str, text: str, lemmas: DataFrame | None =
     """``(key, term, tf)``. ``lemmas`` is an optional ``(term, lemma)`` table; other words stay as they are."""
     # Same words as above, but token by token in rows: array functions are interpreted, rows are compiled.
     docs = docs.select(key, text)
-    docs = docs if docs.isStreaming else fill_slots(docs)
     tokens = docs.select(key, F.explode(F.split(F.lower(F.col(text)), SEPARATORS)).alias("_token"))
     tokens = tokens.select(key, _term(F.col("_token")).alias("term")).filter(F.col("term").rlike(WORD))
     if lemmas is None:

@@ -186,13 +186,11 @@ def _(spark, d):
     return rounded(store.ledger(spark, path))
 
 
-_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 def _per_type(spark, d):
     base = scratch_dir(spark, "runs")
-    paths = [f"{base}/{t}" for t in _TYPES]
-    for t, path in zip(_TYPES, paths):
+    types = [r[0] for r in events(spark, d).select(ENTITY).distinct().orderBy(ENTITY).collect()]  # one file each
+    paths = [f"{base}/{t}" for t in types]
+    for t, path in zip(types, paths):
         files.write_csv(events(spark, d).filter(F.col(ENTITY) == t).select("event_id", TARGET), path)
     return paths
 

@@ -18,13 +18,15 @@ RECOMMENDED = {
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, or a fresh one where none is named."""
+    """Folder every executor can reach: the one the cluster names. Only a local session without one gets a fresh folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="gaugeline-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -35,15 +37,6 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/gaugeline/{label}-{uuid.uuid4().hex}"
 
 
-def fill_slots(df: DataFrame) -> DataFrame:
-    """Spread a table read from fewer splits than there are task slots, before per-row work that is expensive.
-
-    A table with enough splits, which is any large one, is returned as it is and not shuffled.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -17,18 +17,18 @@ METRICS = [
     "cpu_usage", "cpu_usagemhz", "mem_active", "mem_consumed", "mem_granted", "mem_usage",
     "net_received", "net_transmitted", "net_usage",
 ]
-IDENTIFIERS = ["DATETIMEUTC", "DATEUTC", "GLOBAL_CUSTOMER_ID", "SUBSCRIBER_NAME", "VM_ID"]
 
 SOURCE = "source"
 
 
-def read_csv(spark: SparkSession, paths, sep: str = ",", schema: T.StructType | str | None = None, infer: bool = False):
+def read_csv(spark: SparkSession, paths, sep: str = ",", schema: T.StructType | str | None = None, infer: bool = False, line_breaks: bool = False):
     """Delimited files of one layout with a header row; ``.gz`` is read as such.
 
-    Columns are text unless a schema is given or ``infer`` asks for a pass over the data. A gzip file is one
-    task whatever its size: repartition after reading a few large ones.
+    Columns are text unless a schema is given or ``infer`` asks for a pass over the data. A quote inside a quoted value is
+    doubled. ``line_breaks`` reads quoted values that hold line breaks; then, as with gzip, a file is one task whatever its
+    size: repartition after reading a few large ones.
     """
-    reader = spark.read.option("header", True).option("sep", sep)
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", line_breaks)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
     return reader.csv(paths)
 
@@ -94,7 +94,7 @@ def read_labelled(spark: SparkSession, paths) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header and rows; a path that ends in ``.gz`` is compressed. Timestamps keep their microseconds."""
-    writer = df.write.mode(mode).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    writer = df.write.mode(mode).option("header", True).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if path.rstrip("/").endswith(".gz"):
         writer = writer.option("compression", "gzip")
     writer.csv(path)

@@ -16,14 +16,16 @@ from pyspark.sql import types as T
 
 from gaugeline.functions import timecols
 from gaugeline.operators import clean
+from gaugeline.session import materialize
 
 PERIOD = "period"
 
 
-def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame | None:
-    """The table at ``path``, or None where nothing has been written yet."""
+def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame | None:
+    """The table at ``path``, or None where nothing has been written yet. With a schema, no file is read to find one."""
+    reader = spark.read.format(fmt)
     try:
-        return spark.read.format(fmt).options(**options).load(path)
+        return (reader if schema is None else reader.schema(schema)).load(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -129,11 +131,14 @@ def merge(new: DataFrame, path: str, entity: str, ts: str, order: list[str], ski
     rows = rows.withColumn(PERIOD, F.date_format(ts, "yyyy-MM"))
     stored = read_or_none(spark, path)
     if stored is not None and skip_existing:
-        rows = rows.join(stored.select(entity).distinct(), entity, "left_anti").select(rows.columns)
+        there = stored.select(F.col(entity).alias("_e")).distinct()
+        rows = rows.join(there, rows[entity].eqNullSafe(F.col("_e")), "left_anti")
     elif stored is not None:
-        touched = [r[0] for r in new.select(F.date_format(ts, "yyyy-MM")).distinct().collect()]  # months, a short list
-        keys = stored.filter(F.col(PERIOD).cast("string").isin(touched)).select(entity, ts)
-        rows = rows.join(keys, [entity, ts], "left_anti").select(rows.columns)
+        rows = materialize(rows, "merge")  # so that the months below do not compute the delivery once more
+        touched = [r[0] for r in rows.select(PERIOD).distinct().collect()]  # months, a short list
+        keys = stored.filter(F.col(PERIOD).cast("string").isin(touched)).select(F.col(entity).alias("_e"), F.col(ts).alias("_t"))
+        # A null entity is an entity like others, here as in the de-duplication above.
+        rows = rows.join(keys, rows[entity].eqNullSafe(F.col("_e")) & (rows[ts] == F.col("_t")), "left_anti")
     # Hash by (entity, day) keeps files few and a dense entity spread.
     rows.repartition(PERIOD, entity, F.to_date(ts)).write.mode("append").partitionBy(PERIOD).parquet(path)
 
@@ -167,6 +172,7 @@ def records(pred: DataFrame, config: dict, entity: str = "entity", ts: str = "ts
         F.date_format(ts, "yyyy-MM").alias(PERIOD),
         F.struct(ms.alias("ms"), row.alias("row")).alias("item"),
     )
+    rows = clean.first_wins(rows.withColumn("_ms", F.col("item.ms")), ["entity", PERIOD, "_ms"], ["item"])  # a moment once
     packed = rows.groupBy("entity", PERIOD).agg(F.array_sort(F.collect_list("item")).alias("items"))
     entries = F.transform("items", lambda i: F.struct(i["ms"].cast("string").alias("key"), i["row"].alias("value")))
     data = F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"})
@@ -196,10 +202,12 @@ def write_predictions(pred: DataFrame, path: str, config: dict, entity: str = "e
     rows = rows.withColumn("_us", timecols.to_micros("ts"))
     rows = rows.withColumn("ts", timecols.from_micros(timecols.floor_div(F.col("_us"), 1000) * 1000))
     rows = clean.first_wins(rows, ["entity", "ts"], ["_us", "predict", "actual"]).drop("_us")
-    if read_or_none(spark, path, "json", pathGlobFilter="*.json") is not None:
+    if read_or_none(spark, path, "json", RECORD) is not None:
+        rows = materialize(rows, "predictions")
         touched = [r[0] for r in rows.select(F.date_format("ts", "yyyy-MM")).distinct().collect()]  # months, a short list
         stored = flatten(spark.read.schema(RECORD).json(path).filter(F.col(PERIOD).isin(touched)))
-        rows = rows.join(stored.select("entity", "ts"), ["entity", "ts"], "left_anti")
+        stored = stored.select(F.col("entity").alias("_e"), F.col("ts").alias("_t"))
+        rows = rows.join(stored, rows["entity"].eqNullSafe(F.col("_e")) & (rows["ts"] == F.col("_t")), "left_anti")
     records(rows, config).write.mode("append").partitionBy(PERIOD).json(path)
 
 
