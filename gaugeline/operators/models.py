@@ -35,7 +35,7 @@ class ExtraTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSe
     minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "least rows on either side of a split", TypeConverters.toInt)
     parallelism = Param(Params._dummy(), "parallelism", "trees fitted at the same time", TypeConverters.toInt)
 
-    def __init__(self, numTrees=20, numCuts=24, maxDepth=10, parallelism=4, seed=42, minInstancesPerNode=1):
+    def __init__(self, numTrees=20, numCuts=24, maxDepth=30, parallelism=4, seed=42, minInstancesPerNode=1):
         super().__init__()
         self._setDefault(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION)
         self._set(numTrees=numTrees, numCuts=numCuts, maxDepth=maxDepth, parallelism=parallelism, seed=seed, minInstancesPerNode=minInstancesPerNode)
@@ -97,7 +97,7 @@ class ExtraTreesModel(Model):
         return cls([PipelineModel.load(f"{path}/tree-{nr}") for nr in range(count)], FEATURES, PREDICTION)
 
 
-def _forest(numTrees=20, maxDepth=10, minInstancesPerNode=1, maxBins=64, seed=42) -> Estimator:
+def _forest(numTrees=20, maxDepth=30, minInstancesPerNode=1, maxBins=64, seed=42) -> Estimator:
     return RandomForestRegressor(
         featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, numTrees=numTrees, maxDepth=maxDepth,
         minInstancesPerNode=minInstancesPerNode, maxBins=maxBins, featureSubsetStrategy="all", seed=seed,
@@ -162,7 +162,3 @@ def model_kind(name: str, settings: dict[str, int | str] | None = None) -> Model
 def seasonal_naive(features: DataFrame, history: str = "hist_1D") -> DataFrame:
     """Predict the value one season ago."""
     return features.withColumn("predict", F.col(history))
-
-
-def group_means(train: DataFrame, target: str, keys: list[str]) -> DataFrame:
-    return train.groupBy(*keys).agg(F.avg(target).alias("predict"))

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from gaugeline.functions import timecols
 from gaugeline.functions.durations import micros
 from gaugeline.operators.lookup import attach
-from gaugeline.operators.scores import has_two_values
 
 
 @dataclass(frozen=True)
@@ -106,18 +105,27 @@ def spread_over_windows(slots: DataFrame, regimen: Regimen) -> DataFrame:
 def window_statistics(features: DataFrame, span: DataFrame, regimen: Regimen, entity: str, ts: str, target: str) -> DataFrame:
     """Per window: bounds, train rows and entities, first and last train row, predict rows, and eligibility
     (enough train rows over all entities, at least two target values)."""
+    return _statistics(features, span, regimen, [entity], ts, target)
+
+
+def eligible_windows(features, span, regimen: Regimen, ts: str, target: str) -> DataFrame:
+    """The eligible windows with the same statistics but the entities: only one sum per slot is spread, however many entities there are."""
+    return _statistics(features, span, regimen, [], ts, target).drop("entities").filter("eligible")
+
+
+def _statistics(features: DataFrame, span: DataFrame, regimen: Regimen, groups: list[str], ts: str, target: str) -> DataFrame:
     start = range_start_us(span)
-    rows = features.select(entity, ts, target).withColumn("_slot", slot_of(ts, start, regimen))
+    rows = features.select(*groups, ts, target).withColumn("_slot", slot_of(ts, start, regimen))
     rows = rows.withColumn("_pw", predict_window(ts, start, regimen))
-    small = rows.filter("_slot >= 0").groupBy(entity, "_slot", "_pw").agg(
+    small = rows.filter("_slot >= 0").groupBy(*groups, "_slot", "_pw").agg(
         F.count("*").alias("n"), F.min(target).alias("lo"), F.max(target).alias("hi"),
         F.min(ts).alias("first"), F.max(ts).alias("last"),
     )
-    per_entity = spread_over_windows(small, regimen).groupBy("window_id", entity).agg(
+    per_group = spread_over_windows(small, regimen).groupBy("window_id", *groups).agg(
         F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.min("first").alias("first"), F.max("last").alias("last"),
     )
-    train = per_entity.groupBy("window_id").agg(
+    train = per_group.groupBy("window_id").agg(
         F.sum("n").alias("train_rows"), F.count("*").alias("entities"),
         F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)).alias("valid_target"),
         F.min("first").alias("first_row"), F.max("last").alias("last_row"),
@@ -128,10 +136,6 @@ def window_statistics(features: DataFrame, span: DataFrame, regimen: Regimen, en
     return table.withColumn("eligible", (F.col("train_rows") >= regimen.min_train) & F.col("valid_target"))
 
 
-def eligible_windows(features, span, regimen: Regimen, entity: str, ts: str, target: str) -> DataFrame:
-    return window_statistics(features, span, regimen, entity, ts, target).filter("eligible")
-
-
 def assign_predict(features: DataFrame, span: DataFrame, regimen: Regimen, ts: str) -> DataFrame:
     """Rows that fall into a predict interval of the schedule, with its ``window_id``."""
     end = span.select(timecols.to_micros("range_end")).scalar()
@@ -233,8 +237,3 @@ def assign_predict_per_entity(features: DataFrame, regimen: Regimen, entity: str
         own = F.explode(F.when(edge, F.array(own - 1, own)).otherwise(F.array(own)))
     placed = placed.withColumn("window_id", own).filter("window_id >= 0").drop("_s")
     return placed.join(plan, [entity, "window_id"], "left_semi").select("window_id", *features.columns)
-
-
-def valid_series(features: DataFrame, entity: str, target: str) -> DataFrame:
-    """Entities worth modelling at all: at least two target values."""
-    return features.groupBy(entity).agg(has_two_values(target).alias("valid")).filter("valid").select(entity)

@@ -32,7 +32,7 @@ def _shape(df: DataFrame, entity: str, ts: str, target: str) -> DataFrame:
 def naive(features, span, regimen: Regimen, entity: str, ts: str, target: str, history: str = "hist_1D") -> DataFrame:
     """Seasonal-naive predictions in every eligible window; fully lazy."""
     rows = schedule.assign_predict(features.select(entity, ts, target, history), span, regimen, ts)
-    allowed = schedule.eligible_windows(features, span, regimen, entity, ts, target).select("window_id")
+    allowed = schedule.eligible_windows(features, span, regimen, ts, target).select("window_id")
     # The schedule has one row per step of the regimen, however large the data is.
     rows = rows.join(F.broadcast(allowed), "window_id", "left_semi")
     return _shape(models.seasonal_naive(rows, history), entity, ts, target)
@@ -58,7 +58,7 @@ def group_mean(
     slots = slots.groupBy(*groups, "_slot").agg(F.sum(target).alias("s"), F.count("*").alias("n"))
     means = schedule.spread_over_windows(slots, regimen).groupBy("window_id", *groups)
     means = means.agg((F.sum("s") / F.sum("n")).alias("predict"))
-    allowed = schedule.eligible_windows(features, span, regimen, entity, ts, target).select("window_id")
+    allowed = schedule.eligible_windows(features, span, regimen, ts, target).select("window_id")
     means = means.join(F.broadcast(allowed), "window_id", "left_semi")
     rows = schedule.assign_predict(features.select(*dict.fromkeys([entity, ts, target, *groups])), span, regimen, ts)
     return _shape(rows.join(means, ["window_id", *groups]), entity, ts, target)
@@ -85,7 +85,7 @@ def learned(
     """
     spark = features.sparkSession
     features = store.write_by_day(features, ts, f"{out}/features")
-    plan = schedule.eligible_windows(features, span, regimen, entity, ts, target).filter("predict_rows > 0")
+    plan = schedule.eligible_windows(features, span, regimen, ts, target).filter("predict_rows > 0")
     todo = store.pending(plan, f"{out}/done", ["window_id"]).orderBy("window_id").collect()
     def run(window) -> tuple:
         train = _between(features, ts, window["train_start"], window["train_stop"])

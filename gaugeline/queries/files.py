@@ -28,12 +28,13 @@ def _(spark, d):
 def _(spark, d):
     ev = events(spark, d).withColumn(TARGET, F.format_number(F.col(TARGET) * 1000, 2))
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
-    a, b = scratch_dir(spark, "part"), scratch_dir(spark, "part")
+    folder = scratch_dir(spark, "parts")  # one folder, three layouts
     first = ev.filter(F.col(TS) < cut).select("event_id", "user_id", "event_type", TARGET, "props")
-    files.write_csv(first.toDF("event_id", " user_id ", "event   _type", " value", "props"), a)
+    files.write_csv(first.toDF("event_id", " user_id ", "event   _type", " value", "props"), folder)
     second = ev.filter(F.col(TS) >= cut).select(TARGET, F.concat(F.lit("  "), "event_type").alias("event_type"), "user_id", "event_id")
-    files.write_csv(second.toDF("value  ", "event_type", "user _id", "event_id"), b)
-    both = files.read_usage(spark, [a, b], metrics=[TARGET])
+    files.write_csv(second.filter("event_id % 2 = 0").toDF("value  ", "event_type", "user _id", "event_id"), folder, "append")
+    files.write_csv(second.filter("event_id % 2 = 1").select("user_id", "event_id", TARGET, "event_type"), folder, "append")
+    both = files.read_usage(spark, [folder], metrics=[TARGET])
     return both.select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint"), "event_type", TARGET, "props")
 
 

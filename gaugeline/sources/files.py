@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.util import inheritable_thread_target
 
-from gaugeline.functions.ordering import digest
 from gaugeline.operators import clean
 
 # Columns of the raw usage layout after cleaning.
@@ -33,29 +32,45 @@ def read_csv(spark: SparkSession, paths, sep: str = ",", schema: T.StructType |
     return reader.csv(paths)
 
 
-def header_lines(spark: SparkSession, paths: list[str], parallelism: int = 16) -> dict[str, str]:
-    """First line of every file; only the beginning of each file is read."""
+def _first_line(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
 
-    def first(path: str) -> str:
-        row = spark.read.text(path).first()
-        return row["value"] if row else ""
 
-    with ThreadPool(min(parallelism, max(len(paths), 1))) as pool:
-        return dict(zip(paths, pool.map(inheritable_thread_target(spark)(first), paths)))
+def layouts(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The files below ``paths`` (files, folders, globs) by their first line; empty files are left out.
 
+    One job, in which a task reads only the beginning of its file. The names of the files come to the driver, as any reader needs them there.
+    """
+    own = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(key, str(1 << 40))  # a file is not split, and no two share a task
+    lines = own.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    first = lines.mapInArrow(_first_line, "file string, value string")
+    found = first.groupBy("value").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
+    return {r["value"]: r["files"] for r in sorted(found, key=lambda r: r["files"])}
+
+
+def _as_written(path: str) -> str:
+    """The path as it is named, from its form as an address; what a reader would take for a glob is escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(path))
 
-def append_files(spark: SparkSession, paths: list[str], sep: str = ",", infer: bool = False, with_source: bool = False):
-    """All files as one table, aligned by cleaned column name; columns a file lacks are null.
 
-    Files with the same header line are read together, so the plan grows with the number of layouts and not
-    with the number of files. ``with_source`` keeps the file's path as a column.
+def append_files(
+    spark: SparkSession, paths: list[str], sep: str = ",", infer: bool = False, with_source: bool = False, line_breaks: bool = False
+) -> DataFrame:
+    """All files below ``paths`` as one table, aligned by cleaned column name; columns a file lacks are null.
+
+    Every file's own header counts, also where a folder or glob holds several layouts. Files with the same header line
+    are read together, so the plan grows with the number of layouts and not with the number of files. ``with_source`` keeps
+    the file's path as a column. Runs a job.
     """
-    layouts: dict[str, list[str]] = {}
-    for path, header in header_lines(spark, paths).items():
-        layouts.setdefault(header, []).append(path)
+    groups = [[_as_written(f) for f in group] for group in layouts(spark, paths).values()] or [paths]
     result = None
-    for group in layouts.values():
-        table = read_csv(spark, group, sep, infer=infer)
+    for group in groups:
+        table = read_csv(spark, group, sep, infer=infer, line_breaks=line_breaks)
         names = table.columns
         if with_source:
             table = table.select("*", F.col("_metadata.file_path").alias(SOURCE))
@@ -110,10 +125,6 @@ def runs(paths: list[str], max_files: int | None = None, joined: bool = False, s
     return [chosen] if joined else [[p] for p in chosen]
 
 
-def shuffled_sources(df: DataFrame, seed: int = 42) -> DataFrame:
-    return df.select(SOURCE).distinct().orderBy(digest(SOURCE, seed), SOURCE)
-
-
 # --- quick looks ------------------------------------------------------------------------------------------
 
 

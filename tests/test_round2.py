@@ -76,3 +76,14 @@ def test_boolean_and_impossible_features(spark):
 def test_leaf_size_of_extra_trees():
     kind = model_kind("ET", {"et__min_samples_leaf": 5})
     assert kind.estimator().getOrDefault("minInstancesPerNode") == 5
+
+
+def test_a_folder_of_several_layouts(spark, tmp_path):
+    folder = tmp_path / "odd [x] *"
+    folder.mkdir()
+    for name, text in {"a b%20c.csv": "VM_ID,cpu_usage,mem_usage\nx,1,2\n", "b{1}.csv": "VM_ID,mem_usage,cpu_usage\ny,200,100\n", "c.csv": "cpu_usage,VM_ID\n3,z\n", "d.csv": ""}.items():
+        (folder / name).write_text(text)
+    (tmp_path / "odd x").mkdir()
+    (tmp_path / "odd x" / "e.csv").write_text("VM_ID,cpu_usage,mem_usage\nw,7,8\n")
+    got = files.append_files(spark, [f"{tmp_path}/odd*"]).select("VM_ID", "cpu_usage", "mem_usage").orderBy("VM_ID").collect()
+    assert [tuple(r) for r in got] == [("w", "7", "8"), ("x", "1", "2"), ("y", "100", "200"), ("z", "3", None)]
