@@ -2,14 +2,16 @@
 
 The model reads a text as its lower-cased words with one blank between them and an end sign, byte by byte. For every byte it
 looks at the longest known context of up to ``ORDER`` bytes. A context that occurred ``c`` times, and after which ``d`` different bytes
-are known, gives byte ``x`` the chance ``c(x) / (c + d)`` and escapes with the rest of the chances, ``d`` and the occurrences of bytes that
-are not kept, to the context one byte shorter, where all bytes that the longer one knows are excluded from ``c`` and ``d``. Behind
-the empty context all other bytes are equally likely. The chances of the bytes after a context thus add up to one.
+are known, gives byte ``x`` the chance ``c(x) / (c + d)`` and escapes with the chance ``d / (c + d)`` to the context one byte shorter,
+where all bytes that the longer one knows are excluded from ``c`` and ``d``. Behind the empty context all other bytes are equally
+likely. The chances of the bytes after a context thus add up to one.
 
 Counts are over all learning texts: each task counts the runs of ``ORDER + 1`` bytes of its texts, Spark adds these up. A shorter run's
-count is the sum over the longer ones. The trie keeps the runs that make up at least one part in ``PARTS`` of all: by counting,
-there are at most ``PARTS`` of them per order, whatever the size of the corpus, so the model can be sent to every task. Word
-counts are bounded in the same way: words above that share are sent along, the others are counted and joined in Spark.
+count is the sum over the longer ones. No run is dropped. Up to ``PARTS`` different runs, the model is sent to every task. A larger
+model stays in Spark: texts are scored in chunks of about ``CHUNK`` bytes, each chunk asks for its different runs once, and the
+chance of a run is worked out where all learned runs whose contexts end in the same ``NEAR`` bytes lie together; only the counts of
+runs of up to ``NEAR`` bytes, at most 256 ** ``NEAR``, are sent to all. Words that make up at least one part in ``PARTS`` of all are sent
+along, the others are counted and joined in Spark.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,9 @@ from gaugeline.session import materialize
 
 ORDER = 5
 PARTS = 1 << 20
+CHUNK = 1 << 22  # bytes of text that are scored together against a model too large to send
+NEAR = 3  # learned runs whose contexts end in the same so many bytes lie in one group
+GROUP = 1 << 17  # different runs per group aimed at
 END = 10  # a byte that no word holds and the blank is not
 
 
@@ -75,10 +81,10 @@ def runs(data: np.ndarray, starts: np.ndarray, order: int = ORDER) -> np.ndarray
 
 @dataclass
 class Trie:
-    """Kept runs by order, sorted, and the logarithms that scoring needs.
+    """Runs by order, sorted, and the logarithms that scoring needs.
 
     Of order k: ``keys[k]`` (context and byte) with the log10 count; ``nodes[k]`` (context) with log10 of ``c + d``, of ``d``, and of the
-    same two numbers of the context one byte shorter without the bytes that this one knows; the escape's part stands for ``d``.
+    same two numbers of the context one byte shorter without the bytes that this one knows.
     """
 
     order: int
@@ -135,11 +141,11 @@ def _log(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.log10(np.maximum(x, 1e-300)), -2.0)  # -2: none
 
 
-def build(levels: list[tuple[np.ndarray, np.ndarray]], size: int, texts: int) -> Trie:
-    """A trie from the kept runs of every order with their counts; ``size`` bytes in ``texts`` texts were counted."""
+def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
+    """A trie from the runs of every order with their counts. Of each context all runs must be there, as must all their shorter forms."""
     order = len(levels) - 1
     trie = Trie(order, [], [], [], [], [], [], [])
-    counts, sums, kinds, other = [], [], [], []
+    counts, sums, kinds = [], [], []
     for k, (key, n) in enumerate(levels):
         at = np.argsort(key)
         key, n = key[at].astype(B.U), n[at].astype(np.float64)
@@ -150,15 +156,8 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]], size: int, texts: int) ->
         kinds.append(np.diff(np.append(start, len(n))).astype(np.float64))
         trie.count.append(_log(n))
         trie.nodes.append(node)
-        # How often the context occurred: its own count as a run, or the number of texts where it is the signs before one.
-        if k:
-            own = _find(trie.keys[k - 1], node)
-            whole = np.where((node & B.U(255)) == END, texts, counts[k - 1][own] if len(own) and len(counts[k - 1]) else 0)
-        else:
-            whole = np.full(len(node), size)
-        other.append(np.maximum(whole - sums[k], 0.0))
-        trie.total.append(_log(sums[k] + other[k] + kinds[k]))
-        trie.kinds.append(_log(other[k] + kinds[k]))
+        trie.total.append(_log(sums[k] + kinds[k]))
+        trie.kinds.append(_log(kinds[k]))
         if k == 0:
             trie.total_below.append(np.zeros(len(node)))
             trie.kinds_below.append(np.zeros(len(node)))
@@ -168,8 +167,8 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]], size: int, texts: int) ->
         shared = np.add.reduceat(counts[k - 1][low], start) if len(n) else np.zeros(0)
         below = _find(trie.nodes[k - 1], node & B.U((1 << 8 * (k - 1)) - 1))
         left, more = sums[k - 1][below] - shared, kinds[k - 1][below] - kinds[k]
-        trie.total_below.append(_log(left + other[k - 1][below] + more))
-        trie.kinds_below.append(_log(other[k - 1][below] + more))
+        trie.total_below.append(_log(left + more))
+        trie.kinds_below.append(_log(more))
     return trie
 
 
@@ -201,7 +200,7 @@ def _added(parts):
 
 @dataclass
 class Model:
-    trie: Trie
+    trie: Trie | None  # none if there are more than ``PARTS`` different runs
     words: np.ndarray  # hashes of the frequent words, sorted
     count: np.ndarray
     tokens: int  # N
@@ -210,55 +209,144 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 5, held: int = 1) -> tuple[Model, DataFrame]:
-    """The model of all texts whose crc32(id) mod ``divisor`` is not ``held``, and the table of all word counts ``(word, c)``. Runs jobs."""
+    """The model of all texts whose crc32(id) mod ``divisor`` is not ``held``, and the table of all word counts ``(word, c)``. Runs jobs.
+
+    Above ``PARTS`` different runs the model has no trie.
+    """
+    return _learned(docs, id_col, text_col, divisor, held)[:2]
+
+
+def _shorter(sums: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of order ``k`` with their counts."""
+    got = sums.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    return got["key"].to_numpy().astype(B.U), got["n"].to_numpy()
+
+
+def _learned(docs: DataFrame, id_col: str, text_col: str, divisor: int, held: int) -> tuple[Model, DataFrame, DataFrame, int]:
+    """As ``train``, and the table of all runs ``(key, n)`` with the number of its rows."""
     rows = docs.where(F.coalesce(remainder(id_col, divisor), F.lit(-1)) != held).select(F.col(f"`{text_col}`").alias("text"))
     sums = rows.mapInArrow(_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     sums = materialize(sums, "runs")
     tokens, distinct, texts = sums.where("kind = 0").agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("key") == 0, F.col("n")))).first()
     tokens, distinct, texts = tokens or 0, distinct or 0, texts or 0
-    size = sums.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-size // PARTS))
-    levels = []
-    for k in range(ORDER + 1):
-        some = sums.where("kind = 1").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        got = some.toArrow()  # at most PARTS rows
-        levels.append((got["key"].to_numpy().astype(B.U), got["n"].to_numpy()))
+    every = sums.where("kind = 1").select("key", "n")
+    different = every.count()
+    trie = build([_shorter(every, k) for k in range(ORDER + 1)]) if different <= PARTS else None  # at most PARTS rows per order
     counts = sums.where("kind = 0 and key != 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     often = counts.where(F.col("c") >= max(1, -(-tokens // PARTS))).toArrow()  # at most PARTS rows
     words = often["word"].to_numpy().view(B.U) if len(often) else np.zeros(0, B.U)
     at = np.argsort(words)
-    return Model(build(levels, int(size), int(texts)), words[at], often["c"].to_numpy()[at] if len(often) else np.zeros(0, np.int64), int(tokens), int(distinct), int(texts)), counts
+    model = Model(trie, words[at], often["c"].to_numpy()[at] if len(often) else np.zeros(0, np.int64), int(tokens), int(distinct), int(texts))
+    return model, counts, every, different
+
+
+def _rows(own: Model, table, chance):
+    """Scores of a table or batch ``doc, row, text``; ``chance`` gives the log10 of the chance of each run."""
+    norm = np.log10(own.tokens + 0.5 * (own.distinct + 1))
+    for block in B.blocks(table.column("text")):
+        data, starts, hashes, first = canonical(block)
+        score = np.add.reduceat(chance(runs(data, starts)), starts[:-1])
+        text, n = np.repeat(np.arange(len(block)), np.diff(first)), np.diff(first)
+        at = _find(own.words, hashes)
+        known = at >= 0
+        base = np.bincount(text[known], np.log10(own.count[at[known]] + 0.5), len(block)) if known.any() else np.zeros(len(block))
+        base = base + np.log10(own.texts + 0.5) - (n + 1) * norm
+        found = np.bincount(text[known], minlength=len(block)) + (own.texts > 0)
+        # The other words of a text, each once with its number.
+        order = np.lexsort((hashes[~known], text[~known]))
+        w, t = hashes[~known][order], text[~known][order]
+        start = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (t[1:] != t[:-1])))) if len(w) else np.zeros(0, np.int64)
+        times = np.diff(np.append(start, len(w)))
+        cut = np.searchsorted(t[start], np.arange(len(block) + 1))
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
+        yield pa.Table.from_arrays(
+            [table.column("doc").slice(block.row, len(block)), table.column("row").slice(block.row, len(block)), pa.array(n + 1, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), lists(w[start].view(np.int64)), lists(times)],
+            ["doc", "row", "n_tokens", "n_known", "base", "score", "words", "times"],
+        )
 
 
 def _scored(model):
     def run(batches):
         own: Model = model.value
-        norm = np.log10(own.tokens + 0.5 * (own.distinct + 1))
         for batch in batches:
-            for block in B.blocks(batch.column("text")):
-                data, starts, hashes, first = canonical(block)
-                score = np.add.reduceat(own.trie.log10(runs(data, starts)), starts[:-1])
-                text, n = np.repeat(np.arange(len(block)), np.diff(first)), np.diff(first)
-                at = _find(own.words, hashes)
-                known = at >= 0
-                base = np.bincount(text[known], np.log10(own.count[at[known]] + 0.5), len(block)) if known.any() else np.zeros(len(block))
-                base = base + np.log10(own.texts + 0.5) - (n + 1) * norm
-                found = np.bincount(text[known], minlength=len(block)) + (own.texts > 0)
-                # The other words of a text, each once with its number.
-                order = np.lexsort((hashes[~known], text[~known]))
-                w, t = hashes[~known][order], text[~known][order]
-                start = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (t[1:] != t[:-1])))) if len(w) else np.zeros(0, np.int64)
-                times = np.diff(np.append(start, len(w)))
-                cut = np.searchsorted(t[start], np.arange(len(block) + 1))
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(block.row, len(block)), batch.column("row").slice(block.row, len(block)), pa.array(n + 1, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), lists(w[start].view(np.int64)), lists(times)],
-                    ["doc", "row", "n_tokens", "n_known", "base", "score", "words", "times"],
-                )
+            for table in _rows(own, batch, own.trie.log10):
+                yield from table.to_batches()
 
     return run
 
 
+def _chunked(batches):
+    """Numbers the chunks of a task's texts."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        _, at = B.bounds(batch.column("text"))
+        before = size + at[:-1] - at[0]
+        size += int(at[-1] - at[0])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk + before // CHUNK, pa.int64())], [*batch.schema.names, "chunk"])
+
+
+def _asked(batches):
+    """The different runs of each chunk."""
+    held, chunk = [], None
+
+    def out():
+        key = np.unique(np.concatenate(held))
+        for cut in range(0, len(key), 1 << 16):
+            some = key[cut : cut + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int64)), B.as_long(some)], ["chunk", "key"])
+
+    for batch in batches:
+        every = batch.column("chunk").to_numpy()
+        start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else []
+        for a, b in zip(start, [*start[1:], len(every)]):
+            if chunk != every[a]:
+                if held:
+                    yield from out()
+                held, chunk = [], int(every[a])
+            for block in B.blocks(batch.column("text").slice(a, b - a)):
+                data, starts, _, _ = canonical(block)
+                held.append(np.unique(runs(data, starts)))
+    if held:
+        yield from out()
+
+
+def _answered(low):
+    """Chances of the runs that are asked for, from all learned runs of the same group and the short runs ``low``."""
+
+    def run(learned: pa.Table, asked: pa.Table) -> pa.Table:
+        key, n = learned.column("key").to_numpy().astype(B.U), learned.column("n").to_numpy()
+        longer = [_added([(key & B.U((1 << 8 * (k + 1)) - 1), n)]) if len(key) else (key, n) for k in range(NEAR, ORDER + 1)]
+        ask = asked.column("key").to_numpy().astype(B.U)
+        chance = build([*low.value, *longer]).log10(ask) if len(ask) else np.zeros(0)
+        return pa.table({"key": B.as_long(ask), "chance": pa.array(chance, pa.float64())})
+
+    return run
+
+
+def _chunk_scored(model):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        key, chance = answers.column("key").to_numpy().astype(B.U), answers.column("chance").to_numpy()
+        order = np.argsort(key)
+        key, chance = key[order], chance[order]
+        return pa.concat_tables(list(_rows(model.value, texts, lambda run: chance[np.searchsorted(key, run)])))
+
+    return run
+
+
+def _looked_up(rows: DataFrame, model: Model, every: DataFrame, different: int, kind: str, shape: str) -> DataFrame:
+    """Scores against a model that is too large to be sent."""
+    spark = rows.sparkSession
+    texts = materialize(rows.mapInArrow(_chunked, f"doc {kind}, text string, row long, chunk long"), "chunks")
+    asked = materialize(texts.select("text", "chunk").mapInArrow(_asked, "chunk long, key long"), "asked")
+    # Contexts that end in the same bytes share a group, so each group has all it needs but the shortest runs.
+    group = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * NEAR) - 1))), F.lit(max(64, different // GROUP))).alias("group")
+    low = spark.sparkContext.broadcast([_shorter(every, k) for k in range(NEAR)])  # at most 256 ** NEAR rows per order
+    learned, wanted = every.select(group, "key", "n").groupBy("group"), asked.select("key").distinct().select(group, "key").groupBy("group")
+    chances = learned.cogroup(wanted).applyInArrow(_answered(low), "key long, chance double")
+    answers = asked.join(chances, "key").select("chunk", "key", "chance")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_chunk_scored(spark.sparkContext.broadcast(model)), shape)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 5, held: int = 1) -> DataFrame:
     """``<id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per row of ``docs``.
 
@@ -267,13 +355,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
     an id are texts of their own. Further columns are ignored. Runs jobs.
     """
     spark = docs.sparkSession
-    model, counts = train(docs, id_col, text_col, divisor, held)
+    model, counts, every, different = _learned(docs, id_col, text_col, divisor, held)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     # A row's own number; rows alike in id and text share it and get the same result.
     rows = rows.withColumn("row", F.xxhash64("doc", "text"))
     shape = f"doc {kind}, row long, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>"
-    out = materialize(rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), shape), "scores")
+    if model.trie is None:
+        out = _looked_up(rows, model, every, different, kind, shape)
+    else:
+        out = rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), shape)
+    out = materialize(out, "scores")
     # Words below the share: at most c of them each, so no word gathers many rows. Their counts come from the table of all.
     rare = out.select("row", "words", "times").dropDuplicates(["row"]).select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
     rare = rare.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times")).join(counts, "word", "left")
