@@ -2,9 +2,10 @@
 
 The largest inner product becomes the smallest distance once every vector ``x`` gets one more component ``sqrt(M^2 - |x|^2)``, with M the largest
 norm, and every query a zero. The centroids of the lists come from a bounded sample by k-means that splits lists which grow too
-large; they are searched through a graph of near centroids held in memory, best first. A vector is written to its nearest
+large; a vector's lists are searched through a graph of near centroids held in memory, best first. A vector is written to its nearest
 list and, if it lies near a boundary, to further lists whose distance is within a ratio of the least, unless a list chosen
-before lies nearer to that list than the vector does. A query reads the lists whose distance is within a ratio of its eighth nearest list's.
+before lies nearer to that list than the vector does. A query is compared with all centroids and reads every list whose distance is within
+a ratio of its ninth nearest list's, and further lists in the order of their distance until they hold enough vectors for ``k`` neighbours.
 
 Lists are read in blocks of a bounded size, so a long list is several tasks. Equal vectors are indexed once, with the ids that can be
 among the nearest.
@@ -26,8 +27,8 @@ from gaugeline.session import materialize
 LIST = 128  # vectors per list aimed at
 LISTS = 16_384  # at most, so that the centroids fit in every task
 REPLICAS, BOUNDARY = 4, 1.15  # lists per vector at most, and the ratio of distances up to which it is replicated
-PROBE, FLOOR = 1.2, 8  # a query reads lists up to this ratio of the distance of its eighth nearest list
-DEGREE, BEAM = 24, 320
+PROBE, FLOOR = 1.2, 8  # a query reads lists up to this ratio of the distance of the list that has so many nearer ones
+DEGREE, BEAM = 24, 32
 BLOCK = 4096
 
 
@@ -129,7 +130,7 @@ def lift(x: np.ndarray, top: float, query: bool = False) -> np.ndarray:
 
 def lists_of(x: np.ndarray, graph: Graph) -> list[np.ndarray]:
     """The lists each lifted vector is written to."""
-    ids, dist = graph.search(x, 32)
+    ids, dist = graph.search(x)
     out = []
     for row, d in zip(ids, dist):
         chosen = [int(row[0])]
@@ -142,14 +143,24 @@ def lists_of(x: np.ndarray, graph: Graph) -> list[np.ndarray]:
     return out
 
 
-def probes(x: np.ndarray, graph: Graph) -> list[np.ndarray]:
-    """The lists each lifted query reads."""
-    ids, dist = graph.search(x)
+def probes(x: np.ndarray, graph: Graph, held: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
+    """The lists each lifted query reads. By ``held`` vectors per list, they hold ``least`` together, copies included, or are all."""
+    dist = np.sqrt(_distance(x, graph.centre))
     # Not of the nearest: a query that is a centroid itself has that at distance 0.
-    return [row[d <= PROBE * d[min(FLOOR, len(d)) - 1] + 1e-12] for row, d in zip(ids, dist)]
+    far = np.partition(dist, min(FLOOR, dist.shape[1] - 1), axis=1)[:, min(FLOOR, dist.shape[1] - 1)]
+    out = [np.flatnonzero(d <= PROBE * f + 1e-12) for d, f in zip(dist, far)]
+    if held is not None:
+        for i in range(len(out)):
+            if held[out[i]].sum() < least:
+                order = np.argsort(dist[i], kind="stable")
+                out[i] = order[: int(np.searchsorted(np.cumsum(held[order]), least)) + 1]
+    return out
+
 
+def _dealt(index: dict[int, tuple[Graph, float]], held: dict[int, np.ndarray] | None = None, least: int = 0):
+    """Vectors with their lists: those they are written to, or with ``held`` those they read as queries."""
+    query = held is not None
 
-def _dealt(index: dict[int, tuple[Graph, float]], query: bool):
     def run(batches):
         for batch in batches:
             node, vector = batch.column("node").to_numpy(), batch.column("vector").to_pylist()
@@ -164,7 +175,7 @@ def _dealt(index: dict[int, tuple[Graph, float]], query: bool):
                     else:
                         graph, top = index[dim]
                         x = lift(x, top, query)
-                        lists = probes(x, graph) if query else lists_of(x, graph)
+                        lists = probes(x, graph, held[dim], least) if query else lists_of(x, graph)
                     at = np.repeat(some, [len(c) for c in lists])
                     yield pa.RecordBatch.from_arrays([pa.array((np.int64(dim) << 32) + np.concatenate(lists)), pa.array(node[at]), pa.array([vector[i] for i in at], pa.binary())], ["list", "node", "vector"])
 
@@ -214,10 +225,17 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
             index[dim] = (Graph.of(balanced_kmeans(lift(x, tops[dim]), k_lists)), tops[dim])
     shared = spark.sparkContext.broadcast(index)  # at most LISTS centroids in all but for splits
     shape = "list long, node long, vector binary"
-    postings = materialize(classes.select("node", "vector").mapInArrow(lambda b: _dealt(shared.value, False)(b), shape), "lists")
-    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # one row per list
+    postings = materialize(classes.select("node", "vector").mapInArrow(lambda b: _dealt(shared.value)(b), shape), "lists")
+    counts = postings.groupBy("list").agg(F.count("*").alias("n"))  # one row per list
+    sizes = counts.select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    held = {dim: np.zeros(len(graph.centre), np.int64) for dim, (graph, _) in index.items()}
+    for r in counts.collect():
+        if r["list"] >> 32 in held:
+            held[r["list"] >> 32][r["list"] & 0xFFFFFFFF] = r["n"]
+    # k + 1 different vectors, even if each of them is in all the lists it may be in.
+    full, least = spark.sparkContext.broadcast(held), REPLICAS * (k + 1)
     asks = materialize(asked.select("vector").distinct().withColumn("node", F.xxhash64("vector")), "asks")
-    reads = asks.mapInArrow(lambda b: _dealt(shared.value, True)(b), shape).join(sizes, "list").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    reads = asks.mapInArrow(lambda b: _dealt(shared.value, full.value, least)(b), shape).join(sizes, "list").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
     reads = reads.select("list", "block", F.lit(True).alias("asks"), "node", "vector")
     there = postings.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("list", "block", F.lit(False).alias("asks"), "node", "vector")
     found = reads.union(there).groupBy("list", "block").applyInPandas(_searched(k + 1), "query long, node long, score double")

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gaugeline.llm import ppm
+from gaugeline.llm import ann, ppm
 
 
 def plain_ppm(texts, learning):
@@ -51,3 +51,21 @@ def test_ppm_uses_every_run(spark, monkeypatch, parts):
     want = dict(zip((d for d, _ in rows), plain_ppm([t for _, t in rows], learning)))
     got = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
+def test_nearest_reads_all_lists_within_the_ratio():
+    rng = np.random.default_rng(2)
+    graph = ann.Graph.of(rng.normal(size=(2000, 48)))
+    x = rng.normal(size=(5, 48))
+    dist = np.sqrt(((x[:, None] - graph.centre) ** 2).sum(2))
+    want = [set(np.flatnonzero(d <= ann.PROBE * np.sort(d)[ann.FLOOR])) for d in dist]
+    assert max(map(len, want)) > 320 and [set(p.tolist()) for p in ann.probes(x, graph)] == want
+
+
+def test_nearest_fills_up_from_further_lists():
+    """Ten lone vectors have lists of their own, so the lists near a query among them hold fewer than ``k``."""
+    graph = ann.Graph.of(np.array([[i / 100, 1.0] for i in range(10)] + [[50.0 + i, 1.0] for i in range(5)]))
+    held = np.array([1] * 10 + [6] * 5)
+    (near,) = ann.probes(graph.centre[:1], graph, held, 20)
+    assert set(range(10)) <= set(near.tolist()) and held[near].sum() >= 20
+    assert len(ann.probes(graph.centre[:1], graph, held, 1000)[0]) == 15
