@@ -1,9 +1,10 @@
 """Packing of documents into sequences by lexical retrieval.
 
 Full windows of a long document are sequences of their own. The rest of every document goes to a shard, a random part of about
-``SHARD`` tokens, whose BM25 inverted index over token ids uses document frequencies of the whole table. In a shard, the longest
-unused piece is the seed of a window; the index returns its nearest unused neighbours, which fill the window greedily in the order
-of their scores. The best one that does not fit is cut to fill the window exactly, and its rest goes back as unused. What is left at
+``SHARD`` tokens, where BM25 over token ids uses document frequencies of the whole table. In a shard, the longest
+unused piece is the seed of a window; all unused pieces are scored by all its different terms and fill the window
+greedily in the order of their scores, down to the last with a positive score. The best one that does not fit is cut to fill the
+window exactly, and its rest goes back as unused. Only then do pieces without a common term follow, longest first. What is left at
 the end of a shard becomes sequences whose lengths are powers of two, which need no padding.
 """
 
@@ -26,7 +27,6 @@ from gaugeline.llm.bpe import is_latin
 from gaugeline.session import materialize
 
 WINDOW, SHARD = 4096, 1 << 20
-QUERY_TERMS, NEIGHBOURS = 24, 48  # terms of a seed that are looked up, neighbours that are tried
 K1, SLOPE = 1.2, 0.75
 END_OF_DOCUMENT = 2
 KEEP = 700_000
@@ -145,13 +145,15 @@ def _full(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("doc").type), *(pa.array(c, pa.int64()) for c in cols[1:])], _COLUMNS)
 
 
-def pack(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces ``(document, start, length)`` over one shard. ``terms`` are sorted distinct ids, ``weights`` their BM25 parts."""
+def pack(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces ``(document, start, length)`` over one shard. ``terms`` are distinct ids, at least one, ``weights`` their BM25 parts."""
     n = len(lengths)
-    # The inverted index: for each term of the shard, documents and weights.
-    every, doc = np.concatenate(terms), np.repeat(np.arange(n), [len(t) for t in terms])
-    order = np.argsort(every, kind="stable")
-    listed, doc, weight = every[order], doc[order], np.concatenate(weights)[order]
+    # Terms and weights one document after another: a seed's terms are so many that lists by term would be read almost whole.
+    size = np.array([len(t) for t in terms])
+    every, weight = np.concatenate(terms).astype(np.int64), np.concatenate(weights)
+    present = np.arange(n)  # documents in ``every``; used ones are taken out once they are half
+    begin = np.cumsum(size) - size
+    asked = np.zeros(int(every.max()) + 1)
     left, at = lengths.astype(np.int64).copy(), np.zeros(n, np.int64)
     out = []
     total = int(left.sum())
@@ -177,24 +179,35 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]
 
         take(seed, min(int(left[seed]), room))
         if room:
-            own = terms[seed]
-            query = own[np.argsort(-(idf[own] * weights[seed]), kind="stable")[:QUERY_TERMS]]
-            low, high = np.searchsorted(listed, query), np.searchsorted(listed, query, side="right")
-            hits = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
-            score = np.bincount(doc[hits], weight[hits], n)
-            score[left == 0] = -1
-            near = np.argsort(-score, kind="stable")[:NEIGHBOURS]
-            near = near[left[near] > 0].tolist()
-            for d in near:
-                if 0 < left[d] <= room:
-                    take(d, int(left[d]))
-            for d in near + ranked:  # the best that did not fit is cut
-                if not room:
+            live = left[present] > 0
+            if 2 * live.sum() < len(present):
+                entries = np.repeat(live, size[present])
+                every, weight, present = every[entries], weight[entries], present[live]
+                begin = np.cumsum(size[present]) - size[present]
+            if len(present):
+                asked[terms[seed]] = 1
+                score = np.add.reduceat(weight * asked[every], begin)
+                asked[terms[seed]] = 0
+                found = np.flatnonzero((score > 0) & (left[present] > 0))
+                near = present[found[np.argsort(-score[found], kind="stable")]]
+            else:
+                near = present
+            at_near = 0
+            while room and at_near < len(near):  # all that fit, best first
+                fits = np.flatnonzero(left[near[at_near:]] <= room)
+                if not len(fits):
                     break
-                if left[d]:
-                    take(d, min(int(left[d]), room))
+                at_near += int(fits[0])
+                take(int(near[at_near]), int(left[near[at_near]]))
+                at_near += 1
+            if room:
+                for d in near[left[near] > 0].tolist() + ranked:  # the best that did not fit is cut
+                    if not room:
+                        break
                     if left[d]:
-                        carried.append(d)
+                        take(d, min(int(left[d]), room))
+                        if left[d]:
+                            carried.append(d)
         total -= window
         out.append(row)
     rest = [d for d in ranked if left[d]]
@@ -224,7 +237,7 @@ def _shard(idf: np.ndarray, mean: float):
             terms.append(t)
             weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - SLOPE + SLOPE * len(x) / mean)))
         out = []
-        for k, row in enumerate(pack(np.array([len(x) for x in ids]), terms, weights, idf)):
+        for k, row in enumerate(pack(np.array([len(x) for x in ids]), terms, weights)):
             offset = 0
             for d, start, size in row:
                 out.append((d, int(starts[d]) + start, size, crc(ids[d][start : start + size]), int(tokens[d]), (int(key[0]) << 20) + k, offset))

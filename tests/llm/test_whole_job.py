@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gaugeline.llm import ann, ppm
+from gaugeline.llm import ann, packing, ppm
 
 
 def plain_ppm(texts, learning):
@@ -69,3 +69,13 @@ def test_nearest_fills_up_from_further_lists():
     (near,) = ann.probes(graph.centre[:1], graph, held, 20)
     assert set(range(10)) <= set(near.tolist()) and held[near].sum() >= 20
     assert len(ann.probes(graph.centre[:1], graph, held, 1000)[0]) == 15
+
+
+def test_packing_fills_windows_of_short_pieces_by_score():
+    """More than 48 short pieces share a seed's rarer terms; longer ones share only the end sign."""
+    lengths = [100] + [5] * 100 + [50] * 40
+    terms = [np.arange(2, 62)] + [np.array([2, 3 + i % 59]) for i in range(100)] + [np.array([100 + i]) for i in range(40)]
+    weights = [np.ones(len(t)) * 2.0 for t in terms]
+    more = {"idf": np.ones(1 << 16)} if "idf" in packing.pack.__code__.co_varnames else {}
+    first = packing.pack(np.array(lengths), terms, weights, window=600, **more)[0]
+    assert {d for d, _, _ in first} == set(range(101))
