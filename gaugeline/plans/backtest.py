@@ -7,13 +7,14 @@ Features are computed once by the caller. Predictions always have the columns
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from gaugeline.operators import clean, models, schedule, scores
+from gaugeline.operators import clean, models, schedule, scores, seasonal
 from gaugeline.operators.features import transform
 from gaugeline.operators.models import ModelKind
 from gaugeline.operators.schedule import Regimen
@@ -100,6 +101,37 @@ def learned(
     return store.finished(spark, f"{out}/done", _empty_schema(features, entity, ts, target))
 
 
+def seasonal_search(
+    features: DataFrame, span: DataFrame, regimen: Regimen, entity: str, ts: str, target: str, step_seconds: int, out: str,
+    season: int = 12, parallelism: int = 4,
+) -> DataFrame:
+    """The seasonal order search in every eligible window: per entity the best candidate's forecast of the next interval.
+
+    ``features`` lie on a grid of ``step_seconds``. Rows are written by day, windows are run and listed as in ``learned``. Runs jobs.
+    """
+    spark = features.sparkSession
+    known = store.write_by_day(features.dropna(subset=[target]).select(entity, ts, target), ts, f"{out}/features")
+    plan = schedule.eligible_windows(known, span, regimen, ts, target).filter("predict_rows > 0")
+    todo = store.pending(plan, f"{out}/done", ["window_id"]).orderBy("window_id").collect()
+    steps = -(-regimen.predict_us // (step_seconds * 1_000_000))
+
+    def run(window) -> tuple:
+        train = _between(known, ts, window["train_start"], window["train_stop"])
+        test = _between(known, ts, window["predict_start"], window["predict_stop"])
+        best = seasonal.search(train, entity, ts, target, steps, season)
+        # Windows start at the raw first sample: the first forecast is for the first grid time that is not before the interval.
+        late = (window["predict_start"] - datetime(1970, 1, 1)) % timedelta(seconds=step_seconds)
+        first = window["predict_start"] + (timedelta(seconds=step_seconds) - late if late else timedelta(0))
+        rows = seasonal.forecast_rows(best, test, entity, ts, target, first, step_seconds)
+        path = f"{out}/predictions/part-{window['window_id']}"
+        rows = rows.select(F.lit(window["window_id"]).cast("bigint").alias("window_id"), F.col(entity).alias("entity"), F.col(ts).alias("ts"), "predict", "actual")
+        rows.write.mode("overwrite").parquet(path)
+        return window["window_id"], path
+
+    _run_all(spark, run, todo, parallelism, f"{out}/done", "window_id bigint, path string")
+    return store.finished(spark, f"{out}/done", _empty_schema(features, entity, ts, target))
+
+
 def _run_all(spark: SparkSession, run, todo: list, parallelism: int, ledger: str, schema: str) -> None:
     """Run the fits side by side; only this thread writes the ledger, one entry per finished fit."""
     if not todo:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from gaugeline.operators import models, schedule, seasonal
+from gaugeline.operators import models, schedule
 from gaugeline.operators.schedule import Regimen
 from gaugeline.plans import backtest, forecast
 from gaugeline.queries.common import ENTITY, PER_ENTITY, TARGET, TS, feature_table, span
@@ -12,6 +10,7 @@ from gaugeline.queries.registry import query
 from gaugeline.session import materialize, scratch_dir
 
 LONG = Regimen("21D", "3D", min_train=300)
+FORTNIGHT = Regimen("14D", "1D", min_train=300)
 NAMES = ["event_type", "day", "weekday", "hour", "hist_1D", "hist_1D1H", "hist_1D_4H"]
 FAST = {"RF": {"rf__n_estimators": 20, "rf__max_depth": 8}, "ET": {"et__n_estimators": 20, "et__max_depth": 8}}
 
@@ -20,33 +19,30 @@ def _features(spark, d, names=NAMES, **kw):
     return materialize(feature_table(spark, d, names, **kw), "features")
 
 
-def _one_window(spark, d, name: str):
-    """Fit on the first training interval, predict the next one."""
-    rows, about = _features(spark, d), span(spark, d)
-    train = schedule.first_interval(rows, TS, LONG.train, span=about)
-    test = schedule.assign_predict(rows, about, LONG, TS).filter("window_id = 0").drop("window_id")
-    model = forecast.fit(train, NAMES, TARGET, models.model_kind(name, FAST[name[:2]]))
-    return model.transform(test).select(ENTITY, TS, "predict", TARGET)
+def _every_window(spark, d, name: str):
+    """Fit on the training interval of each eligible window, predict the next one."""
+    kind = models.model_kind(name, FAST[name[:2]])
+    return backtest.learned(feature_table(spark, d, NAMES), span(spark, d), LONG, ENTITY, TS, TARGET, NAMES, kind, scratch_dir(spark, "windows"))
 
 
 @query("m4_random_forest")
 def _(spark, d):
-    return _one_window(spark, d, "RF")
+    return _every_window(spark, d, "RF")
 
 
 @query("m5_random_forest_scaled")
 def _(spark, d):
-    return _one_window(spark, d, "RF_SC")
+    return _every_window(spark, d, "RF_SC")
 
 
 @query("m6_extra_trees")
 def _(spark, d):
-    return _one_window(spark, d, "ET")
+    return _every_window(spark, d, "ET")
 
 
 @query("m7_extra_trees_scaled")
 def _(spark, d):
-    return _one_window(spark, d, "ET_SC")
+    return _every_window(spark, d, "ET_SC")
 
 
 @query("m10_m13_backtest_forest")
@@ -97,8 +93,5 @@ def _(spark, d):
 
 @query("m17_seasonal_search")
 def _(spark, d):
-    grid = _features(spark, d, [], drop=False)
-    start = F.lit("2024-01-22").cast("timestamp_ntz")
-    train = grid.filter((F.col(TS) >= F.lit("2024-01-08").cast("timestamp_ntz")) & (F.col(TS) < start))
-    best = seasonal.search(train, ENTITY, TS, TARGET, steps=24)
-    return seasonal.forecast_rows(best, grid, ENTITY, TS, TARGET, "2024-01-22 00:00:00", 3600)
+    grid = feature_table(spark, d, [], drop=False)
+    return backtest.seasonal_search(grid, span(spark, d), FORTNIGHT, ENTITY, TS, TARGET, 3600, scratch_dir(spark, "seasonal"))
