@@ -34,12 +34,17 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by 5-word shingles and a similarity of 0.8; rows alike in id and text are one."""
+    """The document with the smallest id of each group linked by 5-word shingles and a similarity of 0.8; rows alike in id and text are one.
+
+    Texts without words are linked with nothing: all their rows stay.
+    """
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^ \x09-\x0D]")
     # Ids may be null or repeated: a row is known by its id (null behind all others) and its text.
-    keyed = docs.withColumn("_key", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("text")))
+    keyed = docs.where(worded).withColumn("_key", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("text")))
     kept = minhash.near_duplicates(keyed, id_col="_key", words=5, percent=80).where("kept").select("_key").distinct()
     first = Window.partitionBy("_key").orderBy("n_chars")
-    return keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+    one = keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+    return one.union(docs.where(~worded))
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

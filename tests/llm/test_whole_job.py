@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from gaugeline.llm import ann, packing, ppm
 
 
@@ -79,3 +80,10 @@ def test_packing_fills_windows_of_short_pieces_by_score():
     more = {"idf": np.ones(1 << 16)} if "idf" in packing.pack.__code__.co_varnames else {}
     first = packing.pack(np.array(lengths), terms, weights, window=600, **more)[0]
     assert {d for d, _, _ in first} == set(range(101))
+
+
+def test_pipeline_keeps_all_rows_without_words(spark, sf_dir):
+    rows = [(None, None)] * 3 + [(None, "")] * 2 + [(5, " \n\x0b")] * 2 + [(5, "\x1f")] * 2 + [(6, "one two")] * 2 + [(None, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect())
+    assert got == Counter(rows[:7]) | Counter({(5, "\x1f"): 1, (6, "one two"): 1})
