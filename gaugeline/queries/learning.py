@@ -12,7 +12,7 @@ from gaugeline.session import materialize, scratch_dir
 LONG = Regimen("21D", "3D", min_train=300)
 FORTNIGHT = Regimen("14D", "1D", min_train=300)
 NAMES = ["event_type", "day", "weekday", "hour", "hist_1D", "hist_1D1H", "hist_1D_4H"]
-FAST = {"RF": {"rf__n_estimators": 20, "rf__max_depth": 8}, "ET": {"et__n_estimators": 20, "et__max_depth": 8}}
+TREES = {"RF": {"rf__n_estimators": 20}, "ET": {"et__n_estimators": 20}}
 
 
 def _features(spark, d, names=NAMES, **kw):
@@ -21,7 +21,7 @@ def _features(spark, d, names=NAMES, **kw):
 
 def _every_window(spark, d, name: str):
     """Fit on the training interval of each eligible window, predict the next one."""
-    kind = models.model_kind(name, FAST[name[:2]])
+    kind = models.model_kind(name, TREES[name[:2]])
     return backtest.learned(feature_table(spark, d, NAMES), span(spark, d), LONG, ENTITY, TS, TARGET, NAMES, kind, scratch_dir(spark, "windows"))
 
 
@@ -47,38 +47,48 @@ def _(spark, d):
 
 @query("m10_m13_backtest_forest")
 def _(spark, d):
-    kind = models.model_kind("RF", FAST["RF"])
+    kind = models.model_kind("RF", TREES["RF"])
     return backtest.learned(feature_table(spark, d, NAMES), span(spark, d), LONG, ENTITY, TS, TARGET, NAMES, kind, scratch_dir(spark, "backtest"))
 
 
 @query("m11_forest_per_entity")
 def _(spark, d):
-    kind = models.model_kind("RF", {"rf__n_estimators": 10, "rf__max_depth": 6})
+    kind = models.model_kind("RF", TREES["RF"])
     names = ["weekday", "hour", "hist_1D"]
     return backtest.learned_per_entity(
-        feature_table(spark, d, names), Regimen("21D", "3D", min_train=300), ENTITY, TS, TARGET, names, kind, scratch_dir(spark, "per-entity"), top=5
+        feature_table(spark, d, names), Regimen("21D", "3D", min_train=300), ENTITY, TS, TARGET, names, kind, scratch_dir(spark, "per-entity")
     )
 
 
 @query("m11_forest_per_entity_cutoff")
 def _(spark, d):
-    kind = models.model_kind("RF", {"rf__n_estimators": 10, "rf__max_depth": 6})
+    kind = models.model_kind("RF", TREES["RF"])
     names = ["month", "day", "weekday", "hour", "minute"]
     return backtest.learned_per_entity(
-        feature_table(spark, d, names), PER_ENTITY, ENTITY, TS, TARGET, names, kind, scratch_dir(spark, "cutoff"), top=5, cutoff="2024-01-20 00:00:00"
+        feature_table(spark, d, names), PER_ENTITY, ENTITY, TS, TARGET, names, kind, scratch_dir(spark, "cutoff"), cutoff="2024-01-20 00:00:00"
     )
 
 
 @query("m14_variation_sweep")
 def _(spark, d):
-    plain = ["day", "weekday", "hour", "hist_1D", "hist_1D1H"]
-    few = ["hour", "hist_1D"]
+    # The variations of the reference on its grid of 15 minutes.
+    plain = ["day", "weekday", "hour", "minute", "hist_1D8H", "hist_1D4H", "hist_1D2H", "hist_1D1H", "hist_1D", "hist_1D15m", "hist_1D30m", "hist_1D45m"]
+    short = ["day", "weekday", "hour", "minute", "hist_1H", "hist_4H", "hist_1D", "hist_15m"]
+    own = [*plain, ENTITY]
+    rf, et = lambda name, n: models.model_kind(name, {"rf__n_estimators": n}), lambda name, n: models.model_kind(name, {"et__n_estimators": n})
     variations = [
-        ("RF_5 plain", plain, models.model_kind("RF", {"rf__n_estimators": 5, "rf__max_depth": 6})),
-        ("ET_5 few", few, models.model_kind("ET", {"et__n_estimators": 5, "et__max_depth": 6})),
-        ("RF_SC_5 entity", [ENTITY, *few], models.model_kind("RF_SC", {"rf__n_estimators": 5, "rf__max_depth": 6})),
+        ("RF_20 std_features", plain, rf("RF", 20)),
+        ("SC_RF_20 std_features", plain, rf("RF_SC", 20)),
+        ("ET_20 std_features", plain, et("ET", 20)),
+        ("RF_10 std_features", plain, rf("RF", 10)),
+        ("RF_20 vm_features", own, rf("RF", 20)),
+        ("RF_20 sh_features", short, rf("RF", 20)),
+        ("SC_ET_10 vm_features", own, et("ET_SC", 10)),
+        ("RF_100 std_features", plain, rf("RF", 100)),
+        ("SC_RF_20 vm_features", own, rf("RF_SC", 20)),
+        ("SC_ET_5 vm_features", own, et("ET_SC", 5)),
     ]
-    rows = _features(spark, d, [ENTITY, *plain], drop=False)
+    rows = _features(spark, d, list(dict.fromkeys([*own, *short])), step="15min", drop=False)
     return backtest.sweep(rows, span(spark, d), LONG, ENTITY, TS, TARGET, variations, scratch_dir(spark, "sweep"), scratch_dir(spark, "ledger"))
 
 
@@ -87,7 +97,7 @@ def _(spark, d):
     rows = _features(spark, d)
     train = schedule.first_interval(rows, TS, LONG.train, span=span(spark, d))
     path = scratch_dir(spark, "model")
-    forecast.fit(train, NAMES, TARGET, models.model_kind("RF", FAST["RF"])).save(path, spark)
+    forecast.fit(train, NAMES, TARGET, models.model_kind("RF", TREES["RF"])).save(path, spark)
     return forecast.Forecaster.load(path, spark).transform(rows).select(ENTITY, TS, "predict", TARGET)
 
 

@@ -20,7 +20,7 @@ _NAMES = [ENTITY, "weekday", "hour", "hist_1D"]
 def _(spark, d):
     rows = materialize(feature_table(spark, d, _NAMES), "features")
     train = schedule.first_interval(rows, TS, "21D", span=span(spark, d))
-    model = forecast.fit(train, _NAMES, TARGET, models.model_kind("RF", {"rf__n_estimators": 10, "rf__max_depth": 6}))
+    model = forecast.fit(train, _NAMES, TARGET, models.model_kind("RF", {"rf__n_estimators": 20}))
     inbox, out, checkpoint = (scratch_dir(spark, x) for x in ("inbox", "scored", "checkpoint"))
     sent = rows.select(ENTITY, TS, "weekday", "hour", F.col("hist_1D").alias("hist-1D"))
     sent.write.parquet(inbox)
