@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.llm import ann, bpe, embed_dedup, minhash, packing, ppm, quality, suffixes, toxicity, warc
+from gaugeline.llm import ann, bpe, codes, embed_dedup, infill, minhash, packing, ppm, quality, shards, suffixes, toxicity, twins, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,27 @@ def op9_packing(spark, sf_dir):
 @query
 def op10_repeats(spark, sf_dir):
     return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_hilbert(spark, sf_dir):
+    return shards.place(table(spark, sf_dir, "documents"), ["lang", "source", "n_chars"])
+
+
+ORACLE["op11_hilbert"] = twins.hilbert_shards(["lang", "source", "n_chars"])
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    return codes.digest(*codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+ORACLE["op12_vector_codes"] = twins.vector_codes()
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    return infill.digest(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+ORACLE["op13_fill_in_middle"] = twins.FILL_IN_MIDDLE
