@@ -6,102 +6,100 @@ and ``prediction``; any Estimator of that shape can be registered or passed dire
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
+
+from gaugeline.operators import trees
+from gaugeline.operators.trees import Growth
+from gaugeline.session import materialize
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 
 
-class ExtraTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
-    """Average of trees grown on the whole sample whose split points are drawn at random.
+class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
+    """Average of regression trees (``gaugeline.operators.trees``): every value is a candidate cut, or one random cut per node and feature.
 
-    Each tree may split a feature only at ``numCuts`` uniformly random points of its range.
+    ``drawn``: each tree sees a random draw of the rows. ``maxDepth`` 0 grows until a node's rows have one target value.
     """
 
     numTrees = Param(Params._dummy(), "numTrees", "number of trees", TypeConverters.toInt)
-    numCuts = Param(Params._dummy(), "numCuts", "random split points per feature and tree", TypeConverters.toInt)
-    maxDepth = Param(Params._dummy(), "maxDepth", "depth of each tree", TypeConverters.toInt)
+    splits = Param(Params._dummy(), "splits", "best or random", TypeConverters.toString)
+    drawn = Param(Params._dummy(), "drawn", "whether each tree sees a random draw of the rows", TypeConverters.toBoolean)
+    maxDepth = Param(Params._dummy(), "maxDepth", "depth of each tree, 0: no limit", TypeConverters.toInt)
     minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "least rows on either side of a split", TypeConverters.toInt)
-    parallelism = Param(Params._dummy(), "parallelism", "trees fitted at the same time", TypeConverters.toInt)
 
-    def __init__(self, numTrees=20, numCuts=24, maxDepth=30, parallelism=4, seed=42, minInstancesPerNode=1):
+    def __init__(self, numTrees=20, splits="best", drawn=True, maxDepth=0, seed=42, minInstancesPerNode=1):
         super().__init__()
         self._setDefault(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION)
-        self._set(numTrees=numTrees, numCuts=numCuts, maxDepth=maxDepth, parallelism=parallelism, seed=seed, minInstancesPerNode=minInstancesPerNode)
-
-    def _fit(self, df: DataFrame) -> "ExtraTreesModel":
-        values, label = vector_to_array(self.getFeaturesCol()), self.getLabelCol()
-        size = len(df.select(values.alias("v")).first()["v"])
-        names = [f"_x{i}" for i in range(size)]
-        wide = df.select(label, *[values[i].alias(n) for i, n in enumerate(names)]).persist()
-        try:
-            ends = wide.agg(*[F.struct(F.min(n).alias("lo"), F.max(n).alias("hi")).alias(n) for n in names]).first()
-
-            def grow(nr: int) -> PipelineModel:
-                rng = random.Random(self.getSeed() * 1_000_003 + nr)
-                cuts = []
-                for n in names:
-                    lo, hi = ends[n]["lo"], ends[n]["hi"]
-                    inner = {rng.uniform(lo, hi) for _ in range(self.getOrDefault(self.numCuts))} if hi > lo else {lo}
-                    cuts.append([float("-inf"), *sorted(inner), float("inf")])
-                binned = [f"_b{i}" for i in range(size)]
-                return Pipeline(stages=[
-                    Bucketizer(inputCols=names, outputCols=binned, splitsArray=cuts),
-                    VectorAssembler(inputCols=binned, outputCol="_binned"),
-                    DecisionTreeRegressor(
-                        featuresCol="_binned", labelCol=label, predictionCol=f"_tree{nr}", seed=self.getSeed() + nr,
-                        maxDepth=self.getOrDefault(self.maxDepth), maxBins=self.getOrDefault(self.numCuts) + 2,
-                        minInstancesPerNode=self.getOrDefault(self.minInstancesPerNode),
-                    ),
-                ]).fit(wide)
-
-            with ThreadPool(self.getOrDefault(self.parallelism)) as pool:
-                task = inheritable_thread_target(df.sparkSession)(grow)
-                trees = pool.map(task, range(self.getOrDefault(self.numTrees)))
-        finally:
-            wide.unpersist()
-        return ExtraTreesModel(trees, self.getFeaturesCol(), self.getPredictionCol())
-
-
-class ExtraTreesModel(Model):
-    def __init__(self, trees: list[PipelineModel], features: str, prediction: str):
+        self._set(numTrees=numTrees, splits=splits, drawn=drawn, maxDepth=maxDepth, seed=seed, minInstancesPerNode=minInstancesPerNode)
+
+    def getNumTrees(self) -> int:
+        return self.getOrDefault(self.numTrees)
+
+    @property
+    def growth(self) -> Growth:
+        g = self.getOrDefault
+        return Growth(g(self.numTrees), g(self.splits), g(self.drawn), g(self.maxDepth) or None, g(self.minInstancesPerNode), self.getSeed())
+
+    def _fit(self, df: DataFrame) -> "ForestModel":
+        rows = df.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"))
+        rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "x", "y"), "train")  # numbers are fixed by writing
+        head = rows.select(F.size("x").alias("n")).first()
+        if head is None:
+            raise ValueError("no rows to fit on")
+        upper, table = trees.pieces(rows, self.growth, head["n"])
+        return ForestModel(upper, materialize(table, "trees"), self.getNumTrees(), head["n"], self.getFeaturesCol(), self.getPredictionCol())
+
+
+class ForestModel(Model):
+    """A fitted ensemble: the splits above its pieces, and a table of pieces."""
+
+    SENT = 1 << 22  # nodes that are sent to every task at most (about 36 bytes each); larger ensembles are joined
+
+    def __init__(self, upper, pieces: DataFrame, count: int, width: int, features: str = FEATURES, prediction: str = PREDICTION):
         super().__init__()
-        self.trees, self.features, self.prediction = trees, features, prediction
+        self.upper, self.pieces, self.count, self.width, self.features, self.prediction = upper, pieces, count, width, features, prediction
+        self._shared = None
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        names = self.trees[0].stages[0].getInputCols()
+        spark = df.sparkSession
+        if self._shared is None and (self.pieces.agg(F.sum(F.size("feature"))).first()[0] or 0) <= self.SENT:
+            found = {(p["tree"], p["node"]): trees.trees_of(p) for p in self.pieces.collect()}
+            self._shared = spark.sparkContext.broadcast((self.upper, found))
         values = vector_to_array(self.features)
-        out = df.withColumns({n: values[i] for i, n in enumerate(names)})
-        for tree in self.trees:
-            out = tree.transform(out).drop("_binned", *tree.stages[0].getOutputCols())
-        total = sum((F.col(f"_tree{i}") for i in range(1, len(self.trees))), F.col("_tree0"))
-        return out.withColumn(self.prediction, total / len(self.trees)).select(*df.columns, self.prediction)
+        if self._shared is not None:
+            return df.withColumn(self.prediction, trees.sent_scorer(self._shared, self.count)(values))
+        if df.isStreaming:
+            raise ValueError(f"an ensemble of more than {self.SENT} nodes scores tables only")
+        rows = materialize(df.withColumns({"_n": F.monotonically_increasing_id(), "_x": values}), "asked")
+        scores = trees.joined_scores(rows.select(F.col("_n").alias("row"), F.col("_x").alias("x")), self.upper, self.pieces, self.width, self.count)
+        return rows.join(scores.select(F.col("row").alias("_n"), F.col("predict").alias(self.prediction)), "_n").select(*df.columns, self.prediction)
 
     def save(self, path: str) -> None:
-        for nr, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree-{nr}")
+        self.pieces.write.mode("overwrite").parquet(f"{path}/pieces")
+
+    def about(self) -> dict:
+        splits = [[[n, f, c] for n, (f, c) in tree.items()] for tree in self.upper.splits]
+        return {"splits": splits, "count": self.count, "width": self.width}
 
     @classmethod
-    def load(cls, path: str, count: int) -> "ExtraTreesModel":
-        return cls([PipelineModel.load(f"{path}/tree-{nr}") for nr in range(count)], FEATURES, PREDICTION)
+    def load(cls, path: str, about: dict, spark: SparkSession) -> "ForestModel":
+        upper = trees.Upper([{n: (f, c) for n, f, c in tree} for tree in about["splits"]])
+        return cls(upper, spark.read.schema(trees.PIECE).parquet(f"{path}/pieces"), about["count"], about["width"])
 
 
-def _forest(numTrees=20, maxDepth=30, minInstancesPerNode=1, maxBins=64, seed=42) -> Estimator:
-    return RandomForestRegressor(
-        featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, numTrees=numTrees, maxDepth=maxDepth,
-        minInstancesPerNode=minInstancesPerNode, maxBins=maxBins, featureSubsetStrategy="all", seed=seed,
-    )
+def _forest(numTrees=20, maxDepth=0, minInstancesPerNode=1, seed=42) -> Forest:
+    return Forest(numTrees, "best", True, maxDepth, seed, minInstancesPerNode)
+
+
+def _extra_trees(numTrees=20, maxDepth=0, minInstancesPerNode=1, seed=42) -> Forest:
+    return Forest(numTrees, "random", False, maxDepth, seed, minInstancesPerNode)
 
 
 @dataclass(frozen=True)
@@ -117,6 +115,11 @@ class ModelKind:
     def estimator(self) -> Estimator:
         return self.make(**self.params)
 
+    def growth(self) -> Growth | None:
+        """How the model's trees grow; None for a model that is not made of them."""
+        made = self.estimator()
+        return made.growth if isinstance(made, Forest) else None
+
     def with_params(self, **params) -> "ModelKind":
         return ModelKind(self.name, self.step, self.make, self.scaled, {**self.params, **params})
 
@@ -126,8 +129,8 @@ REGISTRY: dict[str, ModelKind] = {
     for kind in (
         ModelKind("RF", "rf", _forest),
         ModelKind("RF_SC", "rf", _forest, scaled=True),
-        ModelKind("ET", "et", ExtraTrees),
-        ModelKind("ET_SC", "et", ExtraTrees, scaled=True),
+        ModelKind("ET", "et", _extra_trees),
+        ModelKind("ET_SC", "et", _extra_trees, scaled=True),
     )
 }
 

@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from gaugeline.operators import clean, models, schedule, scores, seasonal
+from gaugeline.functions import errors
+from gaugeline.functions.durations import canonical
+from gaugeline.operators import clean, encode, models, schedule, scores, seasonal, trees
 from gaugeline.operators.features import transform
 from gaugeline.operators.models import ModelKind
 from gaugeline.operators.schedule import Regimen
 from gaugeline.plans import forecast
+from gaugeline.session import materialize
 from gaugeline.sources import store
 
 PREDICTION_COLUMNS = ["window_id", "entity", "ts", "predict", "actual"]
@@ -77,17 +80,30 @@ def learned(
     out: str,
     parallelism: int = 4,
 ) -> DataFrame:
-    """One model over all entities per window. Runs jobs; results land in ``out`` window by window.
+    """One model over all entities per window. Runs jobs; results land in ``out``.
 
-    The features are written once, by day, and a window reads only the days it covers.
+    The features are written once, by day. Trees of all windows that fit in a task (``trees.LOCAL`` training rows) grow in
+    shared jobs, ``TOGETHER`` windows each; larger windows, and models that are not trees, are fitted one window after the other, reading only
+    the days they cover.
 
     Finished windows are listed in a ledger and skipped when the call is repeated, so a lost driver costs only
     the windows that were under way. Ineligible windows are passed over and the schedule goes on.
     """
     spark = features.sparkSession
-    features = store.write_by_day(features, ts, f"{out}/features")
+    features = _numbered(features, ts, out)
     plan = schedule.eligible_windows(features, span, regimen, ts, target).filter("predict_rows > 0")
     todo = store.pending(plan, f"{out}/done", ["window_id"]).orderBy("window_id").collect()
+    ledger_schema = "window_id bigint, path string"
+    growth = kind.growth()
+    small = [w for w in todo if growth is not None and w["train_rows"] <= trees.LOCAL]
+    for first in range(0, len(small), TOGETHER):
+        some = small[first : first + TOGETHER]
+        rows = _window_rows(features, span, regimen, ts, [w["window_id"] for w in some])
+        pred = _grown(rows, features, ["window_id"], entity, ts, target, [("", names, kind)], len(some))
+        path = f"{out}/predictions/part-{uuid.uuid4().hex}"
+        pred.select(PREDICTION_COLUMNS).write.parquet(path)
+        spark.createDataFrame([(w["window_id"], path) for w in some], ledger_schema).coalesce(1).write.mode("append").parquet(f"{out}/done")
+
     def run(window) -> tuple:
         train = _between(features, ts, window["train_start"], window["train_stop"])
         test = _between(features, ts, window["predict_start"], window["predict_stop"])
@@ -97,10 +113,59 @@ def learned(
         _shape(rows, entity, ts, target).write.mode("overwrite").parquet(path)
         return window["window_id"], path
 
-    _run_all(spark, run, todo, parallelism, f"{out}/done", "window_id bigint, path string")
+    done = {w["window_id"] for w in small}
+    _run_all(spark, run, [w for w in todo if w["window_id"] not in done], parallelism, f"{out}/done", ledger_schema)
     return store.finished(spark, f"{out}/done", _empty_schema(features, entity, ts, target))
 
 
+ROW = "_row"
+TOGETHER = 64  # windows in one job
+
+
+def _numbered(features: DataFrame, ts: str, out: str) -> DataFrame:
+    """The features written once by day, each row with a number that stays."""
+    return store.write_by_day(features.withColumn(ROW, F.monotonically_increasing_id()), ts, f"{out}/features")
+
+
+def _window_rows(features: DataFrame, span: DataFrame, regimen: Regimen, ts: str, windows: list[int]) -> DataFrame:
+    """Rows of the given windows with ``window_id`` and ``test``: a window's model needs its own copy of its rows."""
+    wanted = F.broadcast(features.sparkSession.createDataFrame([(w,) for w in windows], "window_id bigint"))
+    train = schedule.assign_train(features, span, regimen, ts).withColumn("test", F.lit(False))
+    test = schedule.assign_predict(features, span, regimen, ts).withColumn("test", F.lit(True))
+    return train.unionByName(test).join(wanted, "window_id", "left_semi")
+
+
+def _grown(rows: DataFrame, features: DataFrame, model: list[str], entity: str, ts: str, target: str, variations, models_: int) -> DataFrame:
+    """Predictions ``(work, model..., entity, ts, predict, actual)`` of every variation ``(name, features, kind)`` for every model's rows.
+
+    String features become their position among the sorted values of the whole table, which a task turns into the position among its
+    model's own training values.
+    """
+    spark = rows.sparkSession
+    names = list(dict.fromkeys(canonical(n) for _, some, _ in variations for n in some))
+    text = encode.string_columns(features, names)
+    keep = [c for c in rows.columns if c in {*model, "test", ROW, target, *names}]
+    inputs = rows.select(*keep, *[F.col(m).alias(f"_m{i}") for i, m in enumerate(model)])
+    if text:
+        inputs = encode.encode_strings(inputs, text, {c: encode.fit_codes(features, c) for c in text}, [ROW])
+    x = F.array(*[F.col(n).cast("double") for n in names])
+    inputs = inputs.select(*[f"_m{i}" for i in range(len(model))], F.col(ROW).alias("row"), x.alias("x"), F.col(target).cast("double").alias("y"), "test")
+    work = []
+    for name, some, kind in variations:
+        at = tuple(names.index(canonical(n)) for n in some)
+        work.append(trees.Work(name, at, kind.growth(), kind.scaled, tuple(i for i in at if names[i] in text)))
+    # About four tasks for each place to run one, so that uneven tasks even out.
+    total, slots = sum(w.growth.trees for w in work), spark.sparkContext.defaultParallelism
+    at_once = max(1, -(-total * models_ // (4 * slots)))
+    groups = models_ * len(trees.shares(work, at_once))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * groups, 16 * slots))
+    keys = [f"_m{i}" for i in range(len(model))]
+    found = trees.fit_predict(inputs, keys, work, len(names), at_once, tasks)
+    facts = features.select(F.col(ROW).alias("row"), F.col(entity).alias("_entity"), F.col(ts).alias("_ts"), F.col(target).alias("_actual"))
+    out = found.join(facts, "row")
+    return out.select("work", *[F.col(k).alias(m) for k, m in zip(keys, model) if m != entity], F.col("_entity").alias("entity"), F.col("_ts").alias("ts"), "predict", F.col("_actual").alias("actual"))
+
+
 def seasonal_search(
     features: DataFrame, span: DataFrame, regimen: Regimen, entity: str, ts: str, target: str, step_seconds: int, out: str,
     season: int = 12, parallelism: int = 4,
@@ -162,22 +227,35 @@ def learned_per_entity(
 
     With ``cutoff`` each model trains before that moment and predicts the rest, for entities whose whole and
     train targets both hold two repeated values. Otherwise the single-series schedule applies to each entity.
+
+    The trees of all (entity, window) pairs grow in one job, however many there are. Only pairs with more than
+    ``trees.LOCAL`` training rows, and models that are not trees, are fitted one after the other.
     """
     spark = features.sparkSession
     chosen = scores.top_entities(features, entity, top).select(entity)
-    rows = store.write_by_entity(features.join(F.broadcast(chosen), entity, "left_semi"), entity, ts, f"{out}/features")
+    rows = _numbered(features.join(F.broadcast(chosen), entity, "left_semi"), ts, out)
     if cutoff is not None:
         before, _ = clean.cutoff_split(rows, ts, cutoff)
         usable = scores.valid_targets_strict(rows, entity, target).filter("valid").join(
             scores.valid_targets_strict(before, entity, target).filter("valid"), entity, "left_semi"
         )
-        plan = usable.select(entity, F.lit(0).cast("bigint").alias("window_id"))
+        sizes = before.groupBy(entity).agg(F.count("*").alias("train_rows"))
+        plan = usable.join(sizes, entity).select(entity, F.lit(0).cast("bigint").alias("window_id"), "train_rows")
     else:
         plan = schedule.entity_windows(rows, regimen, entity, ts, target).filter("trained")
-    todo = store.pending(plan, f"{out}/done", [entity, "window_id"]).orderBy(entity, "window_id").collect()
+    todo = materialize(store.pending(plan, f"{out}/done", [entity, "window_id"]), "plan")
+    done_schema = f"`{entity}` {features.schema[entity].dataType.simpleString()}, window_id bigint, path string"
+    grouped = F.lit(kind.growth() is not None) & (F.col("train_rows") <= trees.LOCAL)
+    small = todo.filter(grouped)
+    pairs = small.count()
+    if pairs:
+        pred = _grown(_pair_rows(rows, small, entity, ts, cutoff), rows, [entity, "window_id"], entity, ts, target, [("", names, kind)], pairs)
+        path = f"{out}/predictions/part-{uuid.uuid4().hex}"
+        pred.select(PREDICTION_COLUMNS).write.parquet(path)
+        small.select(entity, "window_id", F.lit(path).alias("path")).write.mode("append").parquet(f"{out}/done")
 
     def run(job) -> tuple:
-        own = clean.one_entity(rows, store.OWNER, str(job[entity]))
+        own = rows.filter(F.col(entity).eqNullSafe(F.lit(job[entity])))
         if cutoff is not None:
             train, test = clean.cutoff_split(own, ts, cutoff)
         else:
@@ -189,11 +267,22 @@ def learned_per_entity(
         _shape(result, entity, ts, target).write.mode("overwrite").parquet(path)
         return job[entity], job["window_id"], path
 
-    done_schema = f"{entity} {features.schema[entity].dataType.simpleString()}, window_id bigint, path string"
-    _run_all(spark, run, todo, parallelism, f"{out}/done", done_schema)
+    large = todo.filter(~grouped).orderBy(entity, "window_id").collect()
+    _run_all(spark, run, large, parallelism, f"{out}/done", done_schema)
     return store.finished(spark, f"{out}/done", _empty_schema(features, entity, ts, target))
 
 
+def _pair_rows(rows: DataFrame, pairs: DataFrame, entity: str, ts: str, cutoff) -> DataFrame:
+    """Rows of every (entity, window) pair with ``window_id`` and ``test``."""
+    bounds = ["window_id"] if cutoff is not None else ["window_id", "train_start", "train_stop", "predict_stop"]
+    named = pairs.select(F.col(entity).alias("_e"), *bounds)
+    both = rows.join(named, rows[entity].eqNullSafe(F.col("_e"))).drop("_e")
+    if cutoff is not None:
+        return both.withColumn("test", F.col(ts) >= F.lit(cutoff).cast("timestamp_ntz"))
+    inside = both.filter((F.col(ts) >= F.col("train_start")) & (F.col(ts) < F.col("predict_stop")))
+    return inside.withColumn("test", F.col(ts) >= F.col("train_stop")).drop("train_start", "train_stop", "predict_stop")
+
+
 def sweep(
     features: DataFrame, span: DataFrame, regimen: Regimen, entity: str, ts: str, target: str,
     variations: list[tuple[str, list[str], ModelKind]], out: str, ledger: str, parallelism: int = 4,
@@ -202,18 +291,45 @@ def sweep(
 
     ``features`` holds the union of all feature columns, incomplete rows included; each variation drops only the
     rows its own features leave incomplete. Variations already in the ledger are not run again. Runs jobs.
+
+    The features are written once. Variations of trees run together: a task takes a window's rows once and grows trees of several
+    variations on them. Other models, and windows too large for a task, run one variation after the other.
     """
     spark = features.sparkSession
     known = store.ledger(spark, ledger)
     done = {r["variation"] for r in known.select("variation").distinct().collect()} if known is not None else set()
-    for nr, (name, names, kind) in enumerate(variations):
-        if name in done:
-            continue
-        rows = features.dropna(subset=names).select(*dict.fromkeys([entity, ts, target, *names]))
-        pred = learned(rows, span, regimen, entity, ts, target, names, kind, f"{out}/variation-{nr}", parallelism)
+    todo = [v for v in variations if v[0] not in done]
+    wanted = list(dict.fromkeys([entity, ts, target, *[n for _, names, _ in variations for n in names]]))
+    rows = _numbered(features.select(wanted), ts, f"{out}/shared")
+    plans = {}
+    for _, names, _ in todo:
+        if tuple(names) not in plans:
+            plan = schedule.eligible_windows(rows.dropna(subset=names), span, regimen, ts, target).filter("predict_rows > 0")
+            plans[tuple(names)] = plan.select("window_id", "train_rows").collect()
+    small = [v for v in todo if v[2].growth() is not None and all(w["train_rows"] <= trees.LOCAL for w in plans[tuple(v[1])])]
+    windows = sorted({w["window_id"] for _, names, _ in small for w in plans[tuple(names)]})
+    path = f"{out}/predictions-{uuid.uuid4().hex}"  # a call that was cut off leaves nothing that counts
+    for first in range(0, len(windows), TOGETHER):
+        some = windows[first : first + TOGETHER]
+        pred = _grown(_window_rows(rows, span, regimen, ts, some), rows, ["window_id"], entity, ts, target, small, len(some))
+        # A variation keeps only windows that are eligible by its own rows.
+        own = [(i, w["window_id"]) for i, (_, names, _) in enumerate(small) for w in plans[tuple(names)]]
+        allowed = F.broadcast(spark.createDataFrame(own, "work int, window_id bigint"))
+        pred.join(allowed, ["work", "window_id"], "left_semi").write.mode("append").parquet(path)
+    if small:
+        pred = store.read_or_none(spark, path)
+        if pred is not None:
+            of = pred.groupBy("work", "entity").agg(errors.aae().alias("error"), F.count("*").alias("n"))
+            known_error = F.col("error").isNotNull()
+            mean = F.try_divide(F.sum(F.when(known_error, F.col("n") * F.col("error"))), F.sum(F.when(known_error, F.col("n"))))
+            found = {r["work"]: r["overall_error"] for r in of.groupBy("work").agg(mean.alias("overall_error")).collect()}
+            lines = [(name, found.get(i)) for i, (name, _, _) in enumerate(small)]
+            store.append_ledger(spark.createDataFrame(lines, store.LEDGER), ledger)
+    for nr, (name, names, kind) in enumerate(v for v in todo if v not in small):
+        whole = features.dropna(subset=names).select(*dict.fromkeys([entity, ts, target, *names]))
+        pred = learned(whole, span, regimen, entity, ts, target, names, kind, f"{out}/variation-{nr}", parallelism)
         overall = scores.overall_error(scores.entity_errors(pred))
-        result = overall.select(F.lit(name).alias("variation"), "overall_error")
-        store.append_ledger(result, ledger)
+        store.append_ledger(overall.select(F.lit(name).alias("variation"), "overall_error"), ledger)
     return store.ledger(spark, ledger)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from gaugeline.functions.durations import canonical
 from gaugeline.operators import clean, encode
-from gaugeline.operators.models import FEATURES, LABEL, PREDICTION, ExtraTreesModel, ModelKind
+from gaugeline.operators.models import FEATURES, LABEL, PREDICTION, ForestModel, ModelKind
 
 
 @dataclass
@@ -43,8 +43,8 @@ class Forecaster:
         return scored.select(*[F.col("_in")[c].alias(c) for c in keep], F.col(PREDICTION).alias("predict"))
 
     def save(self, path: str, spark: SparkSession) -> None:
-        trees = len(self.model.trees) if isinstance(self.model, ExtraTreesModel) else 0
-        if trees:
+        forest = self.model.about() if isinstance(self.model, ForestModel) else None
+        if forest:
             self.model.save(f"{path}/model")
         else:
             self.model.write().overwrite().save(f"{path}/model")
@@ -53,15 +53,15 @@ class Forecaster:
         # Written last: a folder without it is not a complete model.
         about = {
             "features": self.features, "target": self.target, "kind": self.kind, "contract": self.contract.jsonValue(),
-            "codes": sorted(self.codes), "scale": self.scale, "trees": trees,
+            "codes": sorted(self.codes), "scale": self.scale, "forest": forest,
         }
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> "Forecaster":
         about = json.loads(spark.read.text(f"{path}/about").first()["value"])
-        if about["trees"]:
-            model = ExtraTreesModel.load(f"{path}/model", about["trees"])
+        if about["forest"]:
+            model = ForestModel.load(f"{path}/model", about["forest"], spark)
         else:
             model = PipelineModel.load(f"{path}/model")
         codes = {name: spark.read.parquet(f"{path}/codes/{name}") for name in about["codes"]}
@@ -97,6 +97,6 @@ def fit(train: DataFrame, features: list[str], target: str, kind: ModelKind) ->
     ready = _prepare(rows, features, codes, scale).select(FEATURES, LABEL)
     estimator = kind.estimator()
     model = estimator.fit(ready)
-    if not isinstance(model, ExtraTreesModel):
+    if not isinstance(model, ForestModel):
         model = PipelineModel([model])
     return Forecaster(features, target, kind.name, contract, codes, scale, model)

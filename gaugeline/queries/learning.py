@@ -1,12 +1,13 @@
-"""Queries that fit models. Values depend on the learner, so they have no SQL twin."""
+"""Queries that fit models. Values depend on the learner, so only trees without chance have a SQL twin: their leaves are means."""
 
 from __future__ import annotations
 
 from gaugeline.operators import models, schedule
 from gaugeline.operators.schedule import Regimen
 from gaugeline.plans import backtest, forecast
-from gaugeline.queries.common import ENTITY, PER_ENTITY, TARGET, TS, feature_table, span
-from gaugeline.queries.registry import query
+from gaugeline.queries.common import ENTITY, PER_ENTITY, TARGET, TS, WEEK, feature_table, span
+from gaugeline.queries.registry import query, rounded
+from gaugeline.queries.schedules import means_sql, single_sql
 from gaugeline.session import materialize, scratch_dir
 
 LONG = Regimen("21D", "3D", min_train=300)
@@ -45,6 +46,37 @@ def _(spark, d):
     return _every_window(spark, d, "ET_SC")
 
 
+def _whole_tree(splits: str) -> models.ModelKind:
+    """One tree of full depth on all rows: features that only tell groups apart make each leaf a group's mean."""
+    return models.ModelKind(f"tree_{splits}", "rf", lambda: models.Forest(1, splits, drawn=False))
+
+
+@query("m4_whole_tree", means_sql("event_type, hour"))
+def _(spark, d):
+    args = feature_table(spark, d), span(spark, d), WEEK, ENTITY, TS, TARGET, [ENTITY, "hour"], _whole_tree("best")
+    return rounded(backtest.learned(*args, scratch_dir(spark, "windows")))
+
+
+@query("m6_whole_extra_tree", means_sql("event_type, hour"))
+def _(spark, d):
+    args = feature_table(spark, d), span(spark, d), WEEK, ENTITY, TS, TARGET, [ENTITY, "hour"], _whole_tree("random")
+    return rounded(backtest.learned(*args, scratch_dir(spark, "windows")))
+
+
+@query(
+    "m11_whole_tree_per_entity",
+    f"""WITH {single_sql(False)}, means AS (
+      SELECT r.window_id, event_type, hour, avg(f.value) AS predict FROM reached r JOIN features f USING (event_type)
+      WHERE varied AND f.ts >= r.train_start AND f.ts < r.predict_start GROUP BY ALL)
+    SELECT r.window_id, event_type AS entity, f.ts, round(m.predict, 6) AS predict, round(f.value, 6) AS actual
+    FROM reached r JOIN features f USING (event_type) JOIN means m USING (window_id, event_type, hour)
+    WHERE varied AND f.ts >= r.predict_start AND f.ts < r.predict_stop""",
+)
+def _(spark, d):
+    args = feature_table(spark, d), PER_ENTITY, ENTITY, TS, TARGET, ["hour"], _whole_tree("best")
+    return rounded(backtest.learned_per_entity(*args, scratch_dir(spark, "per-entity")))
+
+
 @query("m10_m13_backtest_forest")
 def _(spark, d):
     kind = models.model_kind("RF", TREES["RF"])

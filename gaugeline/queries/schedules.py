@@ -22,7 +22,7 @@ def _(spark, d):
 
 
 # Single-series schedule: windows count from the entity's first feature row.
-def _single(closed: bool) -> str:
+def single_sql(closed: bool) -> str:
     upper = "<=" if closed else "<"
     return f"""{FEATURES},
 starts AS (SELECT event_type, min(ts) AS s FROM features GROUP BY 1),
@@ -39,19 +39,19 @@ reached AS (SELECT c.* FROM counted c JOIN bad USING (event_type) WHERE window_i
 _SHOWN = "event_type, window_id, train_start, train_stop, predict_start, predict_stop, train_rows, predict_rows"
 
 
-@query("c14_entity_windows", f"WITH {_single(False)} SELECT {_SHOWN}, varied AS trained FROM reached")
+@query("c14_entity_windows", f"WITH {single_sql(False)} SELECT {_SHOWN}, varied AS trained FROM reached")
 def _(spark, d):
     return schedule.entity_windows(feature_table(spark, d), PER_ENTITY, ENTITY, TS, TARGET)
 
 
-@query("c15_entity_windows_closed", f"WITH {_single(True)} SELECT {_SHOWN}, true AS trained FROM reached")
+@query("c15_entity_windows_closed", f"WITH {single_sql(True)} SELECT {_SHOWN}, true AS trained FROM reached")
 def _(spark, d):
     return schedule.entity_windows(feature_table(spark, d), PER_ENTITY, ENTITY, TS, TARGET, closed=True)
 
 
 @query(
     "c15_closed_predictions",
-    f"""WITH {_single(True)} SELECT r.window_id, event_type AS entity, f.ts, round(f.hist_1D, 6) AS predict, round(f.value, 6) AS actual
+    f"""WITH {single_sql(True)} SELECT r.window_id, event_type AS entity, f.ts, round(f.hist_1D, 6) AS predict, round(f.value, 6) AS actual
     FROM reached r JOIN features f USING (event_type) WHERE f.ts BETWEEN r.predict_start AND r.predict_stop""",
 )
 def _(spark, d):
@@ -106,14 +106,14 @@ def _(spark, d):
 
 @query(
     "m13_backtest_naive_single",
-    f"""WITH {_single(False)} SELECT r.window_id, event_type AS entity, f.ts, round(f.hist_1D, 6) AS predict, round(f.value, 6) AS actual
+    f"""WITH {single_sql(False)} SELECT r.window_id, event_type AS entity, f.ts, round(f.hist_1D, 6) AS predict, round(f.value, 6) AS actual
     FROM reached r JOIN features f USING (event_type) WHERE varied AND f.ts >= r.predict_start AND f.ts < r.predict_stop""",
 )
 def _(spark, d):
     return rounded(backtest.naive_per_entity(feature_table(spark, d), PER_ENTITY, ENTITY, TS, TARGET))
 
 
-def _means(keys: str) -> str:
+def means_sql(keys: str) -> str:
     return f"""WITH {NAIVE}, means AS (
       SELECT w.window_id, {keys}, avg(f.value) AS predict FROM windows w JOIN eligible USING (window_id)
         JOIN features f ON f.ts >= w.train_start AND f.ts < w.train_stop GROUP BY ALL)
@@ -121,12 +121,12 @@ def _means(keys: str) -> str:
     FROM windows w JOIN features f ON f.ts >= w.predict_start AND f.ts < w.predict_stop JOIN means m USING (window_id, {keys})"""
 
 
-@query("m16_group_mean", _means("weekday, hour"))
+@query("m16_group_mean", means_sql("weekday, hour"))
 def _(spark, d):
     return rounded(backtest.group_mean(feature_table(spark, d), span(spark, d), WEEK, ENTITY, TS, TARGET))
 
 
-@query("m16_group_mean_per_entity", _means("event_type, hour"))
+@query("m16_group_mean_per_entity", means_sql("event_type, hour"))
 def _(spark, d):
     rows = feature_table(spark, d)
     return rounded(backtest.group_mean(rows, span(spark, d), WEEK, ENTITY, TS, TARGET, keys=["hour"], per_entity=True))

@@ -51,7 +51,6 @@ def finished(spark: SparkSession, ledger_path: str, schema: T.StructType) -> Dat
 
 
 DAY = "_day"
-OWNER = "_owner"
 
 
 def write_by_day(df: DataFrame, ts: str, out: str) -> DataFrame:
@@ -59,11 +58,6 @@ def write_by_day(df: DataFrame, ts: str, out: str) -> DataFrame:
     return _write_once(df.withColumn(DAY, F.to_date(ts)), DAY, ts, out)
 
 
-def write_by_entity(df: DataFrame, entity: str, ts: str, out: str) -> DataFrame:
-    """The same with one folder per entity (column ``_owner``), for a table of a few entities."""
-    return _write_once(df.withColumn(OWNER, F.col(entity).cast("string")), OWNER, ts, out)
-
-
 def _write_once(df: DataFrame, by: str, ts: str, out: str) -> DataFrame:
     """A later call with the same ``out`` reads what the first one finished. Rows are split by ranges of the folder
     column and time, so a heavy folder holds several files."""
