@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import errors
-from gaugeline.operators import grid
+from gaugeline.operators import grid, perbin
 
 ALL_VIEWS = ("original", "percentile", "std", "variance", "busy_hour", "busy_avg")
 SERIES = ("predict", "actual")
@@ -72,10 +72,11 @@ def _by_day(pred: DataFrame, entity: str, ts: str) -> DataFrame:
 
 
 def daily(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int = 95, busy: int = 4, mode: str = "argmax",
-          views=ALL_VIEWS) -> DataFrame:
+          views=ALL_VIEWS, custom: dict[str, perbin.BinFunction] | None = None) -> DataFrame:
     """One wide row per (entity, day), days without data included; a struct (predict, actual) per view.
 
-    Predictions are shuffled once, by (entity, day); both the day and the hour aggregates read that shuffle.
+    ``custom`` adds a view per entry, a function of a day's values in time order. Predictions are shuffled once, by (entity, day); the day
+    and hour aggregates and the functions read that shuffle.
     """
     placed = _by_day(pred, entity, ts)
     both = {
@@ -84,6 +85,10 @@ def daily(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int =
         "variance": F.var_pop,
     }
     chosen = {v: f for v, f in both.items() if v in views}
+    custom = custom or {}
+    taken = set(custom) & set(ALL_VIEWS)
+    if taken:
+        raise ValueError(f"views {sorted(taken)} are built in")
     wants_busy = "busy_hour" in views or "busy_avg" in views
     stats = None
     if chosen or not wants_busy:
@@ -93,6 +98,8 @@ def daily(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int =
     if wants_busy:
         hours = _day_scores(placed.withColumn("_hour", F.hour(ts)), entity, busy)
         stats = hours if stats is None else stats.join(hours, [entity, "_day"])
+    if custom:
+        stats = stats.join(perbin.per_group(placed, [entity, "_day"], ts, list(SERIES), custom), [entity, "_day"])
     if "_seen" in stats.columns:  # keeps the shuffled columns equal in all branches, so there is one shuffle
         stats = stats.withColumn("_day", F.to_date("_seen"))
     w = Window.partitionBy(entity).orderBy("_day")
@@ -100,7 +107,7 @@ def daily(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int =
     until = F.coalesce(F.date_sub("_next", 1), F.col("_day"))
     days = stats.withColumn("_date", F.explode(F.sequence("_day", until, F.expr("interval 1 day"))))
     own = F.col("_date") == F.col("_day")
-    days = days.withColumns({v: F.when(own, F.col(v)) for v in chosen})
+    days = days.withColumns({v: F.when(own, F.col(v)) for v in (*chosen, *custom)})
     if wants_busy:
         first, last = own & (F.col("_nr") == 1), F.col("_next").isNull()
         none = F.array().cast(days.schema["_scores"].dataType)
@@ -114,7 +121,7 @@ def daily(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int =
             "busy_hour": F.struct(*[(-F.col(f"_{c}")["back"]).cast("double").alias(c) for c in SERIES]),
             "busy_avg": F.struct(*[F.col(f"_{c}")["score"].alias(c) for c in SERIES]),
         })
-    kept = [v for v in ALL_VIEWS if v in views and v != "original"]
+    kept = [v for v in ALL_VIEWS if v in views and v != "original"] + list(custom)
     return days.select(entity, F.col("_date").cast("timestamp_ntz").alias(ts), *kept)
 
 
@@ -125,18 +132,19 @@ def view_name(view: str, pctile: int = 95, busy: int = 4) -> str:
 
 
 def build(pred: DataFrame, entity: str = "entity", ts: str = "ts", pctile: int = 95, busy: int = 4, mode: str = "argmax",
-          views=ALL_VIEWS) -> DataFrame:
-    """All chosen views as one long table ``(entity, view, ts, predict, actual)``."""
+          views=ALL_VIEWS, custom: dict[str, perbin.BinFunction] | None = None) -> DataFrame:
+    """All chosen views, and one per entry of ``custom``, as one long table ``(entity, view, ts, predict, actual)``."""
     unknown = set(views) - set(ALL_VIEWS)
     if unknown:
         raise ValueError(f"unknown views: {sorted(unknown)}")
     parts = []
-    by_day = [v for v in ALL_VIEWS if v in views and v != "original"]
+    built_in = [v for v in ALL_VIEWS if v in views and v != "original"]
+    by_day = built_in + list(custom or {})
     if "original" in views:
         rows = _by_day(pred, entity, ts) if by_day else pred  # with daily views, read their shuffle
         parts.append(rows.select(entity, F.lit("original").alias("view"), ts, *SERIES))
     if by_day:
-        wide = daily(pred, entity, ts, pctile, busy, mode, by_day)
+        wide = daily(pred, entity, ts, pctile, busy, mode, built_in, custom)
         rows = F.explode(
             F.array(*[
                 F.struct(F.lit(view_name(v, pctile, busy)).alias("view"), *[F.col(v)[c].alias(c) for c in SERIES])

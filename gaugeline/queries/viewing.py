@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from gaugeline.functions import errors
-from gaugeline.operators import scores, views
+from gaugeline.operators import perbin, scores, views
 from gaugeline.plans import backtest
-from gaugeline.queries.common import ENTITY, TARGET, TS, naive_predictions
+from gaugeline.queries.common import ENTITY, TARGET, TS, feature_table, naive_predictions
 from gaugeline.queries.registry import GRID, NAIVE, events, query, ratio_sql, rounded, table
 from gaugeline.sources import store
 
@@ -137,6 +140,41 @@ def _(spark, d):
     return rounded(views.build(naive_predictions(spark, d), views=["original"]))
 
 
+def trimmed_mean(values):
+    """Mean without the lowest and the highest tenth of the known values."""
+    known = np.sort(values[~np.isnan(values)])
+    cut = len(known) // 10
+    kept = known[cut : len(known) - cut].tolist()
+    return math.fsum(kept) / len(kept) if kept else None
+
+
+def _trimmed(column: str) -> str:
+    return f"""SELECT entity, day, favg({column}) AS {column} FROM (
+      SELECT entity, day, {column}, row_number() OVER w AS nr, count(*) OVER (PARTITION BY entity, day) AS n
+      FROM (SELECT entity, CAST(ts AS DATE) AS day, {column} FROM pred WHERE {column} IS NOT NULL) WINDOW w AS (PARTITION BY entity, day ORDER BY {column}))
+      WHERE nr > n // 10 AND nr <= n - n // 10 GROUP BY ALL"""
+
+
+@query("x2_trimmed_mean_view", f"""WITH {NAIVE}, p AS ({_trimmed("predict")}), a AS ({_trimmed("actual")})
+    SELECT entity, view, CAST(day AS TIMESTAMP) AS ts, round(predict, 6) AS predict, round(actual, 6) AS actual FROM (
+      SELECT entity, 'trimmed' AS view, day, predict, actual FROM p JOIN a USING (entity, day)
+      UNION ALL SELECT entity, 'std', CAST(ts AS DATE), stddev_pop(predict), stddev_pop(actual) FROM pred GROUP BY entity, CAST(ts AS DATE))""")
+def _(spark, d):
+    return rounded(views.build(naive_predictions(spark, d), views=["std"], custom={"trimmed": trimmed_mean}))
+
+
+def _middle_distance(values):
+    known = values[~np.isnan(values)]
+    return np.median(np.abs(known - np.median(known))) if len(known) else None
+
+
+@query("x2_rebinned_grid", f"""WITH {GRID} SELECT event_type, make_timestamp(CAST(epoch(ts) AS BIGINT) // 21600 * 21600000000) AS ts,
+    round(mad(value), 6) AS mad_value, round(arg_max(value, ts) - arg_min(value, ts), 6) AS rise_value FROM grid WHERE value IS NOT NULL GROUP BY ALL""")
+def _(spark, d):
+    hourly = feature_table(spark, d, [], drop=False)
+    return rounded(perbin.rebin(hourly, ENTITY, TS, "6h", [TARGET], {"mad": _middle_distance, "rise": lambda v: v[-1] - v[0]}))
+
+
 _BUNDLE = f"""{_DAYS},
 fwd AS (SELECT entity, date_trunc('day', ts) AS ts, hour(ts) AS h, avg(predict) OVER w AS fp, avg(actual) OVER w AS fa FROM pred
   WINDOW w AS (PARTITION BY entity, date_trunc('day', ts) ORDER BY ts ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
