@@ -156,11 +156,11 @@ def _trimmed(column: str) -> str:
 
 
 @query("x2_trimmed_mean_view", f"""WITH {NAIVE}, p AS ({_trimmed("predict")}), a AS ({_trimmed("actual")})
-    SELECT entity, view, CAST(day AS TIMESTAMP) AS ts, round(predict, 6) AS predict, round(actual, 6) AS actual FROM (
+    SELECT entity, view, CAST(day AS TIMESTAMP) AS ts, round(predict, 9) AS predict, round(actual, 9) AS actual FROM (
       SELECT entity, 'trimmed' AS view, day, predict, actual FROM p JOIN a USING (entity, day)
       UNION ALL SELECT entity, 'std', CAST(ts AS DATE), stddev_pop(predict), stddev_pop(actual) FROM pred GROUP BY entity, CAST(ts AS DATE))""")
 def _(spark, d):
-    return rounded(views.build(naive_predictions(spark, d), views=["std"], custom={"trimmed": trimmed_mean}))
+    return rounded(views.build(naive_predictions(spark, d), views=["std"], custom={"trimmed": trimmed_mean}), 9)
 
 
 def _middle_distance(values):
