@@ -7,14 +7,13 @@ Features are computed once by the caller. Predictions always have the columns
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timedelta
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from gaugeline.functions import errors
+from gaugeline.functions import errors, timecols
 from gaugeline.functions.durations import canonical
 from gaugeline.operators import clean, encode, models, schedule, scores, seasonal, trees
 from gaugeline.operators.features import transform
@@ -168,32 +167,41 @@ def _grown(rows: DataFrame, features: DataFrame, model: list[str], entity: str,
 
 def seasonal_search(
     features: DataFrame, span: DataFrame, regimen: Regimen, entity: str, ts: str, target: str, step_seconds: int, out: str,
-    season: int = 12, parallelism: int = 4,
+    season: int = 12, orders: list[tuple] | None = None,
 ) -> DataFrame:
     """The seasonal order search in every eligible window: per entity the best candidate's forecast of the next interval.
 
-    ``features`` lie on a grid of ``step_seconds``. Rows are written by day, windows are run and listed as in ``learned``. Runs jobs.
+    ``features`` lie on a grid of ``step_seconds``. Rows are written by day. An entity's values are first put together per slot (the
+    stretch no window boundary cuts); windows then gather slots, not rows, and ``TOGETHER`` windows run in one job. Finished windows are
+    listed as in ``learned``. Runs jobs.
     """
     spark = features.sparkSession
     known = store.write_by_day(features.dropna(subset=[target]).select(entity, ts, target), ts, f"{out}/features")
     plan = schedule.eligible_windows(known, span, regimen, ts, target).filter("predict_rows > 0")
     todo = store.pending(plan, f"{out}/done", ["window_id"]).orderBy("window_id").collect()
     steps = -(-regimen.predict_us // (step_seconds * 1_000_000))
-
-    def run(window) -> tuple:
-        train = _between(known, ts, window["train_start"], window["train_stop"])
-        test = _between(known, ts, window["predict_start"], window["predict_stop"])
-        best = seasonal.search(train, entity, ts, target, steps, season)
+    start = schedule.range_start_us(span)
+    for first in range(0, len(todo), TOGETHER):
+        some = todo[first : first + TOGETHER]
+        mine = _between(known, ts, some[0]["train_start"], some[-1]["predict_stop"])
+        slots = mine.groupBy(F.col(entity).alias("entity"), schedule.slot_of(ts, start, regimen).alias("_slot"))
+        slots = slots.agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(target).cast("double").alias("y")))).alias("s"))
+        parts = schedule.spread_over_windows(slots.select("entity", "_slot", F.transform("s", lambda v: v["y"]).alias("y")), regimen)
+        wanted = F.broadcast(spark.createDataFrame([(w["window_id"], w["predict_start"]) for w in some], "window_id bigint, begins timestamp_ntz"))
+        series = parts.join(wanted, "window_id").groupBy("entity", "window_id", "begins").agg(F.array_sort(F.collect_list(F.struct("_slot", "y"))).alias("s"))
+        series = series.select("entity", "window_id", "begins", F.flatten(F.transform("s", lambda v: v["y"])).alias("values"))
+        # A fixed number of tasks: series are few and the fits heavy, adaptive execution would put them together by their bytes.
+        series = series.repartition(4 * spark.sparkContext.defaultParallelism, "entity", "window_id")
+        best = seasonal.best_fits(series, ["entity", "window_id", "begins"], steps, season, orders)
         # Windows start at the raw first sample: the first forecast is for the first grid time that is not before the interval.
-        late = (window["predict_start"] - datetime(1970, 1, 1)) % timedelta(seconds=step_seconds)
-        first = window["predict_start"] + (timedelta(seconds=step_seconds) - late if late else timedelta(0))
-        rows = seasonal.forecast_rows(best, test, entity, ts, target, first, step_seconds)
-        path = f"{out}/predictions/part-{window['window_id']}"
-        rows = rows.select(F.lit(window["window_id"]).cast("bigint").alias("window_id"), F.col(entity).alias("entity"), F.col(ts).alias("ts"), "predict", "actual")
-        rows.write.mode("overwrite").parquet(path)
-        return window["window_id"], path
-
-    _run_all(spark, run, todo, parallelism, f"{out}/done", "window_id bigint, path string")
+        size = step_seconds * 1_000_000
+        begin = timecols.floor_div(timecols.to_micros("begins") + (size - 1), size) * size
+        rows = best.select("entity", "window_id", begin.alias("_us"), F.posexplode("forecast").alias("i", "predict"))
+        rows = rows.select("entity", "window_id", timecols.from_micros(F.col("_us") + F.col("i") * size).alias("ts"), "predict")
+        actual = mine.select(F.col(entity).alias("entity"), F.col(ts).alias("ts"), F.col(target).alias("actual"))
+        path = f"{out}/predictions/part-{uuid.uuid4().hex}"
+        rows.join(actual, ["entity", "ts"]).select(PREDICTION_COLUMNS).write.parquet(path)
+        spark.createDataFrame([(w["window_id"], path) for w in some], "window_id bigint, path string").coalesce(1).write.mode("append").parquet(f"{out}/done")
     return store.finished(spark, f"{out}/done", _empty_schema(features, entity, ts, target))
 
 

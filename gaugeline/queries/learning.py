@@ -6,7 +6,7 @@ from gaugeline.operators import models, schedule
 from gaugeline.operators.schedule import Regimen
 from gaugeline.plans import backtest, forecast
 from gaugeline.queries.common import ENTITY, PER_ENTITY, TARGET, TS, WEEK, feature_table, span
-from gaugeline.queries.registry import query, rounded
+from gaugeline.queries.registry import GRID, query, rounded
 from gaugeline.queries.schedules import means_sql, single_sql
 from gaugeline.session import materialize, scratch_dir
 
@@ -137,3 +137,22 @@ def _(spark, d):
 def _(spark, d):
     grid = feature_table(spark, d, [], drop=False)
     return backtest.seasonal_search(grid, span(spark, d), FORTNIGHT, ENTITY, TS, TARGET, 3600, scratch_dir(spark, "seasonal"))
+
+
+@query(
+    "m17_first_order",
+    f"""WITH {GRID}, span AS (SELECT min(ts) AS s, max(ts) AS e FROM events),
+    windows AS (SELECT i AS window_id, s + to_days(CAST(i AS INTEGER)) AS train_start, s + to_days(CAST(i AS INTEGER) + 14) AS train_stop,
+      s + to_days(CAST(i AS INTEGER) + 15) AS predict_stop FROM span, range(0, 1000) r(i) WHERE s + to_days(CAST(i AS INTEGER) + 14) <= e),
+    trained AS (SELECT window_id, event_type, g.ts, value, lag(value) OVER w AS before, row_number() OVER w AS nr, count(*) OVER (PARTITION BY window_id, event_type) AS n
+      FROM windows JOIN grid g ON g.ts >= train_start AND g.ts < train_stop WHERE value IS NOT NULL WINDOW w AS (PARTITION BY window_id, event_type ORDER BY g.ts)),
+    enough AS (SELECT window_id FROM trained GROUP BY 1 HAVING count(*) >= 300 AND count(DISTINCT value) >= 2),
+    fits AS (SELECT window_id, event_type, regr_slope(value, before) FILTER (WHERE nr > 40) AS a, regr_intercept(value, before) FILTER (WHERE nr > 40) AS b, arg_max(value, ts) AS last
+      FROM trained JOIN enough USING (window_id) GROUP BY ALL HAVING any_value(n) >= 48),
+    ahead AS (SELECT window_id, event_type, ts, value, row_number() OVER (PARTITION BY window_id, event_type ORDER BY ts) AS h
+      FROM windows JOIN grid g ON g.ts >= train_stop AND g.ts < predict_stop)
+    SELECT window_id, event_type AS entity, ts, round(b * (1 - a ** h) / (1 - a) + a ** h * last, 6) AS predict, round(value, 6) AS actual FROM ahead JOIN fits USING (window_id, event_type)""",
+)
+def _(spark, d):
+    grid = feature_table(spark, d, [], drop=False)
+    return rounded(backtest.seasonal_search(grid, span(spark, d), FORTNIGHT, ENTITY, TS, TARGET, 3600, scratch_dir(spark, "first-order"), orders=[(1, 0, 0, 0, 0, 0)]))
