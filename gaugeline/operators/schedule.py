@@ -104,38 +104,71 @@ def spread_over_windows(slots: DataFrame, regimen: Regimen) -> DataFrame:
 
 def window_statistics(features: DataFrame, span: DataFrame, regimen: Regimen, entity: str, ts: str, target: str) -> DataFrame:
     """Per window: bounds, train rows and entities, first and last train row, predict rows, and eligibility
-    (enough train rows over all entities, at least two target values)."""
-    return _statistics(features, span, regimen, [entity], ts, target)
+    (enough train rows over all entities, at least two target values).
+
+    An entity counts in the stretch of windows that its slots reach without a break: each stretch is one row where it begins and
+    one behind its end, whatever the ratio of the training to the predicted interval.
+    """
+    slots = features.select(F.struct(entity).alias("e"), slot_of(ts, range_start_us(span), regimen).alias("_slot")).filter("_slot >= 0").distinct()
+    first, last = train_window_range(F.col("_slot"), regimen)
+    own = Window.partitionBy("e").orderBy("_slot")
+    # A slot that no training interval holds (train shorter than predict) reaches no window.
+    reach = slots.withColumns({"a": first, "b": last}).filter("a <= b")
+    reach = reach.withColumns({"begins": F.coalesce(F.col("a") > F.lag("b").over(own) + 1, F.lit(True)), "ends": F.coalesce(F.lead("a").over(own) > F.col("b") + 1, F.lit(True))})
+    steps = F.array(F.struct(F.col("a").alias("w"), F.col("begins").cast("long").alias("d")), F.struct((F.col("b") + 1).alias("w"), (-F.col("ends").cast("long")).alias("d")))
+    changes = reach.select(F.explode(steps).alias("s")).filter("s.d != 0").groupBy("s.w").agg(F.sum("s.d").alias("d"))
+    # One row per window at most from here on; windows without a change keep the count before them.
+    known = windows(span, regimen).select(F.col("window_id").alias("w"), F.lit(0).cast("long").alias("d")).unionByName(changes)
+    so_far = known.groupBy("w").agg(F.sum("d").alias("d")).select(F.col("w").alias("window_id"), F.sum("d").over(Window.orderBy("w")).alias("entities"))
+    table = _statistics(features, span, regimen, ts, target).join(so_far, "window_id")
+    return table.select("window_id", "train_start", "train_stop", "predict_start", "predict_stop", "train_rows", "entities", *[c for c in table.columns[6:] if c != "entities"])
 
 
 def eligible_windows(features, span, regimen: Regimen, ts: str, target: str) -> DataFrame:
     """The eligible windows with the same statistics but the entities: only one sum per slot is spread, however many entities there are."""
-    return _statistics(features, span, regimen, [], ts, target).drop("entities").filter("eligible")
+    return _statistics(features, span, regimen, ts, target).filter("eligible")
 
 
-def _statistics(features: DataFrame, span: DataFrame, regimen: Regimen, groups: list[str], ts: str, target: str) -> DataFrame:
+def _statistics(features: DataFrame, span: DataFrame, regimen: Regimen, ts: str, target: str) -> DataFrame:
     start = range_start_us(span)
-    rows = features.select(*groups, ts, target).withColumn("_slot", slot_of(ts, start, regimen))
+    rows = features.select(ts, target).withColumn("_slot", slot_of(ts, start, regimen))
     rows = rows.withColumn("_pw", predict_window(ts, start, regimen))
-    small = rows.filter("_slot >= 0").groupBy(*groups, "_slot", "_pw").agg(
+    small = rows.filter("_slot >= 0").groupBy("_slot", "_pw").agg(
         F.count("*").alias("n"), F.min(target).alias("lo"), F.max(target).alias("hi"),
         F.min(ts).alias("first"), F.max(ts).alias("last"),
     )
-    per_group = spread_over_windows(small, regimen).groupBy("window_id", *groups).agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.min("first").alias("first"), F.max("last").alias("last"),
-    )
-    train = per_group.groupBy("window_id").agg(
-        F.sum("n").alias("train_rows"), F.count("*").alias("entities"),
-        F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)).alias("valid_target"),
+    train = spread_over_windows(small, regimen).groupBy("window_id").agg(
+        F.sum("n").alias("train_rows"), F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)).alias("valid_target"),
         F.min("first").alias("first_row"), F.max("last").alias("last_row"),
     )
     predicted = small.filter("_pw >= 0").groupBy(F.col("_pw").alias("window_id")).agg(F.sum("n").alias("predict_rows"))
     table = windows(span, regimen).join(train, "window_id", "left").join(predicted, "window_id", "left")
-    table = table.fillna(0, ["train_rows", "entities", "predict_rows"]).fillna(False, ["valid_target"])
+    table = table.fillna(0, ["train_rows", "predict_rows"]).fillna(False, ["valid_target"])
     return table.withColumn("eligible", (F.col("train_rows") >= regimen.min_train) & F.col("valid_target"))
 
 
+def sums_by_window(slots: DataFrame, regimen: Regimen, groups: list[str], sums: list[str], count: str) -> DataFrame:
+    """``window_id, groups, sums, count`` over each window's training interval, for ``slots (_slot, groups, sums, count)``.
+
+    A slot's numbers are added where the first window that trains on it begins and taken off behind the last one, so two rows per slot are
+    moved, whatever the ratio of the two intervals; sums are then running sums over the windows. Windows in which a group
+    has no rows are left out. Sums must be finite.
+    """
+    first, last = train_window_range(F.col("_slot"), regimen)
+    inside = slots.filter("_slot >= 0").withColumns({"_a": first, "_b": last}).filter("_a <= _b")
+    moves = F.explode(F.array(F.struct(F.col("_a").alias("w"), F.lit(1).alias("sign")), F.struct((F.col("_b") + 1).alias("w"), F.lit(-1).alias("sign"))))
+    named = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
+    keys = [f"_g{i}" for i in range(len(groups))]
+    numbers = [*sums, count]
+    deltas = inside.withColumn("_m", moves).select(*named, F.col("_m.w").alias("w"), *[(F.col("_m.sign") * F.col(c)).alias(c) for c in numbers])
+    # Dealt out by group once: both the sums per window and the running sums find their rows together.
+    deltas = deltas.repartition(*keys).groupBy(*keys, "w").agg(*[F.sum(c).alias(c) for c in numbers])
+    own = Window.partitionBy(*keys).orderBy("w")
+    so_far = deltas.select(*keys, "w", *[F.sum(c).over(own).alias(c) for c in numbers], F.lead("w").over(own).alias("_next"))
+    spread = so_far.filter((F.col(count) > 0) & F.col("_next").isNotNull()).withColumn("window_id", F.explode(F.sequence("w", F.col("_next") - 1)))
+    return spread.select("window_id", *[F.col(k).alias(g) for k, g in zip(keys, groups)], *numbers)
+
+
 def assign_predict(features: DataFrame, span: DataFrame, regimen: Regimen, ts: str) -> DataFrame:
     """Rows that fall into a predict interval of the schedule, with its ``window_id``."""
     end = span.select(timecols.to_micros("range_end")).scalar()

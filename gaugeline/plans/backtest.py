@@ -7,6 +7,7 @@ Features are computed once by the caller. Predictions always have the columns
 from __future__ import annotations
 
 import uuid
+from math import prod
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,23 +51,29 @@ def naive_per_entity(features, regimen: Regimen, entity: str, ts: str, target: s
 def group_mean(
     features, span, regimen: Regimen, entity: str, ts: str, target: str, keys=("weekday", "hour"), per_entity: bool = False
 ) -> DataFrame:
-    """Mean of the train interval per group (calendar keys, with the entity if asked for); fully lazy.
+    """Mean of the train interval per group (calendar keys, with the entity if asked for); lazy but for the number of windows.
 
-    Sums are taken per slot and group before they are spread over the windows that train on the slot. A row
-    whose group has no train row is not predicted.
+    Sums are taken per slot and group and run over the windows (``schedule.sums_by_window``). A row whose group has no train row is not
+    predicted. Means of calendar keys alone, at most ``SENT_MEANS`` of them by the keys' own ranges, are broadcast, as each of them belongs to a
+    large share of the rows.
     """
     groups = ([entity] if per_entity else []) + list(keys)
     start = schedule.range_start_us(span)
     slots = features.withColumn("_slot", schedule.slot_of(ts, start, regimen)).filter(F.col(target).isNotNull())
     slots = slots.groupBy(*groups, "_slot").agg(F.sum(target).alias("s"), F.count("*").alias("n"))
-    means = schedule.spread_over_windows(slots, regimen).groupBy("window_id", *groups)
-    means = means.agg((F.sum("s") / F.sum("n")).alias("predict"))
+    means = schedule.sums_by_window(slots, regimen, groups, ["s"], "n").withColumn("predict", F.col("s") / F.col("n")).drop("s", "n")
     allowed = schedule.eligible_windows(features, span, regimen, ts, target).select("window_id")
     means = means.join(F.broadcast(allowed), "window_id", "left_semi")
+    if all(k in CALENDAR for k in groups) and schedule.windows(span, regimen).count() * prod(CALENDAR[k] for k in groups) <= SENT_MEANS:
+        means = F.broadcast(means)
     rows = schedule.assign_predict(features.select(*dict.fromkeys([entity, ts, target, *groups])), span, regimen, ts)
     return _shape(rows.join(means, ["window_id", *groups]), entity, ts, target)
 
 
+CALENDAR = {"month": 12, "day": 31, "weekday": 7, "hour": 24, "minute": 60}
+SENT_MEANS = 1 << 20
+
+
 def learned(
     features: DataFrame,
     span: DataFrame,

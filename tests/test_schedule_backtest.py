@@ -104,3 +104,29 @@ def test_interrupted_backtest_goes_on(spark):
     assert {r.window_id for r in first.select("window_id").distinct().collect()} == {0, 1, 2, 3}
     before = store.read_or_none(spark, f"{out}/done").count()
     assert backtest.learned(*args).count() == first.count() and store.read_or_none(spark, f"{out}/done").count() == before
+
+
+def test_statistics_and_sums_by_window_equal_plain_counting(spark):
+    """Long training intervals, entities with breaks, a null entity, windows nobody trains on."""
+    import random
+
+    rng = random.Random(4)
+    hours = {"a": range(0, 400), "b": [*range(5, 60), *range(200, 330)], "c": [77], None: range(120, 190), "d": rng.sample(range(400), 60)}
+    rows = [(e, h, float(rng.randint(0, 9))) for e, hs in hours.items() for h in hs if not 340 <= h < 370]
+    df = spark.createDataFrame(rows, "entity string, h int, value double").select("entity", F.expr("timestampadd(HOUR, h, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("ts"), "h", F.expr("h % 5 as k"), "value")
+    span = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:30:00' AS range_start, TIMESTAMP_NTZ'2024-01-17 15:00:00' AS range_end")
+    for train, predict in (("30h", "7h"), ("10h", "10h"), ("5h", "20h"), ("100h", "1h")):
+        regimen, t, p = Regimen(train, predict, min_train=1), int(train[:-1]), int(predict[:-1])
+        got = {r.window_id: r for r in schedule.window_statistics(df, span, regimen, "entity", "ts", "value").collect()}
+        slots = df.withColumn("_slot", schedule.slot_of("ts", schedule.range_start_us(span), regimen)).groupBy("entity", "k", "_slot").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+        sums = {(r.window_id, r.entity, r.k): (r.s, r.n) for r in schedule.sums_by_window(slots, regimen, ["entity", "k"], ["s"], "n").collect()}
+        want = {}
+        assert len(got) == (399 - 0.5 - t) // p + 1
+        for w, r in got.items():
+            own = [(e, h, v) for e, h, v in rows if 0.5 + w * p <= h < 0.5 + w * p + t]
+            assert (r.train_rows, r.entities) == (len(own), len({e for e, _, _ in own}))
+            for e, h, v in own:
+                s, n = want.get((w, e, h % 5), (0, 0))
+                want[w, e, h % 5] = s + v, n + 1
+        assert {k: v for k, v in sums.items() if k[0] in got} == want
+
