@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from gaugeline.operators import clean
 from gaugeline.session import materialize
 
 PERIOD = "period"
+DELIVERY = "_delivery"
 
 
 def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame | None:
@@ -117,24 +118,46 @@ def read_broken_out(spark: SparkSession, path: str, schema: T.StructType, fmt: s
 # --- entity store -----------------------------------------------------------------------------------------
 
 
-def merge(new: DataFrame, path: str, entity: str, ts: str, order: list[str], skip_existing: bool = False) -> None:
+def merge(
+    new: DataFrame, path: str, entity: str, ts: str, order: list[str], skip_existing: bool = False, delivery: str | Column | None = None,
+) -> None:
     """Add new rows to the store at ``path``; the first row per (entity, ts) wins, stored rows before new ones
-    and new ones by ``order``. With ``skip_existing`` entities already stored are left alone altogether."""
+    and new ones by ``order``.
+
+    With ``skip_existing`` an entity belongs to the delivery that first brought it: rows of any other delivery are left out. ``delivery``
+    names the rows' delivery, a column where a call brings several; without a name a call is a delivery of its own. Finished (entity,
+    delivery) pairs stand in a ledger that is written after the rows, so a delivery may come in several calls, and one that died half-way
+    is completed by the next call.
+    """
     spark = new.sparkSession
-    rows = clean.first_wins(new.filter(F.col(ts).isNotNull()), [entity, ts], order)
-    rows = rows.withColumn(PERIOD, F.date_format(ts, "yyyy-MM"))
+    named = F.lit(uuid.uuid4().hex if delivery is None else delivery) if not isinstance(delivery, Column) else delivery
+    rows = new.filter(F.col(ts).isNotNull()).withColumn(DELIVERY, named.cast("string"))
+    owners = read_or_none(spark, f"{path}.entities")
+    if skip_existing:
+        rows = materialize(rows, "merge")
+        here = rows.groupBy(F.col(entity).alias("_e")).agg(F.min(DELIVERY).alias("_here"))
+        if owners is not None:
+            # Two deliveries can have brought an entity in calls without skip_existing; the first by name owns it.
+            known = owners.groupBy(F.col("entity").alias("_k")).agg(F.min("delivery").alias("_known"))
+            here = here.join(known, F.col("_e").eqNullSafe(F.col("_k")), "left").select("_e", F.coalesce("_known", "_here").alias("_here"))
+        rows = rows.join(here, rows[entity].eqNullSafe(F.col("_e")) & (F.col(DELIVERY) == F.col("_here")), "left_semi")
+    rows = clean.first_wins(rows, [entity, ts], order).withColumn(PERIOD, F.date_format(ts, "yyyy-MM"))
+    rows = materialize(rows, "merge")  # so that months and ledger do not compute the delivery once more
+    pairs = rows.select(F.col(entity).alias("entity"), F.col(DELIVERY).alias("delivery")).distinct()
     stored = read_or_none(spark, path)
-    if stored is not None and skip_existing:
-        there = stored.select(F.col(entity).alias("_e")).distinct()
-        rows = rows.join(there, rows[entity].eqNullSafe(F.col("_e")), "left_anti")
-    elif stored is not None:
-        rows = materialize(rows, "merge")  # so that the months below do not compute the delivery once more
+    add = rows.drop(DELIVERY)
+    if stored is not None:
         touched = [r[0] for r in rows.select(PERIOD).distinct().collect()]  # months, a short list
         keys = stored.filter(F.col(PERIOD).cast("string").isin(touched)).select(F.col(entity).alias("_e"), F.col(ts).alias("_t"))
         # A null entity is an entity like others, here as in the de-duplication above.
-        rows = rows.join(keys, rows[entity].eqNullSafe(F.col("_e")) & (rows[ts] == F.col("_t")), "left_anti")
+        add = add.join(keys, add[entity].eqNullSafe(F.col("_e")) & (add[ts] == F.col("_t")), "left_anti")
     # Hash by (entity, day) keeps files few and a dense entity spread.
-    rows.repartition(PERIOD, entity, F.to_date(ts)).write.mode("append").partitionBy(PERIOD).parquet(path)
+    add.repartition(PERIOD, entity, F.to_date(ts)).write.mode("append").partitionBy(PERIOD).parquet(path)
+    if owners is not None:
+        both = owners.select(F.col("entity").alias("_k"), F.col("delivery").alias("_d"))
+        pairs = pairs.join(both, pairs["entity"].eqNullSafe(F.col("_k")) & (pairs["delivery"] == F.col("_d")), "left_anti")
+    if not pairs.isEmpty():
+        pairs.write.mode("append").parquet(f"{path}.entities")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -34,14 +34,16 @@ def score(rows: DataFrame, model: Forecaster, keys: list[str], out: str, checkpo
 
 
 def ingest(rows: DataFrame, path: str, entity: str, ts: str, order: list[str], checkpoint: str, skip_existing: bool = False,
-           once: bool = True) -> StreamingQuery:
+           once: bool = True, delivery: str | Column | None = None) -> StreamingQuery:
     """Merge arriving samples into the entity store, first row per (entity, ts) wins, exactly.
 
-    A batch that is replayed after a failure finds its rows stored and adds nothing.
+    A batch that is replayed after a failure finds its rows stored and adds nothing. All batches of a stream are one delivery unless
+    ``delivery`` names others, for instance by a column of the file's folder.
     """
+    named = checkpoint if delivery is None else delivery
 
     def add(batch: DataFrame, _id: int) -> None:
-        store.merge(batch, path, entity, ts, order, skip_existing)
+        store.merge(batch, path, entity, ts, order, skip_existing, named)
 
     return _start(rows.writeStream.foreachBatch(add), checkpoint, once)
 

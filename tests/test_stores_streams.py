@@ -74,3 +74,51 @@ def test_stream_replay_adds_nothing(spark, series):
         stream = flows.arriving(spark, inbox, df.schema)
         flows.ingest(stream, path, "entity", "ts", ["value"], scratch_dir(spark, "checkpoint")).awaitTermination()
     assert _stored(spark, path) == [("a", "2024-01-01 00:00:00", 1.0), ("b", "2024-01-01 00:00:00", 2.0)]
+
+
+def _parts(series):
+    first = series([("a", "2024-01-02 00:00:00", 2.0), ("b", "2024-01-02 00:00:00", 3.0), (None, "2024-01-02 00:00:00", 4.0)])
+    second = series([("b", "2024-01-02 01:00:00", 5.0), ("c", "2024-02-02 00:00:00", 6.0), (None, "2024-01-02 01:00:00", 7.0)])
+    return first, second
+
+
+WHOLE = [(None, "2024-01-02 00:00:00", 4.0), (None, "2024-01-02 01:00:00", 7.0), ("a", "2024-01-01 00:00:00", 1.0), ("b", "2024-01-02 00:00:00", 3.0),
+         ("b", "2024-01-02 01:00:00", 5.0), ("c", "2024-02-02 00:00:00", 6.0)]
+
+
+def test_a_delivery_in_two_calls_is_whole(spark, series):
+    path = scratch_dir(spark, "store")
+    store.merge(series([("a", "2024-01-01 00:00:00", 1.0)]), path, "entity", "ts", ["value"], delivery="one")
+    for part in _parts(series):
+        store.merge(part, path, "entity", "ts", ["value"], skip_existing=True, delivery="two")
+    assert _stored(spark, path) == WHOLE
+    store.merge(series([("b", "2024-05-01 00:00:00", 9.0), ("d", "2024-05-01 00:00:00", 9.0)]), path, "entity", "ts", ["value"], skip_existing=True, delivery="three")
+    assert _stored(spark, path) == [*WHOLE, ("d", "2024-05-01 00:00:00", 9.0)]
+
+
+def test_a_half_written_delivery_is_completed(spark, series, monkeypatch):
+    """The rows of one month are there, then the writer died: no ledger line stands yet."""
+    path = scratch_dir(spark, "store")
+    both = _parts(series)[0].unionByName(_parts(series)[1])
+    store.merge(series([("a", "2024-01-01 00:00:00", 1.0)]), path, "entity", "ts", ["value"])
+    half = both.filter("entity = 'b' and value = 3.0").withColumn("period", F.lit("2024-01"))
+    half.write.mode("append").partitionBy("period").parquet(path)
+    store.merge(both, path, "entity", "ts", ["value"], skip_existing=True)
+    assert _stored(spark, path) == WHOLE
+
+
+def test_two_deliveries_in_one_call(spark, series):
+    path = scratch_dir(spark, "store")
+    df = series([("x", "2024-01-01 00:00:00", 1.0), ("x", "2024-01-01 01:00:00", 2.0), ("y", "2024-01-01 01:00:00", 3.0)]).withColumn("file", F.expr("if(value = 1.0, 'f1', 'f2')"))
+    store.merge(df, path, "entity", "ts", ["value"], skip_existing=True, delivery=F.col("file"))
+    assert _stored(spark, path) == [("x", "2024-01-01 00:00:00", 1.0), ("y", "2024-01-01 01:00:00", 3.0)]
+
+
+def test_stream_that_skips_existing_takes_all_its_batches(spark, series):
+    inbox, path = scratch_dir(spark, "inbox"), scratch_dir(spark, "store")
+    store.merge(series([("a", "2024-01-01 00:00:00", 1.0)]), path, "entity", "ts", ["value"])
+    for part in _parts(series):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+    stream = flows.arriving(spark, inbox, _parts(series)[0].schema, files_per_batch=1)
+    flows.ingest(stream, path, "entity", "ts", ["value"], scratch_dir(spark, "checkpoint"), skip_existing=True).awaitTermination()
+    assert _stored(spark, path) == WHOLE
