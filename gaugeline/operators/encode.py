@@ -34,17 +34,17 @@ def fit_codes(df: DataFrame, column: str) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "_range").select("value", (F.col("_offset") + inside).alias("code"), "n")
 
 
-def apply_codes(df: DataFrame, column: str, codes: DataFrame, alias: str, spread_on: list[str]) -> DataFrame:
-    """Adds the code of ``column``; a value not in the table (or null) gets -1."""
+def apply_codes(df: DataFrame, column: str, codes: DataFrame, alias: str, spread_on: list[str], fitted_on: bool = False) -> DataFrame:
+    """Adds the code of ``column``; a value not in the table (or null) gets -1. ``fitted_on``: the codes were fitted on these very rows."""
     table = codes.select(F.col("value").alias(column), F.col("code").alias("_code"), "n")
-    found = attach(df, table, column, "n", spread_on)
+    found = attach(df, table, column, "n", spread_on, other_rows=not fitted_on)
     return found.withColumn(alias, F.coalesce(F.col("_code"), F.lit(UNSEEN)).cast("bigint")).drop("_code")
 
 
-def encode_strings(df: DataFrame, columns: list[str], fitted: dict[str, DataFrame], spread_on: list[str]) -> DataFrame:
+def encode_strings(df: DataFrame, columns: list[str], fitted: dict[str, DataFrame], spread_on: list[str], fitted_on: bool = False) -> DataFrame:
     """Replace each string column by its code; other columns pass through."""
     for c in columns:
-        coded = apply_codes(df, c, fitted[c], "_new", spread_on)
+        coded = apply_codes(df, c, fitted[c], "_new", spread_on, fitted_on)
         df = coded.select([F.col("_new").alias(c) if x == c else F.col(x) for x in df.columns])
     return df
 

@@ -124,25 +124,29 @@ def window_statistics(features: DataFrame, span: DataFrame, regimen: Regimen, en
     return table.select("window_id", "train_start", "train_stop", "predict_start", "predict_stop", "train_rows", "entities", *[c for c in table.columns[6:] if c != "entities"])
 
 
-def eligible_windows(features, span, regimen: Regimen, ts: str, target: str) -> DataFrame:
-    """The eligible windows with the same statistics but the entities: only one sum per slot is spread, however many entities there are."""
-    return _statistics(features, span, regimen, ts, target).filter("eligible")
+def eligible_windows(features, span, regimen: Regimen, ts: str, target: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The eligible windows with the same statistics but the entities: only one sum per slot is spread, however many entities there are.
+
+    With ``by``, a few runs kept in one table, each run has its own eligible windows.
+    """
+    return _statistics(features, span, regimen, ts, target, by).filter("eligible")
 
 
-def _statistics(features: DataFrame, span: DataFrame, regimen: Regimen, ts: str, target: str) -> DataFrame:
+def _statistics(features: DataFrame, span: DataFrame, regimen: Regimen, ts: str, target: str, by: tuple[str, ...] = ()) -> DataFrame:
     start = range_start_us(span)
-    rows = features.select(ts, target).withColumn("_slot", slot_of(ts, start, regimen))
+    rows = features.select(*by, ts, target).withColumn("_slot", slot_of(ts, start, regimen))
     rows = rows.withColumn("_pw", predict_window(ts, start, regimen))
-    small = rows.filter("_slot >= 0").groupBy("_slot", "_pw").agg(
+    small = rows.filter("_slot >= 0").groupBy(*by, "_slot", "_pw").agg(
         F.count("*").alias("n"), F.min(target).alias("lo"), F.max(target).alias("hi"),
         F.min(ts).alias("first"), F.max(ts).alias("last"),
     )
-    train = spread_over_windows(small, regimen).groupBy("window_id").agg(
+    train = spread_over_windows(small, regimen).groupBy(*by, "window_id").agg(
         F.sum("n").alias("train_rows"), F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)).alias("valid_target"),
         F.min("first").alias("first_row"), F.max("last").alias("last_row"),
     )
-    predicted = small.filter("_pw >= 0").groupBy(F.col("_pw").alias("window_id")).agg(F.sum("n").alias("predict_rows"))
-    table = windows(span, regimen).join(train, "window_id", "left").join(predicted, "window_id", "left")
+    predicted = small.filter("_pw >= 0").groupBy(*by, F.col("_pw").alias("window_id")).agg(F.sum("n").alias("predict_rows"))
+    # A window without train rows is listed for a single run; among several runs it would belong to none.
+    table = windows(span, regimen).join(train, "window_id", "inner" if by else "left").join(predicted, [*by, "window_id"], "left")
     table = table.fillna(0, ["train_rows", "predict_rows"]).fillna(False, ["valid_target"])
     return table.withColumn("eligible", (F.col("train_rows") >= regimen.min_train) & F.col("valid_target"))
 

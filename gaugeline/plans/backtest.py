@@ -153,7 +153,7 @@ def _grown(rows: DataFrame, features: DataFrame, model: list[str], entity: str,
     keep = [c for c in rows.columns if c in {*model, "test", ROW, target, *names}]
     inputs = rows.select(*keep, *[F.col(m).alias(f"_m{i}") for i, m in enumerate(model)])
     if text:
-        inputs = encode.encode_strings(inputs, text, {c: encode.fit_codes(features, c) for c in text}, [ROW])
+        inputs = encode.encode_strings(inputs, text, {c: encode.fit_codes(features, c) for c in text}, [ROW], fitted_on=True)
     x = F.array(*[F.col(n).cast("double") for n in names])
     inputs = inputs.select(*[f"_m{i}" for i in range(len(model))], F.col(ROW).alias("row"), x.alias("x"), F.col(target).cast("double").alias("y"), "test")
     work = []
@@ -351,17 +351,23 @@ def sweep(
 def batch(
     raw: DataFrame, ts: str, runs: list[tuple[str, str]], regimen: Regimen, step="1h", history: str = "hist_1D"
 ) -> DataFrame:
-    """Seasonal-naive backtest per (target, entity column) run: errors per entity, run keys as columns; lazy."""
-    parts = []
-    for target, entity in runs:
-        features = transform(raw, entity, ts, target, [history], step)
-        pred = naive(features, schedule.time_range(raw, ts), regimen, entity, ts, target, history)
-        errors = scores.entity_errors(pred.withColumn("entity", F.col("entity").cast("string")))
-        parts.append(errors.select(F.lit(target).alias("target"), F.lit(entity).alias("entity_column"), "entity", "error", "n"))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    """Seasonal-naive backtest per (target, entity column) run: errors per entity, run keys as columns; lazy.
+
+    All runs go through one grid: each row is unpivoted to one per run, with the run's value and the run and entity as its key, and is
+    reduced to bins before anything is shuffled. The raw table is read once for any number of runs.
+    """
+    numbered = [F.struct(F.lit(i).alias("run"), F.col(e).cast("string").alias("entity"), F.col(t).cast("double").alias("value")) for i, (t, e) in enumerate(runs)]
+    rows = raw.select(ts, F.explode(F.array(*numbered)).alias("r")).filter(F.col("r.entity").isNotNull())
+    rows = rows.select(ts, F.concat(F.col("r.run").cast("string"), F.lit(":"), F.col("r.entity")).alias("_key"), F.col("r.value").alias("value"))
+    features = transform(rows, "_key", ts, "value", [history], step).withColumn("run", F.substring_index("_key", ":", 1).cast("int"))
+    span = schedule.time_range(raw, ts)
+    allowed = schedule.eligible_windows(features, span, regimen, ts, "value", ("run",)).select("run", "window_id")
+    # One row per run and step of the regimen.
+    placed = schedule.assign_predict(features, span, regimen, ts).join(F.broadcast(allowed), ["run", "window_id"], "left_semi")
+    pred = models.seasonal_naive(placed, history).select(F.struct("run", "_key").alias("entity"), "predict", F.col("value").alias("actual"))
+    target, column = (F.element_at(F.array(*[F.lit(r[i]) for r in runs]), F.col("entity.run") + 1) for i in (0, 1))
+    name = F.expr("substring(entity._key, locate(':', entity._key) + 1)")
+    return scores.entity_errors(pred).select(target.alias("target"), column.alias("entity_column"), name.alias("entity"), "error", "n")
 
 
 def daily_naive_errors(raw: DataFrame, entity: str, ts: str, target: str, step="1h") -> DataFrame:

@@ -69,9 +69,9 @@ class Forecaster:
         return cls(about["features"], about["target"], about["kind"], contract, codes, about["scale"], model)
 
 
-def _prepare(df: DataFrame, features: list[str], codes: dict, scale: dict) -> DataFrame:
+def _prepare(df: DataFrame, features: list[str], codes: dict, scale: dict, fitted_on: bool = False) -> DataFrame:
     if codes:
-        df = encode.encode_strings(df, list(codes), codes, ["_in"])
+        df = encode.encode_strings(df, list(codes), codes, ["_in"], fitted_on)
     inputs = [
         (F.col(f).cast("double") - scale[f][0]) / scale[f][1] if f in scale else F.col(f).cast("double") for f in features
     ]
@@ -91,10 +91,10 @@ def fit(train: DataFrame, features: list[str], target: str, kind: ModelKind) ->
     rows = train.withColumn("_in", F.struct(*features)).withColumn(LABEL, F.col(target).cast("double"))
     scale = {}
     if kind.scaled:
-        coded = encode.encode_strings(rows, text, codes, ["_in"]) if text else rows
+        coded = encode.encode_strings(rows, text, codes, ["_in"], True) if text else rows
         row = encode.fit_scale(coded, features).first()
         scale = {f: [row[f"{f}__mean"], row[f"{f}__std"]] for f in features}
-    ready = _prepare(rows, features, codes, scale).select(FEATURES, LABEL)
+    ready = _prepare(rows, features, codes, scale, True).select(FEATURES, LABEL)
     estimator = kind.estimator()
     model = estimator.fit(ready)
     if not isinstance(model, ForestModel):

@@ -8,7 +8,7 @@ from gaugeline.operators import models, schedule
 from gaugeline.plans import forecast
 from gaugeline.queries.common import ENTITY, TARGET, TS, feature_table, naive_predictions, span
 from gaugeline.queries.files import CONFIG, _flat
-from gaugeline.queries.registry import NAIVE, events, query
+from gaugeline.queries.registry import NAIVE, events, query, ratio_sql, rounded
 from gaugeline.session import materialize, scratch_dir
 from gaugeline.sources import store
 from gaugeline.streaming import flows
@@ -61,6 +61,47 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
+_CUT, _BACK = "2024-01-20", "2024-01-12"  # the second delivery begins _BACK; the first ends before _CUT
+
+
+@query(
+    "t2_first_or_late",
+    f"""WITH d AS (SELECT event_type, date_trunc('hour', ts) AS ts, event_id, value FROM events),
+    one AS (SELECT *, false AS late FROM d WHERE ts < TIMESTAMP '{_CUT}' QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) = 1),
+    mark AS (SELECT max(ts) - INTERVAL 5 DAY AS m FROM d WHERE ts < TIMESTAMP '{_CUT}'),
+    two AS (SELECT d.*, m FROM d, mark WHERE ts >= TIMESTAMP '{_BACK}'),
+    fresh AS (SELECT event_type, ts, event_id, value, false AS late FROM two WHERE ts >= m AND (event_type, ts) NOT IN (SELECT (event_type, ts) FROM one)
+      QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) = 1)
+    SELECT * FROM one UNION ALL SELECT * FROM fresh UNION ALL SELECT event_type, ts, event_id, value, true FROM two WHERE ts < m""",
+)
+def _(spark, d):
+    hour = F.date_trunc("hour", TS).cast("timestamp_ntz")
+    ev = events(spark, d).select(ENTITY, hour.alias(TS), "event_id", TARGET)
+    inbox, out, late, checkpoint = (scratch_dir(spark, x) for x in ("inbox", "first", "late", "checkpoint"))
+    for part in (ev.filter(F.col(TS) < F.lit(_CUT).cast("timestamp_ntz")), ev.filter(F.col(TS) >= F.lit(_BACK).cast("timestamp_ntz"))):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+        stream = flows.arriving(spark, inbox, ev.schema, files_per_batch=1)
+        flows.first_or_late(stream, ENTITY, TS, ["event_id"], "5D", out, late, checkpoint).awaitTermination()
+    both = [spark.read.schema(ev.schema).parquet(path).select(*ev.columns, F.lit(path == late).alias("late")) for path in (out, late)]
+    return both[0].unionByName(both[1])
+
+
+@query("j6_stream_errors", f"WITH {NAIVE} SELECT entity, round(avg({ratio_sql()}), 6) AS error, count(*) AS n FROM pred GROUP BY 1")
+def _(spark, d):
+    # Scores arrive a part at a time, their actual values one part later.
+    pred = materialize(naive_predictions(spark, d).select("entity", TS, "predict", "actual"), "pred")
+    sent, seen, out, checkpoint = (scratch_dir(spark, x) for x in ("sent", "seen", "errors", "checkpoint"))
+    cuts = ["2024-01-01", "2024-01-15", "2024-01-22", "2025-01-01"]
+    parts = [pred.filter((F.col(TS) >= F.lit(a).cast("timestamp_ntz")) & (F.col(TS) < F.lit(b).cast("timestamp_ntz"))) for a, b in zip(cuts, cuts[1:])]
+    scored, actual = pred.select("entity", TS, "predict"), pred.select("entity", TS, "actual")
+    for new, old in zip([*parts, parts[0].limit(0)], [parts[0].limit(0), *parts]):
+        new.select(scored.columns).coalesce(1).write.mode("append").parquet(sent)
+        old.select(actual.columns).coalesce(1).write.mode("append").parquet(seen)
+        met = flows.meet(flows.arriving(spark, sent, scored.schema), flows.arriving(spark, seen, actual.schema), ["entity", TS], TS, "20 days")
+        flows.add_errors(met, out, checkpoint).awaitTermination()
+    return rounded(flows.errors_so_far(spark, out))
+
+
 @query("t3_stream_predictions", f"""WITH {NAIVE} SELECT entity, 'value' AS target, '1h' AS interval, 7 AS train_days, 1 AS predict_days,
     'weekday,hour,hist_1D' AS features, ts, round(predict, 6) AS predict, round(actual, 6) AS actual FROM pred""")
 def _(spark, d):

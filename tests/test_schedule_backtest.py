@@ -130,3 +130,21 @@ def test_statistics_and_sums_by_window_equal_plain_counting(spark):
                 want[w, e, h % 5] = s + v, n + 1
         assert {k: v for k, v in sums.items() if k[0] in got} == want
 
+
+
+def test_batch_reads_the_raw_table_once(spark, sf_dir):
+    """As many scans for three runs as for one, each run with windows of its own."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("rare", F.when(F.col("event_id") < 400, F.col("value")))
+    raw = raw.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    runs = [("value", "event_type"), ("rare", "event_type"), ("value", "user_id")]
+    regimen = Regimen("7D", "1D", min_train=300)
+    scans = []
+    for some in (runs[:1], runs):
+        got = backtest.batch(raw, "ts", some, regimen)
+        scans.append(got._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        rows = {(r.target, r.entity_column, r.entity): (r.error, r.n) for r in got.collect()}
+    assert scans[0] == scans[1]
+    apart = {}
+    for run in runs:
+        apart |= {(r.target, r.entity_column, r.entity): (r.error, r.n) for r in backtest.batch(raw, "ts", [run], regimen).collect()}
+    assert rows == apart

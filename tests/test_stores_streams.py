@@ -122,3 +122,44 @@ def test_stream_that_skips_existing_takes_all_its_batches(spark, series):
     stream = flows.arriving(spark, inbox, _parts(series)[0].schema, files_per_batch=1)
     flows.ingest(stream, path, "entity", "ts", ["value"], scratch_dir(spark, "checkpoint"), skip_existing=True).awaitTermination()
     assert _stored(spark, path) == WHOLE
+
+
+def test_late_rows_go_to_their_own_table(spark, series):
+    """Three batches under one checkpoint; copies near and far, a null entity, a row without a time, and a batch that runs again."""
+    inbox, out, late, checkpoint = (scratch_dir(spark, x) for x in ("inbox", "out", "late", "checkpoint"))
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    batches = [
+        [("a", day(1), 2.0), ("a", day(1), 1.0), ("a", day(10), 3.0), (None, day(10), 4.0), ("b", None, 5.0)],
+        [("a", day(10), 6.0), ("a", day(9), 7.0), (None, day(10), 8.0), ("a", day(1), 9.0), ("c", day(2), 10.0)],
+        [("a", day(9), 11.0), ("a", day(20), 12.0)],
+    ]
+    for i, rows in enumerate(batches):
+        series(rows).coalesce(1).write.mode("append").parquet(inbox)
+        stream = flows.arriving(spark, inbox, series(rows).schema, files_per_batch=1)
+        flows.first_or_late(stream, "entity", "ts", ["value"], "3D", out, late, checkpoint).awaitTermination()
+    values = lambda path: sorted(r.value for r in spark.read.parquet(path).collect())
+    assert values(out) == [1.0, 3.0, 4.0, 7.0, 12.0] and values(late) == [5.0, 9.0, 10.0]
+    # The batch after the last finds 17 January as its mark.
+    series([("a", day(16), 13.0), ("a", day(20), 14.0), ("a", day(17), 15.0)]).coalesce(1).write.mode("append").parquet(inbox)
+    stream = flows.arriving(spark, inbox, series(batches[0]).schema, files_per_batch=1)
+    flows.first_or_late(stream, "entity", "ts", ["value"], "3D", out, late, checkpoint).awaitTermination()
+    assert values(out) == [1.0, 3.0, 4.0, 7.0, 12.0, 15.0] and values(late) == [5.0, 9.0, 10.0, 13.0]
+
+
+def test_scores_meet_later_actual_values(spark, series):
+    """Actual values come a batch after their scores, some never; the running error is that of all pairs so far."""
+    from gaugeline.operators import scores
+
+    sent, seen, out, checkpoint = (scratch_dir(spark, x) for x in ("sent", "seen", "errors", "checkpoint"))
+    hours = [f"2024-01-01 {h:02d}:00:00" for h in range(6)]
+    scored = series([(e, t, float(i + 1)) for e in "ab" for i, t in enumerate(hours)]).withColumnRenamed("value", "predict")
+    actual = series([(e, t, float(2 * i)) for e in "ab" for i, t in enumerate(hours[: 5 if e == "b" else 6])]).withColumnRenamed("value", "actual")
+    early = F.col("ts") < F.lit(hours[3]).cast("timestamp_ntz")
+    for new, old in ((scored.filter(early), actual.limit(0)), (scored.filter(~early), actual.filter(early)), (scored.limit(0), actual.filter(~early))):
+        new.coalesce(1).write.mode("append").parquet(sent)
+        old.coalesce(1).write.mode("append").parquet(seen)
+        met = flows.meet(flows.arriving(spark, sent, scored.schema), flows.arriving(spark, seen, actual.schema), ["entity", "ts"], "ts", "1 day")
+        flows.add_errors(met, out, checkpoint).awaitTermination()
+    want = {r.entity: (r.error, r.n) for r in scores.entity_errors(scored.join(actual, ["entity", "ts"])).collect()}
+    got = {r.entity: (r.error, r.n) for r in flows.errors_so_far(spark, out).collect()}
+    assert got.keys() == want.keys() and all(abs(got[e][0] - want[e][0]) < 1e-12 and got[e][1] == want[e][1] for e in want)
