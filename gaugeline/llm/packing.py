@@ -1,8 +1,9 @@
 """Packing of documents into sequences by lexical retrieval.
 
-Full windows of a long document are sequences of their own. The rest of every document goes to a shard, a random part of about
-``SHARD`` tokens, where BM25 over token ids uses document frequencies of the whole table. In a shard, the longest
-unused piece is the seed of a window; all unused pieces are scored by all its different terms and fill the window
+Full windows of a long document are sequences of their own. The rest of every document goes to a shard of about ``SHARD`` tokens by its
+rarest term that another document has too, so that documents on one matter meet: a frequent such term has shards of its own, rarer ones share
+one. A shard has an inverted index whose BM25 weights use document frequencies of the whole table. The longest
+unused piece is the seed of a window; the postings of all its different terms score the unused pieces, which fill the window
 greedily in the order of their scores, down to the last with a positive score. The best one that does not fit is cut to fill the
 window exactly, and its rest goes back as unused. Only then do pieces without a common term follow, longest first. What is left at
 the end of a shard becomes sequences whose lengths are powers of two, which need no padding.
@@ -10,6 +11,7 @@ the end of a shard becomes sequences whose lengths are powers of two, which need
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -23,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm import bytesops as B
 from gaugeline.llm.bpe import is_latin
 from gaugeline.session import materialize
 
@@ -30,14 +33,37 @@ WINDOW, SHARD = 4096, 1 << 20
 K1, SLOPE = 1.2, 0.75
 END_OF_DOCUMENT = 2
 KEEP = 700_000
-# Fixed value: the splitting pattern of this vocabulary; the other forms are the same for ASCII and Latin-1 texts.
+# Fixed value: the splitting pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PATTERN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+"
-PATTERN_LATIN = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+"
+
+
+# By Latin-1 sign, small letters only: 0 space, 1 letter, 2 number, 3 other; a piece is a run of letters or of others, or one number.
+_SMALL = np.frombuffer(bytes(range(256)).decode("latin-1").lower().encode("latin-1"), np.uint8)
+_KIND = np.array([0 if c in "\t\n\x0b\x0c\r \x85\xa0" else 1 if re.match("[A-Za-zªµºÀ-ÖØ-öø-ÿ]", c) else 2 if re.match("[0-9²³¹¼-¾]", c) else 3 for c in map(chr, range(256))], np.uint8)
+
+
+def split_latin(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every piece of small Latin-1 signs that end in a space; what ``PATTERN`` finds in them."""
+    kind = _KIND[data]
+    before = np.concatenate(([np.uint8(0)], kind[:-1]))
+    start = (kind != 0) & ((kind == 2) | (kind != before))
+    # An apostrophe alone between a sign of another kind and one of these endings takes the ending along.
+    tick = np.flatnonzero(start & (data == 39))
+    ahead = np.concatenate((data, np.zeros(3, np.uint8)))
+    one, two = ahead[tick + 1], ahead[tick + 2]
+    single = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    double = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+    for some, more in ((tick[single], 1), (tick[double], 2)):
+        start[some + 1] = False
+        behind = some + 1 + more
+        start[behind] = kind[behind] != 0  # letters behind the ending are a piece of their own, other signs are anyway
+    edge = np.flatnonzero(start | (kind == 0))
+    first = start[edge]
+    return edge[first], edge[1:][first[:-1]]
 
 
 class Words:
-    """Token ids of whole texts through the library, which sees each distinct word of a worker once (up to ``KEEP`` kept)."""
+    """Token ids of whole texts through the library, which sees each distinct piece of a worker once (up to ``KEEP`` kept)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,44 +72,98 @@ class Words:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.splitter, self.splitter_ascii, self.splitter_latin = regex.compile(PATTERN), re.compile(PATTERN_ASCII, re.ASCII), re.compile(PATTERN_LATIN)
+        # The same merges for pieces that are in normal form, small letters and split already.
+        plain = json.loads(self.library.to_str()) | {"normalizer": None, "added_tokens": []}
+        plain["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.merges = Tokenizer.from_str(json.dumps(plain))
+        self.splitter = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
+        self._forget()
 
-    def _pieces(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.splitter_ascii.findall(text.lower())
-        if is_latin(text):  # always in normal form
-            return self.splitter_latin.findall(text.lower())
-        # The library lower-cases sign by sign, so a capital sigma never becomes a final one.
-        return self.splitter.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    def _forget(self):
+        """No Latin-1 piece is known: their numbers, and their ids one behind the other."""
+        self.number: dict[bytes, int] = {}
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers (the vocabulary has fewer than 65,536 entries)."""
         out: list[bytes | None] = [None] * len(texts)
-        pieces = []
+        latin, other = [], []
         for i, text in enumerate(texts):
             # Special tokens stand in their own right, and signs above 16 bits may be classed by a newer Unicode here.
-            if any(s in text for s in self.special) or (not text.isascii() and max(text) > "\uffff"):
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-                pieces.append([])
+            if any(s in text for s in self.special):
+                out[i] = self._whole(text)
+            elif text.isascii() or is_latin(text):  # always in normal form
+                latin.append(i)
+            elif max(text) > "\uffff":
+                out[i] = self._whole(text)
             else:
-                pieces.append(self._pieces(text))
-        for part in range(0, len(pieces), 256):
-            some = pieces[part : part + 256]
-            new = {w for p in some for w in p}.difference(self.known)
-            if len(self.known) + len(new) > KEEP:
-                self.known.clear()
-                new = {w for p in some for w in p}
-            if new:
-                new = list(new)
-                for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                    ids = e.ids
-                    self.known[w] = struct.pack(f"<{len(ids)}H", *ids)
-            for i, p in enumerate(some, part):
-                if out[i] is None:
-                    out[i] = b"".join(map(self.known.__getitem__, p))
+                other.append(i)
+        for rows, ids in ((latin, self._latin([texts[i].encode("latin-1") for i in latin])), (other, self._other([texts[i] for i in other]))):
+            for i, x in zip(rows, ids):
+                out[i] = x
         return out
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _latin(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        data = _SMALL[raw]
+        starts, ends = split_latin(data)
+        begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        if not len(starts):
+            return [b""] * len(texts)
+        hashes = B.span_hash(B.prefix_hash(data), starts, ends)
+        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        length = ends - starts
+        if not (np.array_equal(length, length[sample][which]) and _same(data, starts, starts[sample][which], length)):
+            return self._other([t.decode("latin-1") for t in texts])  # two pieces share a hash
+        signs = data.tobytes()
+        pieces = [signs[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
+        number = self._numbers(pieces)[which]
+        size = self.size[number]
+        ahead = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.first[number] - ahead[:-1], size) + np.arange(ahead[-1])].tobytes()
+        cut = 2 * ahead[np.searchsorted(starts, begins)]
+        return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """A number for each distinct piece; new ones are encoded."""
+        if len(self.number) + len(pieces) > KEEP:
+            self._forget()
+        new = [p for p in pieces if p not in self.number]
+        if new:
+            made = [e.ids for e in self.merges.encode_batch_fast([p.decode("latin-1") for p in new], add_special_tokens=False)]
+            size = np.array([len(m) for m in made], np.int64)
+            self.number.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
+            self.ids = np.concatenate((self.ids, np.array([i for m in made for i in m], "<u2")))
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+
+    def _other(self, texts: list[str]) -> list[bytes]:
+        # The library lower-cases sign by sign, so a capital sigma never becomes a final one.
+        pieces = [self.splitter.findall(unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()) for t in texts]
+        new = {w for p in pieces for w in p}.difference(self.known)
+        if len(self.known) + len(new) > KEEP:
+            self.known.clear()
+            new = {w for p in pieces for w in p}
+        for w, e in zip(new, self.merges.encode_batch_fast(list(new), add_special_tokens=False) if new else []):
+            self.known[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+
+
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> bool:
+    """Whether all runs from ``a`` hold the same bytes as those of the same length from ``b``."""
+    other = np.flatnonzero(a != b)
+    a, b, length = a[other], b[other], length[other]
+    before = np.cumsum(length) - length
+    step = np.arange(int(length.sum()))
+    return np.array_equal(data[np.repeat(a - before, length) + step], data[np.repeat(b - before, length) + step])
+
 
 _words: dict[str, Words] = {}
 
@@ -103,10 +183,9 @@ def _encoded(path: str):
     def run(batches):
         own = words(path)
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                some = batch.slice(part, 512)
-                ids = [x + end for x in own.encode([t or "" for t in some.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(ids, pa.binary())], ["doc", "ids"])
+            for block in B.blocks(batch.column("text")):
+                ids = [x + end for x in own.encode([t or "" for t in batch.column("text").slice(block.row, len(block)).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(block.row, len(block)), pa.array(ids, pa.binary())], ["doc", "ids"])
 
     return run
 
@@ -114,10 +193,13 @@ def _encoded(path: str):
 def _terms(batches):
     """Document frequencies (term, n), and under term -1 the number of documents, -2 their tokens."""
     df, docs, tokens = np.zeros(1 << 16, np.int64), 0, 0
+    place, steps = np.zeros(1 << 16, np.int64), np.arange(1 << 12)
     for batch in batches:
         for ids in batch.column("ids").to_pylist():
             x = np.frombuffer(ids, "<u2")
-            df[np.unique(x)] += 1
+            steps = steps if len(x) <= len(steps) else np.arange(2 * len(x))
+            place[x] = steps[: len(x)]  # the last place of each term
+            df[x[place[x] == steps[: len(x)]]] += 1
             docs, tokens = docs + 1, tokens + len(x)
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2]), pa.int64()), pa.array(np.append(df[some], [docs, tokens]), pa.int64())], ["term", "n"])
@@ -148,12 +230,13 @@ def _full(batches):
 def pack(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces ``(document, start, length)`` over one shard. ``terms`` are distinct ids, at least one, ``weights`` their BM25 parts."""
     n = len(lengths)
-    # Terms and weights one document after another: a seed's terms are so many that lists by term would be read almost whole.
-    size = np.array([len(t) for t in terms])
-    every, weight = np.concatenate(terms).astype(np.int64), np.concatenate(weights)
-    present = np.arange(n)  # documents in ``every``; used ones are taken out once they are half
-    begin = np.cumsum(size) - size
-    asked = np.zeros(int(every.max()) + 1)
+    # The inverted index: postings (document, weight), those of a term one behind the other. Those of used documents are
+    # taken out once half of the documents are used.
+    doc, term = np.repeat(np.arange(n), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64)
+    order = np.argsort(term, kind="stable")
+    doc, term, weight = doc[order], term[order], np.concatenate(weights)[order]
+    first = np.searchsorted(term, np.arange(int(term[-1]) + 2))
+    present = n
     left, at = lengths.astype(np.int64).copy(), np.zeros(n, np.int64)
     out = []
     total = int(left.sum())
@@ -179,19 +262,15 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]
 
         take(seed, min(int(left[seed]), room))
         if room:
-            live = left[present] > 0
-            if 2 * live.sum() < len(present):
-                entries = np.repeat(live, size[present])
-                every, weight, present = every[entries], weight[entries], present[live]
-                begin = np.cumsum(size[present]) - size[present]
-            if len(present):
-                asked[terms[seed]] = 1
-                score = np.add.reduceat(weight * asked[every], begin)
-                asked[terms[seed]] = 0
-                found = np.flatnonzero((score > 0) & (left[present] > 0))
-                near = present[found[np.argsort(-score[found], kind="stable")]]
-            else:
-                near = present
+            unused = left > 0
+            if 2 * unused.sum() < present:
+                entries = unused[doc]
+                doc, term, weight, present = doc[entries], term[entries], weight[entries], int(unused.sum())
+                first = np.searchsorted(term, np.arange(len(first)))
+            lists = [slice(first[t], first[t + 1]) for t in terms[seed].tolist()]
+            score = np.bincount(np.concatenate([doc[p] for p in lists]), np.concatenate([weight[p] for p in lists]), n)
+            near = np.flatnonzero((score > 0) & unused)
+            near = near[np.argsort(-score[near], kind="stable")]
             at_near = 0
             while room and at_near < len(near):  # all that fit, best first
                 fits = np.flatnonzero(left[near[at_near:]] <= room)
@@ -227,6 +306,68 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]
     return out
 
 
+def _topic_rank(idf: np.ndarray, counts: dict[int, int]) -> np.ndarray:
+    """Place of every term in the order that topics are chosen by: the rarest that at least two documents have first, others last."""
+    shared = np.zeros(1 << 16, bool)
+    shared[[t for t, df in counts.items() if df > 1]] = True
+    rank = np.empty(1 << 16, np.int64)
+    rank[np.lexsort((np.arange(1 << 16), -idf, ~shared))] = np.arange(1 << 16)
+    return rank
+
+
+def _tail_topics(batch, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of every row: the place of its tail's topic, the tail's tokens, and the tail."""
+    tails = [x[2 * start :] for x, start in zip(batch.column("ids").to_pylist(), batch.column("start").to_pylist())]
+    size = np.array([len(t) // 2 for t in tails], np.int64)
+    flat = rank[np.frombuffer(b"".join(tails), "<u2")]
+    return (np.minimum.reduceat(flat, np.cumsum(size) - size) if len(size) else size), size, tails
+
+
+def _topics(idf: np.ndarray, counts: dict[int, int]):
+    def run(batches):
+        rank, total = _topic_rank(idf, counts), np.zeros(1 << 16)
+        for batch in batches:
+            topic, size, _ = _tail_topics(batch, rank)
+            total += np.bincount(topic, size, 1 << 16)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["topic", "tokens"])
+
+    return run
+
+
+def _shards(tokens: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """First shard of every topic and how many it has: as many as it fills, or one that it shares with the topics next to it."""
+    first, parts = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+    shard, room = 0, SHARD
+    for topic in sorted(tokens):
+        if tokens[topic] > SHARD:
+            own = -(-tokens[topic] // SHARD)
+            shard, room = shard + (room < SHARD), SHARD
+            first[topic], parts[topic] = shard, own
+            shard += own
+            continue
+        if tokens[topic] > room:
+            shard, room = shard + 1, SHARD
+        first[topic] = shard
+        room -= tokens[topic]
+    return first, parts
+
+
+def _dealt(idf: np.ndarray, counts: dict[int, int], first: np.ndarray, parts: np.ndarray):
+    """Tails with their shard. The rows of a topic with several shards are dealt out by their number in the task."""
+
+    def run(batches):
+        rank = _topic_rank(idf, counts)
+        seen = TaskContext.get().partitionId()
+        for batch in batches:
+            topic, size, tails = _tail_topics(batch, rank)
+            shard = first[topic] + (seen + np.arange(len(size))) % parts[topic]
+            seen += len(size)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("doc"), batch.column("start"), batch.column("doc_tokens"), pa.array(tails, pa.binary())], ["shard", "doc", "start", "doc_tokens", "ids"])
+
+    return run
+
+
 def _shard(idf: np.ndarray, mean: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = [np.frombuffer(x, "<u2") for x in rows["ids"]]
@@ -271,10 +412,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     whole = ids.where(f"octet_length(ids) >= {2 * WINDOW}").mapInArrow(_full, shape)
     size = F.expr("cast(octet_length(ids) div 2 as bigint)")
     tails = ids.withColumn("doc_tokens", size).where(f"doc_tokens % {WINDOW} > 0").withColumn("start", F.expr(f"(doc_tokens div {WINDOW}) * {WINDOW}"))
-    shards = max(1, round(tokens / SHARD))
-    tails = tails.select(
-        F.pmod(F.xxhash64("doc", "ids"), F.lit(shards)).alias("shard"), "doc", "start", "doc_tokens",
-        F.expr("substring(ids, cast(2 * start + 1 as int), cast(2 * (doc_tokens - start) as int))").alias("ids"),
-    )
+    topics = tails.select("start", "ids").mapInArrow(_topics(idf, counts), "topic long, tokens long").groupBy("topic").agg(F.sum("tokens").alias("tokens"))
+    first, parts = _shards({r["topic"]: r["tokens"] for r in topics.collect()})  # one row per entry of the vocabulary at most
+    tails = tails.mapInArrow(_dealt(idf, counts, first, parts), f"shard long, doc {kind}, start long, doc_tokens long, ids binary")
     packed = tails.groupBy("shard").applyInPandas(_shard(idf, tokens / max(n, 1)), shape)
     return whole.union(packed).withColumnRenamed("doc", id_col)
