@@ -374,7 +374,9 @@ def _shard(idf: np.ndarray, mean: float):
         starts, tokens, names = rows["start"].to_numpy(), rows["doc_tokens"].to_numpy(), rows["doc"]
         terms, weights = [], []
         for x in ids:
-            t, tf = np.unique(x, return_counts=True)
+            x = np.sort(x)
+            ends = np.append(np.flatnonzero(x[1:] != x[:-1]), len(x) - 1)
+            t, tf = x[ends], np.diff(ends, prepend=-1)
             terms.append(t)
             weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - SLOPE + SLOPE * len(x) / mean)))
         out = []
