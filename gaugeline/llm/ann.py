@@ -1,11 +1,18 @@
 """Nearest neighbours by largest inner product over balanced posting lists.
 
 The largest inner product becomes the smallest distance once every vector ``x`` gets one more component ``sqrt(M^2 - |x|^2)``, with M the largest
-norm, and every query a zero. The centroids of the lists come from a bounded sample by k-means that splits lists which grow too
-large; a vector's lists are searched through a graph of near centroids held in memory, best first. A vector is written to its nearest
-list and, if it lies near a boundary, to further lists whose distance is within a ratio of the least, unless a list chosen
-before lies nearer to that list than the vector does. A query is compared with all centroids and reads every list whose distance is within
-a ratio of its ninth nearest list's, and further lists in the order of their distance until they hold enough vectors for ``k`` neighbours.
+norm, and every query a zero. The centroids of the lists, at most ``LISTS`` but for splits, come from a bounded sample by k-means that splits lists
+which grow too large; lists near a vector are found through a graph of near centroids held in memory, best first. A vector is written to its
+nearest list and, if it lies near a boundary, to further lists whose distance is within a ratio of the least, unless a list chosen
+before lies nearer to that list than the vector does.
+
+A query reads the lists within a ratio of its ninth nearest list's distance (the first may be its own), and further lists in the order of
+their distance until they hold enough vectors for ``k`` neighbours. The ratio is fitted: within the sample, it reaches ``REACH`` of the true
+neighbours of sampled queries, so it is small where vectors lie in clusters and large where they have no structure. The graph finds these lists
+unless they are a large share of all, in which case all centroids are compared.
+
+Lists are read in two rounds. The first ``FIRST`` lists of a query give its k-th score so far; the others return only what is above that,
+and lists whose centroid and radius cannot hold such a vector are not read at all.
 
 Lists are read in blocks of a bounded size, so a long list is several tasks. Equal vectors are indexed once, with the ids that can be
 among the nearest.
@@ -25,10 +32,12 @@ from gaugeline.llm import vectors as V
 from gaugeline.session import materialize
 
 LIST = 128  # vectors per list aimed at
-LISTS = 16_384  # at most, so that the centroids fit in every task
+LISTS = V.SAMPLE // 4  # at most, so that the centroids fit in every task
 REPLICAS, BOUNDARY = 4, 1.15  # lists per vector at most, and the ratio of distances up to which it is replicated
-PROBE, FLOOR = 1.2, 8  # a query reads lists up to this ratio of the distance of the list that has so many nearer ones
-DEGREE, BEAM = 24, 32
+FLOOR = 8  # distances are told by the list that has so many nearer ones
+REACH, ASKED = 0.97, 256  # share of the sample's true neighbours that the ratio reaches, and queries it is fitted with
+FIRST = 16  # lists of a query that are read first
+DEGREE, BACK, BEAM = 24, 8, 32
 BLOCK = 4096
 
 
@@ -69,7 +78,7 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Graph:
-    """Centroids, each with edges to near centroids and two to places far off."""
+    """Centroids, each with edges to near centroids, to some that it is near to, and two to places far off."""
 
     centre: np.ndarray
     edges: np.ndarray
@@ -85,7 +94,16 @@ class Graph:
             d[np.arange(len(d)), np.arange(part, part + len(d))] = np.inf if n > 1 else 0
             edges[part : part + 512, :degree] = np.argsort(d, axis=1)[:, :degree]
         edges[:, degree:] = rng.integers(0, n, (n, 2))
-        return Graph(centre, edges)
+        # Few centroids have edges to one that lies apart: its nearest ones get an edge back, those with the fewest edges to them first.
+        back, used = np.repeat(np.arange(n)[:, None], BACK, 1), np.zeros(n, np.int64)
+        for i in np.argsort(np.bincount(edges[:, :degree].ravel(), minlength=n), kind="stable").tolist():
+            given = 0
+            for j in edges[i, :degree].tolist():
+                if given < BACK // 2 and used[j] < BACK and j != i:
+                    back[j, used[j]] = i
+                    used[j] += 1
+                    given += 1
+        return Graph(centre, np.concatenate((edges, back), 1))
 
     def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Nearest centroids of each row, nearest first, with distances: a best-first walk for all rows in step."""
@@ -143,41 +161,129 @@ def lists_of(x: np.ndarray, graph: Graph) -> list[np.ndarray]:
     return out
 
 
-def probes(x: np.ndarray, graph: Graph, held: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
-    """The lists each lifted query reads. By ``held`` vectors per list, they hold ``least`` together, copies included, or are all."""
-    dist = np.sqrt(_distance(x, graph.centre))
-    # Not of the nearest: a query that is a centroid itself has that at distance 0.
-    far = np.partition(dist, min(FLOOR, dist.shape[1] - 1), axis=1)[:, min(FLOOR, dist.shape[1] - 1)]
-    out = [np.flatnonzero(d <= PROBE * f + 1e-12) for d, f in zip(dist, far)]
-    if held is not None:
-        for i in range(len(out)):
-            if held[out[i]].sum() < least:
-                order = np.argsort(dist[i], kind="stable")
-                out[i] = order[: int(np.searchsorted(np.cumsum(held[order]), least)) + 1]
+def ratio_of(sample: np.ndarray, top: float, graph: Graph, k: int, seed: int = 7) -> float:
+    """The ratio of distances within which ``REACH`` of the ``k`` nearest vectors of sampled queries have a list, all within the sample."""
+    rng = np.random.default_rng(seed)
+    asked = np.sort(rng.choice(len(sample), min(ASKED, len(sample)), replace=False))
+    score = sample[asked] @ sample.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1.0
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    some, back = np.unique(near, return_inverse=True)
+    lists = lists_of(lift(sample[some], top), graph)
+    dist = np.sqrt(_distance(lift(sample[asked], top, query=True), graph.centre))
+    ref = np.maximum(_reference(np.sort(dist, axis=1)), 1e-12)
+    back = back.reshape(near.shape)
+    needed = [min(dist[i, c] for c in lists[j]) / ref[i] for i, row in enumerate(back) for j in row]
+    return max(1.0, float(np.quantile(needed, REACH)))
+
+
+def _reference(ordered: np.ndarray) -> np.ndarray:
+    """Of each row of ascending distances the one that tells which others are near."""
+    return ordered[:, min(FLOOR, ordered.shape[1] - 1)]
+
+
+def probes(x: np.ndarray, graph: Graph, ratio: float, held: np.ndarray | None = None, least: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The lists each lifted query reads, nearest first, and their distances. By ``held`` vectors per list, they hold ``least`` together or are all."""
+    n, out = len(graph.centre), [None] * len(x)
+    enough = lambda ids: held is None or held[ids].sum() >= least
+    open_ = np.arange(len(x))
+    if n > 32 * BEAM:  # the graph, where the lists wanted are at most an eighth of what it goes through, so that it misses few
+        ids, dist = graph.search(x, 16 * BEAM)
+        far = ratio * _reference(dist) + 1e-12
+        for i in open_.tolist():
+            inside = int(np.searchsorted(dist[i], far[i], side="right"))
+            if 8 * inside <= len(ids[i]) and enough(ids[i][:inside]):
+                out[i] = ids[i][:inside], dist[i][:inside]
+        open_ = np.array([i for i in open_ if out[i] is None], np.int64)
+    if len(open_):
+        every = np.sqrt(_distance(x[open_], graph.centre))
+        order = np.argsort(every, axis=1, kind="stable")
+        dist = np.take_along_axis(every, order, 1)
+        far = ratio * _reference(dist) + 1e-12
+        for i, ids, d, f in zip(open_.tolist(), order, dist, far):
+            inside = int(np.searchsorted(d, f, side="right"))
+            if not enough(ids[:inside]):
+                inside = max(inside, int(np.searchsorted(np.cumsum(held[ids]), least)) + 1)
+            out[i] = ids[:inside], d[:inside]
     return out
 
 
-def _dealt(index: dict[int, tuple[Graph, float]], held: dict[int, np.ndarray] | None = None, least: int = 0):
-    """Vectors with their lists: those they are written to, or with ``held`` those they read as queries."""
-    query = held is not None
+@dataclass
+class Index:
+    """Lists of vectors of one length: where they lie, the largest norm, the fitted ratio; then what each list holds and how far it reaches."""
+
+    graph: Graph
+    top: float
+    ratio: float
+    held: np.ndarray
+    radius: np.ndarray
+
+
+def _lists(dim: int, numbers: np.ndarray) -> np.ndarray:
+    return (np.int64(dim) << 32) + numbers
+
+
+def _blocks(batches, columns):
+    """``dim, rows, vectors`` of up to 512 rows of one length."""
+    for batch in batches:
+        vector = batch.column("vector").to_pylist()
+        dims = np.array([len(v) // 8 for v in vector], np.int64)
+        for dim in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == dim)
+            for part in range(0, len(rows), 512):
+                some = rows[part : part + 512]
+                yield dim, some, [vector[i] for i in some], [batch.column(c).to_numpy(zero_copy_only=False)[some] for c in columns]
+
+
+def _posted(index: dict[int, Index]):
+    """Vectors with the lists they are written to, and their distance from the list's centroid."""
+
+    def run(batches):
+        for dim, some, vector, (node,) in _blocks(batches, ["node"]):
+            if dim not in index:
+                lists, far = [np.zeros(1, np.int64)] * len(some), np.zeros(len(some))
+            else:
+                x = lift(V.matrix(vector), index[dim].top)
+                lists = lists_of(x, index[dim].graph)
+            at = np.repeat(np.arange(len(some)), [len(c) for c in lists])
+            numbers = np.concatenate(lists)
+            if dim in index:
+                far = np.sqrt(((x[at] - index[dim].graph.centre[numbers]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_lists(dim, numbers)), pa.array(node[at]), pa.array([vector[i] for i in at], pa.binary()), pa.array(far)], ["list", "node", "vector", "far"]
+            )
+
+    return run
+
+
+def _reads(index: dict[int, Index], least: int, later: bool):
+    """Queries with the lists they read: the first ones, or later the others, less those that hold nothing above ``bound``."""
 
     def run(batches):
-        for batch in batches:
-            node, vector = batch.column("node").to_numpy(), batch.column("vector").to_pylist()
-            dims = np.array([len(v) // 8 for v in vector], np.int64)
-            for dim in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == dim)
-                for part in range(0, len(rows), 512):
-                    some = rows[part : part + 512]
-                    x = V.matrix([vector[i] for i in some])
-                    if dim not in index:
-                        lists = [np.zeros(1, np.int64)] * len(some)
+        for dim, some, vector, (node, bound) in _blocks(batches, ["node", "bound"]):
+            if dim not in index:
+                lists = [np.zeros(0 if later else 1, np.int64)] * len(some)
+            else:
+                own = index[dim]
+                x = V.matrix(vector)
+                length = np.sqrt((x * x).sum(1))
+                lists = []
+                for (ids, dist), size, b in zip(probes(lift(x, own.top, True), own.graph, own.ratio, own.held, least), length, bound):
+                    if later:
+                        ids, dist = ids[FIRST:], dist[FIRST:]
+                        # The nearest that a list's vectors can be, and the inner product of that; a little more for rounding.
+                        most = (1 - np.maximum(dist - own.radius[ids], 0) ** 2 / 2) * own.top * size
+                        ids = ids[most * (1 + 1e-9) + 1e-9 * own.top * size >= b]
                     else:
-                        graph, top = index[dim]
-                        x = lift(x, top, query)
-                        lists = probes(x, graph, held[dim], least) if query else lists_of(x, graph)
-                    at = np.repeat(some, [len(c) for c in lists])
-                    yield pa.RecordBatch.from_arrays([pa.array((np.int64(dim) << 32) + np.concatenate(lists)), pa.array(node[at]), pa.array([vector[i] for i in at], pa.binary())], ["list", "node", "vector"])
+                        ids = ids[:FIRST]
+                    lists.append(ids)
+            at = np.repeat(np.arange(len(some)), [len(c) for c in lists])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_lists(dim, np.concatenate(lists).astype(np.int64))), pa.array(node[at]), pa.array([vector[i] for i in at], pa.binary()), pa.array(bound[at])], ["list", "node", "vector", "bound"]
+            )
 
     return run
 
@@ -189,14 +295,13 @@ def _searched(k: int):
             return pd.DataFrame({"query": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "score": np.zeros(0)})
         q, node = V.matrix(asks["vector"].tolist()), there["node"].to_numpy()
         x = V.matrix(there["vector"].tolist())
-        own, out = asks["node"].to_numpy(), []
+        own, bound, out = asks["node"].to_numpy(), asks["bound"].to_numpy(), []
         for part in range(0, len(q), 256):
             score = q[part : part + 256] @ x.T
+            edge = bound[part : part + 256, None]
             if len(node) > k:
-                edge = np.partition(score, len(node) - k, axis=1)[:, len(node) - k, None]
-                row, col = np.nonzero(score >= edge - 1e-9 * np.abs(edge))  # ties at the edge stay
-            else:
-                row, col = (i.ravel() for i in np.indices(score.shape))
+                edge = np.maximum(edge, np.partition(score, len(node) - k, axis=1)[:, len(node) - k, None])
+            row, col = np.nonzero(score >= edge - 1e-9 * np.abs(np.where(np.isfinite(edge), edge, 0)))  # ties at the edge stay
             out.append((own[part : part + 256][row], node[col], score[row, col]))
         return pd.DataFrame({"query": np.concatenate([o[0] for o in out]), "node": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
@@ -210,7 +315,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     a row is no candidate for a query of the same id. Vectors that are null, empty, zero or hold null or non-finite components take no
     part, nor do rows with a null id; vectors of another length than the query's are no candidates. Repeated ids among
     candidates are found as rows of their own, repeated query rows are answered once. With fewer candidates all are returned. Other
-    columns are ignored. The lists are placed by a sample of at most ``vectors.SAMPLE`` rows; every row is indexed. Runs jobs.
+    columns are ignored. The lists and the ratio come from a sample of at most ``vectors.SAMPLE`` rows; every row is indexed. Runs jobs.
     """
     spark = df.sparkSession
     vectors = materialize(V.packed(df.where(f"`{id_col}` is not null"), id_col, vector_col).where("vector is not null"), "vectors")
@@ -222,27 +327,38 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     for dim, x in V.sample(classes).items():
         if dim in tops:
             k_lists = max(1, min(LISTS, n // LIST, len(x) // 4))
-            index[dim] = (Graph.of(balanced_kmeans(lift(x, tops[dim]), k_lists)), tops[dim])
+            graph = Graph.of(balanced_kmeans(lift(x, tops[dim]), k_lists))
+            index[dim] = Index(graph, tops[dim], ratio_of(x, tops[dim], graph, k), np.zeros(len(graph.centre), np.int64), np.zeros(len(graph.centre)))
     shared = spark.sparkContext.broadcast(index)  # at most LISTS centroids in all but for splits
-    shape = "list long, node long, vector binary"
-    postings = materialize(classes.select("node", "vector").mapInArrow(lambda b: _dealt(shared.value)(b), shape), "lists")
-    counts = postings.groupBy("list").agg(F.count("*").alias("n"))  # one row per list
-    sizes = counts.select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    held = {dim: np.zeros(len(graph.centre), np.int64) for dim, (graph, _) in index.items()}
+    postings = materialize(classes.select("node", "vector").mapInArrow(lambda b: _posted(shared.value)(b), "list long, node long, vector binary, far double"), "lists")
+    counts = postings.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far"))  # one row per list
     for r in counts.collect():
-        if r["list"] >> 32 in held:
-            held[r["list"] >> 32][r["list"] & 0xFFFFFFFF] = r["n"]
+        if r["list"] >> 32 in index:
+            own, number = index[r["list"] >> 32], r["list"] & 0xFFFFFFFF
+            own.held[number], own.radius[number] = r["n"], r["far"]
     # k + 1 different vectors, even if each of them is in all the lists it may be in.
-    full, least = spark.sparkContext.broadcast(held), REPLICAS * (k + 1)
-    asks = materialize(asked.select("vector").distinct().withColumn("node", F.xxhash64("vector")), "asks")
-    reads = asks.mapInArrow(lambda b: _dealt(shared.value, full.value, least)(b), shape).join(sizes, "list").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    reads = reads.select("list", "block", F.lit(True).alias("asks"), "node", "vector")
-    there = postings.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("list", "block", F.lit(False).alias("asks"), "node", "vector")
-    found = reads.union(there).groupBy("list", "block").applyInPandas(_searched(k + 1), "query long, node long, score double")
+    full, least = spark.sparkContext.broadcast(index), REPLICAS * (k + 1)
+    sizes = counts.select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    there = postings.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("list", "block", F.lit(False).alias("asks"), "node", "vector", F.lit(0.0).alias("bound"))
     # A query's nearest rows lie in its k + 1 nearest classes; a class can give at most its k + 1 smallest ids.
     best = Window.partitionBy("query").orderBy(F.desc("score"), "first", "node")
-    found = found.groupBy("query", "node").agg(F.max("score").alias("score")).join(classes.select("node", "first"), "node")
-    found = materialize(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).select("query", "node", "score"), "found")
+
+    def search(asks: DataFrame, later: bool) -> DataFrame:
+        reads = asks.mapInArrow(lambda b: _reads(full.value, least, later)(b), "list long, node long, vector binary, bound double").join(sizes, "list")
+        reads = reads.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("list", "block", F.lit(True).alias("asks"), "node", "vector", "bound")
+        return reads.union(there).groupBy("list", "block").applyInPandas(_searched(k + 1), "query long, node long, score double")
+
+    def nearest_of(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query", "node").agg(F.max("score").alias("score")).join(classes.select("node", "first"), "node")
+        return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).select("query", "node", "score")
+
+    asks = materialize(asked.select("vector").distinct().withColumn("node", F.xxhash64("vector")), "asks")
+    open_ = F.lit(float("-inf"))
+    first = materialize(nearest_of(search(asks.withColumn("bound", open_), False)), "found")
+    # Only k + 1 found classes bound the rest.
+    bounds = first.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).alias("least"))
+    bounded = asks.join(bounds, asks["node"] == bounds["query"], "left").select("vector", "node", F.coalesce("least", open_).alias("bound"))
+    found = materialize(nearest_of(first.union(search(bounded, True))), "found")
     ids = vectors.join(classes.select("vector", "node"), "vector").join(found.select("node").distinct(), "node", "left_semi").select("node", "id")
     ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("nth") <= k + 1).groupBy("node").agg(F.collect_list("id").alias("ids"))
     named = asked.withColumn("query", F.xxhash64("vector")).select(F.col("id").alias("query_id"), "query")

@@ -59,17 +59,17 @@ def test_nearest_reads_all_lists_within_the_ratio():
     graph = ann.Graph.of(rng.normal(size=(2000, 48)))
     x = rng.normal(size=(5, 48))
     dist = np.sqrt(((x[:, None] - graph.centre) ** 2).sum(2))
-    want = [set(np.flatnonzero(d <= ann.PROBE * np.sort(d)[ann.FLOOR])) for d in dist]
-    assert max(map(len, want)) > 320 and [set(p.tolist()) for p in ann.probes(x, graph)] == want
+    want = [set(np.flatnonzero(d <= 1.2 * np.sort(d)[ann.FLOOR])) for d in dist]
+    assert max(map(len, want)) > 320 and [set(p.tolist()) for p, _ in ann.probes(x, graph, 1.2)] == want
 
 
 def test_nearest_fills_up_from_further_lists():
     """Ten lone vectors have lists of their own, so the lists near a query among them hold fewer than ``k``."""
     graph = ann.Graph.of(np.array([[i / 100, 1.0] for i in range(10)] + [[50.0 + i, 1.0] for i in range(5)]))
     held = np.array([1] * 10 + [6] * 5)
-    (near,) = ann.probes(graph.centre[:1], graph, held, 20)
+    ((near, _),) = ann.probes(graph.centre[:1], graph, 1.2, held, 20)
     assert set(range(10)) <= set(near.tolist()) and held[near].sum() >= 20
-    assert len(ann.probes(graph.centre[:1], graph, held, 1000)[0]) == 15
+    assert len(ann.probes(graph.centre[:1], graph, 1.2, held, 1000)[0][0]) == 15
 
 
 def test_packing_fills_windows_of_short_pieces_by_score():
