@@ -6,12 +6,12 @@ are known, gives byte ``x`` the chance ``c(x) / (c + d)`` and escapes with the c
 where all bytes that the longer one knows are excluded from ``c`` and ``d``. Behind the empty context all other bytes are equally
 likely. The chances of the bytes after a context thus add up to one.
 
-Counts are over all learning texts: each task counts the runs of ``ORDER + 1`` bytes of its texts, Spark adds these up. A shorter run's
-count is the sum over the longer ones. No run is dropped. Up to ``PARTS`` different runs, the model is sent to every task. A larger
-model stays in Spark: texts are scored in chunks of about ``CHUNK`` bytes, each chunk asks for its different runs once, and the
-chance of a run is worked out where all learned runs whose contexts end in the same ``NEAR`` bytes lie together; only the counts of
-runs of up to ``NEAR`` bytes, at most 256 ** ``NEAR``, are sent to all. Words that make up at least one part in ``PARTS`` of all are sent
-along, the others are counted and joined in Spark.
+Counts are over all learning texts. Texts are read in chunks of about ``CHUNK`` bytes. A chunk names each of its different runs of
+``ORDER + 1`` bytes once, with its count in learning texts, and deals them out to groups by the ``NEAR`` last bytes of their contexts. A group
+adds up the counts of all chunks, which gives all learned runs whose contexts end alike, shorter runs being sums over longer ones, and answers
+every chunk with the chances of its runs. Only the counts of runs of up to ``NEAR`` bytes, at most 256 ** ``NEAR``, are
+sent to all groups. No run is dropped, and the same steps are taken at every size. Words that make up at least one part in ``PARTS`` of all are
+sent along, the others are counted and joined in Spark.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm import bytesops as B
 from gaugeline.llm.sampling import remainder
-from gaugeline.session import materialize
+from gaugeline.session import materialize, scratch_dir
 
 ORDER = 5
 PARTS = 1 << 20
-CHUNK = 1 << 22  # bytes of text that are scored together against a model too large to send
-NEAR = 3  # learned runs whose contexts end in the same so many bytes lie in one group
-GROUP = 1 << 17  # different runs per group aimed at
+CHUNK = 1 << 24  # bytes of text that name their runs and are scored together
+NEAR = 3  # runs whose contexts end in the same so many bytes lie in one group
+GROUP = 1 << 22  # bytes of text per group of runs
 END = 10  # a byte that no word holds and the blank is not
 
 
@@ -173,14 +173,16 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
 
 
 def _counted(batches):
-    """Per batch: word counts (kind 0; the end of texts is word 0) and counts of byte runs (kind 1)."""
+    """Per batch: word counts (kind 0; the end of texts is word 0) and counts of runs of ``NEAR`` bytes (kind 1)."""
     for batch in batches:
         words, keys = [], []
         texts = batch.num_rows
         for block in B.blocks(batch.column("text")):
             data, starts, hashes, _ = canonical(block)
             words.append(np.unique(hashes, return_counts=True))
-            keys.append(np.unique(runs(data, starts), return_counts=True))
+            n = np.bincount(runs(data, starts, NEAR - 1).astype(np.int64), minlength=1 << 8 * NEAR)
+            some = np.flatnonzero(n)
+            keys.append((some.astype(B.U), n[some]))
         for kind, parts, more in ((0, words, [(np.zeros(1, B.U), np.array([texts]))] if texts else []), (1, keys, [])):
             parts = parts + more
             if parts:
@@ -200,7 +202,7 @@ def _added(parts):
 
 @dataclass
 class Model:
-    trie: Trie | None  # none if there are more than ``PARTS`` different runs
+    low: list[tuple[np.ndarray, np.ndarray]]  # all runs of up to ``NEAR`` bytes with their counts, by order
     words: np.ndarray  # hashes of the frequent words, sorted
     count: np.ndarray
     tokens: int  # N
@@ -209,35 +211,21 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 5, held: int = 1) -> tuple[Model, DataFrame]:
-    """The model of all texts whose crc32(id) mod ``divisor`` is not ``held``, and the table of all word counts ``(word, c)``. Runs jobs.
-
-    Above ``PARTS`` different runs the model has no trie.
-    """
-    return _learned(docs, id_col, text_col, divisor, held)[:2]
-
-
-def _shorter(sums: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """All runs of order ``k`` with their counts."""
-    got = sums.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    return got["key"].to_numpy().astype(B.U), got["n"].to_numpy()
-
-
-def _learned(docs: DataFrame, id_col: str, text_col: str, divisor: int, held: int) -> tuple[Model, DataFrame, DataFrame, int]:
-    """As ``train``, and the table of all runs ``(key, n)`` with the number of its rows."""
+    """What is known of all texts whose crc32(id) mod ``divisor`` is not ``held`` but for the long runs, and the table of all word counts
+    ``(word, c)``. Runs jobs."""
     rows = docs.where(F.coalesce(remainder(id_col, divisor), F.lit(-1)) != held).select(F.col(f"`{text_col}`").alias("text"))
     sums = rows.mapInArrow(_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    sums = materialize(sums, "runs")
+    sums = materialize(sums, "counts")
     tokens, distinct, texts = sums.where("kind = 0").agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("key") == 0, F.col("n")))).first()
     tokens, distinct, texts = tokens or 0, distinct or 0, texts or 0
-    every = sums.where("kind = 1").select("key", "n")
-    different = every.count()
-    trie = build([_shorter(every, k) for k in range(ORDER + 1)]) if different <= PARTS else None  # at most PARTS rows per order
+    near = sums.where("kind = 1").select("key", "n").toArrow()  # at most 256 ** NEAR rows
+    key, n = near["key"].to_numpy().astype(B.U), near["n"].to_numpy()
+    low = [_added([(key & B.U((1 << 8 * (k + 1)) - 1), n)]) if len(key) else (key, n) for k in range(NEAR)]
     counts = sums.where("kind = 0 and key != 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     often = counts.where(F.col("c") >= max(1, -(-tokens // PARTS))).toArrow()  # at most PARTS rows
     words = often["word"].to_numpy().view(B.U) if len(often) else np.zeros(0, B.U)
     at = np.argsort(words)
-    model = Model(trie, words[at], often["c"].to_numpy()[at] if len(often) else np.zeros(0, np.int64), int(tokens), int(distinct), int(texts))
-    return model, counts, every, different
+    return Model(low, words[at], often["c"].to_numpy()[at] if len(often) else np.zeros(0, np.int64), int(tokens), int(distinct), int(texts)), counts
 
 
 def _rows(own: Model, table, chance):
@@ -265,16 +253,6 @@ def _rows(own: Model, table, chance):
         )
 
 
-def _scored(model):
-    def run(batches):
-        own: Model = model.value
-        for batch in batches:
-            for table in _rows(own, batch, own.trie.log10):
-                yield from table.to_batches()
-
-    return run
-
-
 def _chunked(batches):
     """Numbers the chunks of a task's texts."""
     chunk, size = TaskContext.get().partitionId() << 32, 0
@@ -285,47 +263,89 @@ def _chunked(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk + before // CHUNK, pa.int64())], [*batch.schema.names, "chunk"])
 
 
-def _asked(batches):
-    """The different runs of each chunk."""
-    held, chunk = [], None
+def _dealt(key: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts sorted runs into groups, and the group of each run in it."""
+    group = B.mix((key >> B.U(8)) & B.U((1 << 8 * NEAR) - 1)) % B.U(groups)
+    order = np.argsort(group, kind="stable")
+    return order, group[order].astype(np.int64)
 
-    def out():
-        key = np.unique(np.concatenate(held))
-        for cut in range(0, len(key), 1 << 16):
-            some = key[cut : cut + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int64)), B.as_long(some)], ["chunk", "key"])
 
-    for batch in batches:
-        every = batch.column("chunk").to_numpy()
-        start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else []
-        for a, b in zip(start, [*start[1:], len(every)]):
-            if chunk != every[a]:
-                if held:
-                    yield from out()
-                held, chunk = [], int(every[a])
-            for block in B.blocks(batch.column("text").slice(a, b - a)):
-                data, starts, _, _ = canonical(block)
-                held.append(np.unique(runs(data, starts)))
-    if held:
-        yield from out()
-
-
-def _answered(low):
-    """Chances of the runs that are asked for, from all learned runs of the same group and the short runs ``low``."""
-
-    def run(learned: pa.Table, asked: pa.Table) -> pa.Table:
-        key, n = learned.column("key").to_numpy().astype(B.U), learned.column("n").to_numpy()
-        longer = [_added([(key & B.U((1 << 8 * (k + 1)) - 1), n)]) if len(key) else (key, n) for k in range(NEAR, ORDER + 1)]
-        ask = asked.column("key").to_numpy().astype(B.U)
-        chance = build([*low.value, *longer]).log10(ask) if len(ask) else np.zeros(0)
-        return pa.table({"key": B.as_long(ask), "chance": pa.array(chance, pa.float64())})
+def _bytes(key: np.ndarray) -> bytes:
+    """Runs as their first bytes, then their second ones and so on: sorted runs share the first, which packs well."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T[::-1]).tobytes()
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // (ORDER + 1), 8), np.uint8)
+    wide[:, : ORDER + 1] = np.frombuffer(raw, np.uint8).reshape(ORDER + 1, -1)[::-1].T
+    return wide.view("<u8").ravel().astype(B.U)
+
+
+def _named(groups: int):
+    """For each chunk and group: the chunk's different runs in order, and how often each occurs in the chunk's learning texts."""
+
+    def out(chunk: int, parts):
+        key, n = _added(parts)
+        order, group = _dealt(key, groups)
+        key, n = key[order], n[order]
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=groups))
+        for first in range(0, len(edges) - 1, 1024):
+            cuts = edges[first : first + 1025]
+            own = list(zip(cuts, cuts[1:]))
+            counts = [n[a:b].astype("u1" if n[a:b].max() < 256 else "<u8").tobytes() for a, b in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[cuts[:-1]]), pa.array(np.full(len(own), chunk, np.int64)), pa.array([_bytes(key[a:b]) for a, b in own], pa.binary()), pa.array(counts, pa.binary())],
+                ["group", "chunk", "keys", "counts"],
+            )
+
+    def run(batches):
+        held, chunk = [], None
+        for batch in batches:
+            every, learns = batch.column("chunk").to_numpy(), batch.column("learns").to_numpy(zero_copy_only=False).astype(bool)
+            starts = np.flatnonzero(np.diff(every, prepend=-1)) if len(every) else []
+            for a, b in zip(starts, [*starts[1:], len(every)]):
+                if chunk != every[a]:
+                    if held:
+                        yield from out(chunk, held)
+                    held, chunk = [], int(every[a])
+                for block in B.blocks(batch.column("text").slice(a, b - a)):
+                    data, at, _, _ = canonical(block)
+                    key = runs(data, at)
+                    learned = np.repeat(learns[a + block.row : a + block.row + len(block)], np.diff(at))
+                    held.append(np.unique(key[learned], return_counts=True))
+                    rest = np.unique(key[~learned])
+                    held.append((rest, np.zeros(len(rest), np.int64)))
+                if len(held) > 16:
+                    held = [_added(held)]
+        if held:
+            yield from out(chunk, held)
+
+    return run
+
+
+def _answered(model):
+    """The chances of every chunk's runs of one group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        raw, sizes = table["keys"].to_pylist(), table["counts"].to_pylist()
+        asked = [_keys(k) for k in raw]
+        n = [np.frombuffer(c, "u1" if len(c) == len(k) else "<u8").astype(np.int64) for c, k in zip(sizes, asked)]
+        key, count = _added(list(zip(asked, n)))
+        learned = count > 0
+        known = (key[learned], count[learned])
+        longer = [_added([(known[0] & B.U((1 << 8 * (k + 1)) - 1), known[1])]) if learned.any() else known for k in range(NEAR, ORDER + 1)]
+        chance = build([*model.value.low, *longer]).log10(key)
+        answers = [chance[np.searchsorted(key, k)].tobytes() for k in asked]
+        return pa.table({"chunk": table["chunk"], "keys": table["keys"], "chances": pa.array(answers, pa.binary())})
 
     return run
 
 
 def _chunk_scored(model):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        key, chance = answers.column("key").to_numpy().astype(B.U), answers.column("chance").to_numpy()
+        # A chunk that was read in two parts names some runs twice, with the same chance.
+        key = np.concatenate([_keys(k) for k in answers["keys"].to_pylist()])
+        chance = np.frombuffer(b"".join(answers["chances"].to_pylist()), "<f8")
         order = np.argsort(key)
         key, chance = key[order], chance[order]
         return pa.concat_tables(list(_rows(model.value, texts, lambda run: chance[np.searchsorted(key, run)])))
@@ -333,20 +353,6 @@ def _chunk_scored(model):
     return run
 
 
-def _looked_up(rows: DataFrame, model: Model, every: DataFrame, different: int, kind: str, shape: str) -> DataFrame:
-    """Scores against a model that is too large to be sent."""
-    spark = rows.sparkSession
-    texts = materialize(rows.mapInArrow(_chunked, f"doc {kind}, text string, row long, chunk long"), "chunks")
-    asked = materialize(texts.select("text", "chunk").mapInArrow(_asked, "chunk long, key long"), "asked")
-    # Contexts that end in the same bytes share a group, so each group has all it needs but the shortest runs.
-    group = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * NEAR) - 1))), F.lit(max(64, different // GROUP))).alias("group")
-    low = spark.sparkContext.broadcast([_shorter(every, k) for k in range(NEAR)])  # at most 256 ** NEAR rows per order
-    learned, wanted = every.select(group, "key", "n").groupBy("group"), asked.select("key").distinct().select(group, "key").groupBy("group")
-    chances = learned.cogroup(wanted).applyInArrow(_answered(low), "key long, chance double")
-    answers = asked.join(chances, "key").select("chunk", "key", "chance")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_chunk_scored(spark.sparkContext.broadcast(model)), shape)
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 5, held: int = 1) -> DataFrame:
     """``<id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per row of ``docs``.
 
@@ -355,19 +361,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
     an id are texts of their own. Further columns are ignored. Runs jobs.
     """
     spark = docs.sparkSession
-    model, counts, every, different = _learned(docs, id_col, text_col, divisor, held)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    model, counts = train(docs, id_col, text_col, divisor, held)
+    shared = spark.sparkContext.broadcast(model)
+    learns = F.coalesce(remainder(id_col, divisor), F.lit(-1)) != held
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"), learns.alias("learns"))
     kind = rows.schema["doc"].dataType.simpleString()
-    # A row's own number; rows alike in id and text share it and get the same result.
-    rows = rows.withColumn("row", F.xxhash64("doc", "text"))
+    # Written once, so that row numbers and chunks stay.
+    path = scratch_dir(spark, "chunks")
+    rows.mapInArrow(_chunked, f"doc {kind}, text string, row long, learns boolean, chunk long").write.option("compression", "zstd").parquet(path)
+    texts = spark.read.parquet(path)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-size // GROUP))
+    named = texts.select("text", "learns", "chunk").mapInArrow(_named(groups), "group long, chunk long, keys binary, counts binary")
+    answers = named.groupBy("group").applyInArrow(_answered(shared), "chunk long, keys binary, chances binary")
     shape = f"doc {kind}, row long, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>"
-    if model.trie is None:
-        out = _looked_up(rows, model, every, different, kind, shape)
-    else:
-        out = rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), shape)
+    out = texts.select("doc", "text", "row", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_chunk_scored(shared), shape)
     out = materialize(out, "scores")
     # Words below the share: at most c of them each, so no word gathers many rows. Their counts come from the table of all.
-    rare = out.select("row", "words", "times").dropDuplicates(["row"]).select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
+    rare = out.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
     rare = rare.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times")).join(counts, "word", "left")
     sums = rare.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more")

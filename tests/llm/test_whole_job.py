@@ -40,11 +40,12 @@ def plain_ppm(texts, learning):
     return out
 
 
-@pytest.mark.parametrize("parts", [1 << 20, 64])
-def test_ppm_uses_every_run(spark, monkeypatch, parts):
-    """The same scores whether the model is sent to the tasks or looked up."""
+@pytest.mark.parametrize("parts, group", [(1 << 20, 1 << 22), (64, 100)])
+def test_ppm_uses_every_run(spark, monkeypatch, parts, group):
+    """The same scores with one group of runs and with many, and when most words are joined."""
     monkeypatch.setattr(ppm, "PARTS", parts)
-    monkeypatch.setattr(ppm, "CHUNK", 500, raising=False)
+    monkeypatch.setattr(ppm, "GROUP", group)
+    monkeypatch.setattr(ppm, "CHUNK", 500)
     rng = np.random.default_rng(5)
     names = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(60)]
     rows = [(i, " ".join(rng.choice(names, rng.integers(1, 30)))) for i in range(80)] + [(80, None), (81, ""), (82, "Zq"), (None, "zq abc")]
