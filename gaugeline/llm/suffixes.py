@@ -204,7 +204,21 @@ def _covered(first, count, size: int, length: int) -> np.ndarray:
     return np.stack((start[at], np.minimum(end[np.append(at[1:] - 1, len(end) - 1)], size)))
 
 
-def _removed(length: int):
+def _whole_letters(piece: bytes, after_cut: bool, before_cut: bool) -> bytes:
+    """A stretch of UTF-8 without the rest of a letter that a cut before it, and the beginning of one that a cut behind it, has halved."""
+    a, b = 0, len(piece)
+    while after_cut and a < b and piece[a] & 0xC0 == 0x80:
+        a += 1
+    if before_cut:
+        lead = b - 1
+        while lead >= a and piece[lead] & 0xC0 == 0x80:
+            lead -= 1
+        if lead >= a and piece[lead] >= 0xC0 and lead + (2 if piece[lead] < 0xE0 else 3 if piece[lead] < 0xF0 else 4) > b:
+            b = lead
+    return piece[a:b]
+
+
+def _removed(length: int, letters: bool = False):
     def run(batches):
         for batch in batches:
             out = []
@@ -214,7 +228,8 @@ def _removed(length: int):
                     out.append((doc, len(raw), [], [], raw))
                     continue
                 starts, ends = _covered([x["first"] for x in lists], [x["count"] for x in lists], len(raw), length)
-                kept = b"".join(raw[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)]))
+                pieces = zip([0, *ends.tolist()], [*starts.tolist(), len(raw)])
+                kept = b"".join(_whole_letters(raw[a:b], a > 0, b < len(raw)) if letters else raw[a:b] for a, b in pieces)
                 out.append((doc, len(raw), starts.tolist(), ends.tolist(), kept))
             cols = list(zip(*out)) or [[]] * 5
             types = [batch.schema.field("doc").type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
@@ -223,11 +238,14 @@ def _removed(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, whole_letters: bool = False
+) -> DataFrame:
     """``<id_col>, n_bytes, starts, ends, kept``: the removed runs of each whole text's UTF-8 bytes, and the bytes that stay.
 
     A byte goes if a window of ``length`` bytes covers it that also starts anywhere else in the table, the same text included;
     windows never cross texts and are judged on the input. Null and empty texts and those shorter than ``length`` stay whole.
+    With ``whole_letters``, what a cut leaves of a letter goes from ``kept`` too; everything else stays, byte by byte.
     Null and repeated ids are fine, each row is a text of its own; rows alike in id and text are copies of each other. Other
     columns are ignored. Runs jobs.
     """
@@ -236,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = ranges.groupBy("row").agg(F.collect_set(F.struct("first", "count")).alias("spans"))  # at most as long as the text
     kind = rows.schema["doc"].dataType.simpleString()
     shape = f"doc {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    return rows.join(lists, "row", "left").mapInArrow(_removed(length), shape).withColumnRenamed("doc", id_col)
+    return rows.join(lists, "row", "left").mapInArrow(_removed(length, whole_letters), shape).withColumnRenamed("doc", id_col)
 
 
 def digest(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:

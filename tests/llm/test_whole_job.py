@@ -88,3 +88,17 @@ def test_pipeline_keeps_all_rows_without_words(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars")
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect())
     assert got == Counter(rows[:7]) | Counter({(5, "\x1f"): 1, (6, "one two"): 1})
+
+
+def test_pipeline_keeps_all_signs_but_halved_letters(spark, sf_dir):
+    """Replacement signs of the input stay; a cut through a letter takes what is left of it; all column names are free."""
+    passage = "".join(f"é{i}~" for i in range(70))  # 200 bytes and more, beginning and ending inside a letter below
+    rows = [(1, "\ufffd begins, é" + passage + "ö\ufffd ends"), (2, "x ©" + passage + "õ y"), (3, "\ufffd alone \ufffd"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars", "1 as _score", "2 as _key", "3 as _row", "4 as _n", "5 as _text", "6 as _n_"
+    )
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, sf_dir).collect()}
+    # é and © share their last byte, ö and õ their first: on both sides a half goes with the passage and the other half with it.
+    assert got == {1: "\ufffd begins, \ufffd ends", 2: "x  y", 3: "\ufffd alone \ufffd", 4: None, 5: ""}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns, name
