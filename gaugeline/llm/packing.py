@@ -11,7 +11,6 @@ the end of a shard becomes sequences whose lengths are powers of two, which need
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import unicodedata
@@ -66,23 +65,35 @@ class Words:
     """Token ids of whole texts through the library, which sees each distinct piece of a worker once (up to ``KEEP`` kept)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # The same merges for pieces that are in normal form, small letters and split already.
-        plain = json.loads(self.library.to_str()) | {"normalizer": None, "added_tokens": []}
-        plain["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.merges = Tokenizer.from_str(json.dumps(plain))
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.path, self.loaded = path, None
+        # The merges alone, for pieces that are in normal form, small letters and split already.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.no_truncation()
+        self.merges.no_padding()
+        self.special = [t.content for t in self.merges.get_added_tokens_decoder().values()]
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.splitter = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
         self._forget()
 
+    @property
+    def library(self):
+        """The whole tokenizer, which only few texts need."""
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+            self.loaded.no_truncation()
+            self.loaded.no_padding()
+        return self.loaded
+
     def _forget(self):
-        """No Latin-1 piece is known: their numbers, and their ids one behind the other."""
-        self.number: dict[bytes, int] = {}
+        """No Latin-1 piece is known. Known are: hashes in order with the pieces' numbers; by number the signs and the ids, one piece behind the other."""
+        self.hashes, self.number = np.zeros(0, B.U), np.zeros(0, np.int64)
+        self.sign_first, self.length, self.signs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -119,30 +130,46 @@ class Words:
         hashes = B.span_hash(B.prefix_hash(data), starts, ends)
         _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
         length = ends - starts
-        if not (np.array_equal(length, length[sample][which]) and _same(data, starts, starts[sample][which], length)):
+        twin = starts[sample][which]
+        other = np.flatnonzero(starts != twin)
+        if not (np.array_equal(length, length[sample][which]) and _same(data, starts[other], data, twin[other], length[other])):
             return self._other([t.decode("latin-1") for t in texts])  # two pieces share a hash
-        signs = data.tobytes()
-        pieces = [signs[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
-        number = self._numbers(pieces)[which]
+        known = self._numbers(hashes[sample], data, starts[sample], length[sample])
+        if known is None:
+            return self._other([t.decode("latin-1") for t in texts])
+        number = known[which]
         size = self.size[number]
         ahead = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(self.first[number] - ahead[:-1], size) + np.arange(ahead[-1])].tobytes()
         cut = 2 * ahead[np.searchsorted(starts, begins)]
         return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
 
-    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """A number for each distinct piece; new ones are encoded."""
-        if len(self.number) + len(pieces) > KEEP:
+    def _numbers(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray | None:
+        """A number for each distinct piece, given by ascending hashes; new ones are encoded. None if a known piece of the same hash differs."""
+        if len(self.hashes) + len(hashes) > KEEP:
             self._forget()
-        new = [p for p in pieces if p not in self.number]
-        if new:
-            made = [e.ids for e in self.merges.encode_batch_fast([p.decode("latin-1") for p in new], add_special_tokens=False)]
-            size = np.array([len(m) for m in made], np.int64)
-            self.number.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-            self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
+        at = np.searchsorted(self.hashes, hashes)
+        found = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        found[inside] = self.hashes[at[inside]] == hashes[inside]
+        number = np.zeros(len(hashes), np.int64)
+        number[found] = self.number[at[found]]
+        old = number[found]
+        if not (np.array_equal(self.length[old], length[found]) and _same(data, starts[found], self.signs, self.sign_first[old], length[found])):
+            return None
+        new = np.flatnonzero(~found)
+        if len(new):
+            raw = data.tobytes()
+            pieces = [raw[a:b] for a, b in zip(starts[new].tolist(), (starts[new] + length[new]).tolist())]
+            made = [e.ids for e in self.merges.encode_batch_fast([p.decode("latin-1") for p in pieces], add_special_tokens=False)]
+            number[new] = len(self.size) + np.arange(len(new))
+            size, many = np.array([len(m) for m in made], np.int64), length[new]
+            self.hashes, self.number = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.number, at[new], number[new])
+            self.sign_first = np.concatenate((self.sign_first, len(self.signs) + np.cumsum(many) - many))
+            self.length, self.signs = np.concatenate((self.length, many)), np.concatenate((self.signs, np.frombuffer(b"".join(pieces), np.uint8)))
+            self.first, self.size = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size)), np.concatenate((self.size, size))
             self.ids = np.concatenate((self.ids, np.array([i for m in made for i in m], "<u2")))
-        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        return number
 
     def _other(self, texts: list[str]) -> list[bytes]:
         # The library lower-cases sign by sign, so a capital sigma never becomes a final one.
@@ -156,13 +183,11 @@ class Words:
         return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
 
 
-def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> bool:
-    """Whether all runs from ``a`` hold the same bytes as those of the same length from ``b``."""
-    other = np.flatnonzero(a != b)
-    a, b, length = a[other], b[other], length[other]
+def _same(data: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, length: np.ndarray) -> bool:
+    """Whether all runs of ``data`` from ``a`` hold the same bytes as those of the same length of ``others`` from ``b``."""
     before = np.cumsum(length) - length
     step = np.arange(int(length.sum()))
-    return np.array_equal(data[np.repeat(a - before, length) + step], data[np.repeat(b - before, length) + step])
+    return np.array_equal(data[np.repeat(a - before, length) + step], others[np.repeat(b - before, length) + step])
 
 
 _words: dict[str, Words] = {}

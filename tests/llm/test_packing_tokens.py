@@ -28,6 +28,9 @@ def test_two_pieces_with_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(packing.B, "span_hash", lambda p, a, b: (b - a).astype(np.uint64))
     got = own.encode(["one two six", "ten"])
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [own.library.encode(t, add_special_tokens=False).ids for t in ("one two six", "ten")]
+    # Also where the other piece came with an earlier block.
+    for t in ("one", "six", "seven", "one six"):
+        assert np.frombuffer(own.encode([t])[0], "<u2").tolist() == own.library.encode(t, add_special_tokens=False).ids
 
 
 def plain_order(lengths, terms, weights, window):
