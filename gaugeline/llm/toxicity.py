@@ -63,13 +63,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _apart(some: list[np.ndarray], every: list[np.ndarray]) -> list[np.ndarray]:
+def _texts_with(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All words in order with the number of texts that hold them; sorted in place, as the words of all fitting texts are many."""
+    words = np.concatenate(sets)
+    words.sort()
+    first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
+    return words[first], np.diff(np.append(first, len(words)))
+
+
+def _apart(some: list[np.ndarray], rare: np.ndarray) -> list[np.ndarray]:
     """One text of each group of copies, so that the words of a copied text do not count as often as it was copied.
 
     Texts are copies here if they share one of six pairs of minima over their rare words.
     """
-    words, n = np.unique(np.concatenate(every), return_counts=True)
-    rare = words[n <= max(2, len(every) // 100)]
     kept, seen = [], set()
     for s in some:
         at = np.minimum(np.searchsorted(rare, s), max(len(rare) - 1, 0))
@@ -90,9 +96,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     sets = positive + unlabelled
     if not positive or not unlabelled:
         return Model(np.zeros(0, B.U), np.zeros(0), bias)
-    positive, unlabelled = _apart(positive, sets), _apart(unlabelled, sets)
+    every, n = _texts_with(sets)
+    rare = every[n <= max(2, len(sets) // 100)]
+    positive, unlabelled = _apart(positive, rare), _apart(unlabelled, rare)
     sets = positive + unlabelled
-    every, n = np.unique(np.concatenate(sets), return_counts=True)
+    del rare
+    every, n = _texts_with(sets)
     marked = np.bincount(np.searchsorted(every, np.concatenate(positive)), minlength=len(every))
     share = n / len(sets)
     spread = np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled))) + 1e-9
@@ -154,9 +163,10 @@ def train(
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).where(remainder("doc", divisor) != held)
     part = min(1.0, unlabelled / max(rows.select("doc").count(), 1))
     some = rows.where(F.pmod(F.xxhash64("doc", F.lit("unlabelled")), F.lit(1 << 20)) < int(part * (1 << 20))).select("text", F.lit(0).alias("label"))
-    got = rows.join(chosen, "doc").select("text", "label").union(some).mapInArrow(_sets, "label int, words binary").toPandas()
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (got["label"].iat[i], got["words"].iat[i]))]  # the same order in every run
-    sets = [[np.frombuffer(x, B.U) for x in got["words"][got["label"] == v]] for v in (1, 0)]
+    got = rows.join(chosen, "doc").select("text", "label").union(some).mapInArrow(_sets, "label int, words binary").toArrow()
+    found = sorted(zip(got["label"].to_pylist(), got["words"].to_pylist()))  # the same order in every run
+    del got
+    sets = [[np.frombuffer(x, B.U) for label, x in found if label == v] for v in (1, 0)]
     return fit(sets[0], sets[1], prior)
 
 
