@@ -3,7 +3,9 @@
 An archive is a chain of gzip members, one per record. The reader walks it in order: it inflates in steps of ``STEP`` bytes,
 so it holds one record at a time, cuts the record by its Content-Length, and checks block and payload digests.
 
-Archives lie in the shared folder. A task writes its archives under names of its own and returns them as rows; only the
+Archives lie in the shared folder, which Arrow opens by itself. Of an ``s3a://`` folder it takes endpoint and region from the session's
+``spark.hadoop.fs.s3a.endpoint`` and ``.endpoint.region``, and credentials from the executors' environment or instance role; ``hdfs://``
+needs libhdfs there. A task writes its archives under names of its own and returns them as rows; only the
 rows of the tasks that Spark counted as done are kept, so a repeated or speculative task leaves nothing that is read.
 """
 
@@ -14,10 +16,11 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlencode
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.session import materialize, scratch_dir
@@ -81,13 +84,26 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+def s3_settings(spark: SparkSession) -> str:
+    """Endpoint and region of the session's S3 settings, as Arrow takes them behind an address."""
+    scheme, mark, host = spark.conf.get("spark.hadoop.fs.s3a.endpoint", "").rpartition("://")
+    given = {"endpoint_override": host, "scheme": scheme if mark else "", "region": spark.conf.get("spark.hadoop.fs.s3a.endpoint.region", "")}
+    return urlencode({k: v for k, v in given.items() if v})
 
 
-def _write(folder: str):
+def place(uri: str, settings: str = "") -> str:
+    """The address of a folder or file as Arrow spells it."""
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        return f"file://{uri}"
+    if scheme not in ("s3", "s3a", "s3n"):
+        return uri
+    return f"s3://{rest}?{settings}" if settings else f"s3://{rest}"
+
+
+def _write(folder: str, settings: str):
     def run(batches):
-        files, path = fs.FileSystem.from_uri(folder)
+        files, path = fs.FileSystem.from_uri(place(folder, settings))
         name, n, out = f"{path}/{uuid.uuid4().hex}.warc.gz", 0, None
         try:
             for batch in batches:
@@ -108,29 +124,32 @@ def _write(folder: str):
     return run
 
 
-def _read(batches):
-    for batch in batches:
-        for uri, records in zip(*(batch.column(c).to_pylist() for c in ("archive", "records"))):
-            files, path = _open(uri)
-            n, rows = 0, []
-            with files.open_input_stream(path, compression=None, buffer_size=STEP) as stream:
-                for raw in members(stream):
-                    fields, block = parse(raw)
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    kind, sha = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
-                    said = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-                    if kind == "response" and (len(body) != said or hashlib.sha256(body).hexdigest() != sha):
-                        raise ValueError("the payload does not match its digest")
-                    page, first = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
-                    rows.append((None if page is None else int(page), said, sha, kind, None if first is None else int(first), fields["warc-target-uri"], body if kind == "response" else None))
-                    n += 1
-                    if len(rows) == 256:
-                        yield _rows(rows)
-                        rows = []
-            if n != records:
-                raise ValueError(f"{uri} holds {n} records, not {records}")
-            if rows:
-                yield _rows(rows)
+def _read(settings: str):
+    def run(batches):
+        for batch in batches:
+            for uri, records in zip(*(batch.column(c).to_pylist() for c in ("archive", "records"))):
+                files, path = fs.FileSystem.from_uri(place(uri, settings))
+                n, rows = 0, []
+                with files.open_input_stream(path, compression=None, buffer_size=STEP) as stream:
+                    for raw in members(stream):
+                        fields, block = parse(raw)
+                        head, _, body = block.partition(b"\r\n\r\n")
+                        kind, sha = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
+                        said = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
+                        if kind == "response" and (len(body) != said or hashlib.sha256(body).hexdigest() != sha):
+                            raise ValueError("the payload does not match its digest")
+                        page, first = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
+                        rows.append((None if page is None else int(page), said, sha, kind, None if first is None else int(first), fields["warc-target-uri"], body if kind == "response" else None))
+                        n += 1
+                        if len(rows) == 256:
+                            yield _rows(rows)
+                            rows = []
+                if n != records:
+                    raise ValueError(f"{uri} holds {n} records, not {records}")
+                if rows:
+                    yield _rows(rows)
+
+    return run
 
 
 _SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -157,7 +176,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     marked = rows.withColumn("sha", sha).join(again, ["page", "sha"], "left").select("page", "url", "html", "sha", "first")
     folder = scratch_dir(pages.sparkSession, "warc")
     folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
-    return materialize(marked.mapInArrow(_write(folder), "archive string, records long"), "archives")
+    return materialize(marked.mapInArrow(_write(folder, s3_settings(pages.sparkSession)), "archive string, records long"), "archives")
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -166,4 +185,4 @@ def read(archives: DataFrame) -> DataFrame:
     One task reads whole archives from start to end. A damaged archive, a wrong digest or a missing record raises. A revisit has
     no payload; its length and digest are those of the full payload, as its HTTP header and record header give them.
     """
-    return archives.repartition(archives.sparkSession.sparkContext.defaultParallelism * 2, "archive").mapInArrow(_read, _SCHEMA)
+    return archives.repartition(archives.sparkSession.sparkContext.defaultParallelism * 2, "archive").mapInArrow(_read(s3_settings(archives.sparkSession)), _SCHEMA)
