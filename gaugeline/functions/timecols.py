@@ -26,10 +26,6 @@ def shift(ts: str | Column, seconds: int) -> Column:
     return F.timestamp_add("SECOND", F.lit(seconds).cast("bigint"), _col(ts))
 
 
-def day_start(ts: str | Column) -> Column:
-    return F.to_date(_col(ts)).cast("timestamp_ntz")
-
-
 def calendar_part(name: str, ts: str | Column) -> Column:
     """month, day, weekday (Monday = 0), hour, minute."""
     part = {"month": F.month, "day": F.dayofmonth, "weekday": F.weekday, "hour": F.hour, "minute": F.minute}

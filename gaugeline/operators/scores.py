@@ -36,9 +36,14 @@ def top_entities(df: DataFrame, entity: str, n: int = 40, exclude: tuple = ()) -
     return rows.groupBy(entity).agg(F.count("*").alias("n")).orderBy(F.desc("n"), entity).limit(n)
 
 
+def entity_names(df: DataFrame, entity: str, name: str) -> DataFrame:
+    """The distinct names of each entity, a row each; an entity may have any number of them."""
+    return df.select(entity, name).filter(F.col(name).isNotNull()).distinct()
+
+
 def joined_names(df: DataFrame, entity: str, name: str, alias: str = "names") -> DataFrame:
-    """All distinct names of an entity in one string, in sorted order."""
-    pairs = df.select(entity, name).filter(F.col(name).isNotNull()).distinct()
+    """All distinct names of an entity in one string, in sorted order: a view of ``entity_names`` for entities with few names."""
+    pairs = entity_names(df, entity, name)
     return pairs.groupBy(entity).agg(F.array_join(F.array_sort(F.collect_list(name)), "").alias(alias))
 
 

@@ -36,11 +36,11 @@ def _(spark, d):
 _PRICES = ["l_orderkey", "l_linenumber", "l_returnflag", "price"]
 
 
-def _texts(spark, d, bad: bool):
-    price = F.concat(F.lit(" "), F.format_number("l_extendedprice", 2))
+def _texts(spark, d, bad: bool, readable: str | None = None):
+    whole = price = F.concat(F.lit(" "), F.format_number("l_extendedprice", 2))
     if bad:
         price = F.when(F.col("l_returnflag") == "N", F.lit("n/a")).otherwise(price)
-    return table(spark, d, "lineitem").withColumn("price", price).select(_PRICES)
+    return table(spark, d, "lineitem").withColumn("price", price).select(*_PRICES, *([whole.alias(readable)] if readable else []))
 
 
 @query(
@@ -58,11 +58,13 @@ def _(spark, d):
 
 @query(
     "b3_numbers_keep_column",
-    """SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag = 'N' THEN 'n/a' ELSE 'number' END AS price FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag = 'N' THEN 'n/a' ELSE ' ' || format('{:,.2f}', l_extendedprice) END AS price,
+      round(l_extendedprice, 2) AS clean_price FROM lineitem""",
 )
 def _(spark, d):
-    kept = clean.to_numbers(_texts(spark, d, True), ["price"], "keep_column")
-    return kept.withColumn("price", F.when(F.col("price") == "n/a", "n/a").otherwise("number"))
+    # Of two columns of texts the one with an unreadable value stays as it was, blanks and commas included.
+    texts = _texts(spark, d, True, "clean_price")
+    return rounded(clean.to_numbers(texts, ["price", "clean_price"], "keep_column"), 2)
 
 
 @query("b4_parse_time", "SELECT date_trunc('minute', ts) AS ts, event_id FROM events")

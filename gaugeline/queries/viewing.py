@@ -135,6 +135,27 @@ def _(spark, d):
     return wide.select("entity", "ts", F.col("busy_hour")["actual"].alias("actual"))
 
 
+# Series that begin many a day with hours of zero or without a value, where the running comparison is not the highest score.
+_GAPS = "CASE WHEN day(ts) % 3 = 1 AND hour(ts) < 8 THEN 0.0 WHEN day(ts) % 3 = 2 AND hour(ts) < 5 THEN NULL ELSE {} END"
+
+
+def _running(series: str) -> str:
+    return f"list_reduce(list({{'s': {series}, 'h': h}} ORDER BY h), lambda a, x: CASE WHEN a.s = 0 OR x.s > a.s THEN x ELSE a END)"
+
+
+@query("d10_busy_hour_running_gaps", f"""WITH {NAIVE}, gaps AS (SELECT entity, ts, {_GAPS.format("predict")} AS p, {_GAPS.format("actual")} AS a FROM pred),
+    fwd AS (SELECT entity, CAST(ts AS DATE) AS day, hour(ts) AS h, avg(p) OVER w AS fp, avg(a) OVER w AS fa FROM gaps
+      WINDOW w AS (PARTITION BY entity, CAST(ts AS DATE) ORDER BY ts ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+    best AS (SELECT entity, day, {_running("fp")} AS p, {_running("fa")} AS a FROM fwd GROUP BY ALL)
+    SELECT entity, CAST(day AS TIMESTAMP) AS ts, CAST(p.h AS DOUBLE) AS predict, CAST(a.h AS DOUBLE) AS actual, round(p.s, 6) AS predict_mean, round(a.s, 6) AS actual_mean
+    FROM best""")
+def _(spark, d):
+    pred = naive_predictions(spark, d).withColumns({c: F.expr(_GAPS.format(c)) for c in ("predict", "actual")})
+    hour, mean = F.col("busy_hour"), F.col("busy_avg")
+    wide = views.daily(pred, views=["busy_hour", "busy_avg"], mode="reference")
+    return rounded(wide.select("entity", "ts", hour["predict"].alias("predict"), hour["actual"].alias("actual"), mean["predict"].alias("predict_mean"), mean["actual"].alias("actual_mean")))
+
+
 @query("d12_original_view", f"WITH {NAIVE} SELECT entity, 'original' AS view, ts, round(predict, 6) AS predict, round(actual, 6) AS actual FROM pred")
 def _(spark, d):
     return rounded(views.build(naive_predictions(spark, d), views=["original"]))
@@ -241,6 +262,11 @@ def _(spark, d):
     return scores.joined_names(events(spark, d), "user_id", ENTITY)
 
 
+@query("d17_entity_names", "SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS name FROM events WHERE user_id IS NOT NULL")
+def _(spark, d):
+    return scores.entity_names(events(spark, d).withColumn("name", F.col("user_id").cast("string")), ENTITY, "name")
+
+
 @query(
     "d18_run_statistics",
     "SELECT count(*) AS rows, count(DISTINCT user_id) AS entities, min(ts) AS first_ts, max(ts) AS last_ts FROM events",
