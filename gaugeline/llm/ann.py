@@ -51,11 +51,11 @@ def balanced_kmeans(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
     def means(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         centre = rows[rng.choice(len(rows), k, replace=False)]
         for _ in range(8):
-            home = _distance(rows, centre).argmin(1)
+            home = _nearest(rows, centre)
             total, n = np.zeros_like(centre), np.bincount(home, minlength=k)
             np.add.at(total, home, rows)
             centre = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], rows[rng.choice(len(rows), k)])
-        return centre, _distance(rows, centre).argmin(1)
+        return centre, _nearest(rows, centre)
 
     centre, home = means(x, k)
     todo, out = [x[home == i] for i in range(k)], []
@@ -76,6 +76,11 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
 
 
+def _nearest(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Number of the nearest centroid of each row, in parts, as a row per vector and a column per centroid would be large."""
+    return np.concatenate([_distance(rows[part : part + V.PART], centre).argmin(1) for part in range(0, len(rows), V.PART)])
+
+
 @dataclass
 class Graph:
     """Centroids, each with edges to near centroids, to some that it is near to, and two to places far off."""
@@ -172,7 +177,7 @@ def ratio_of(sample: np.ndarray, top: float, graph: Graph, k: int, seed: int = 7
         return 1.0
     near = np.argpartition(-score, k - 1, axis=1)[:, :k]
     some, back = np.unique(near, return_inverse=True)
-    lists = lists_of(lift(sample[some], top), graph)
+    lists = [c for part in range(0, len(some), V.PART) for c in lists_of(lift(sample[some[part : part + V.PART]], top), graph)]
     dist = np.sqrt(_distance(lift(sample[asked], top, query=True), graph.centre))
     ref = np.maximum(_reference(np.sort(dist, axis=1)), 1e-12)
     back = back.reshape(near.shape)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeline.session import materialize
 
 SAMPLE = 20_000  # vectors used to place centroids, at most
+PART = 512  # of them that are compared with all centroids at once
 
 
 def _packed(batches):
@@ -54,7 +55,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     k = min(k, len(x))
     centre = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        home = (x @ centre.T).argmax(1)
+        home = np.concatenate([(x[part : part + PART] @ centre.T).argmax(1) for part in range(0, len(x), PART)])
         total = np.zeros_like(centre)
         np.add.at(total, home, x)
         empty = np.bincount(home, minlength=k) == 0
