@@ -5,8 +5,9 @@ cell that may hold a vector within the angle: with home centroid ``h``, limit an
 on c's side of the plane between the centroids, so a vector ``b`` can only be near it if ``b . (c - h) >= -sin(t) * |c - h|``. Each home vector
 is compared with all vectors that are at home in its cell or visit it, so all links are found, at any size.
 
-Cells are dealt out in pairs of blocks, a bounded number of vectors per task. A pair of blocks gives the number of links per
-home vector and a spanning forest of its links, never the pairs.
+Cells are dealt out in pairs of blocks, a bounded number of vectors per task; the larger the blocks, the fewer copies of a vector
+cross. A pair of blocks is compared tile by tile and gives the number of links per home vector and a spanning forest of its links,
+never the pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from gaugeline.llm import links
 from gaugeline.llm import vectors as V
 from gaugeline.session import materialize
 
-BLOCK = 1024
+BLOCK, TILE = 8192, 1024  # vectors on a side of a pair of blocks at most, and of what is compared at once
+SIDES = 8  # blocks that all vectors make at least, if they are not below a tile
 CELLS = 4096  # at most; with more vectors cells have more blocks
 
 
@@ -42,9 +44,8 @@ def centroids(sample: np.ndarray, n: int, least: float) -> np.ndarray:
     k = max(1, min(CELLS, int(np.sqrt(n)), len(x) // 8))
     while True:
         centre = V.spherical_kmeans(x, k)
-        _, there = visits(x, centre, least)
-        share = np.bincount(np.nonzero(there)[1], minlength=len(centre)) / len(x)
-        work = float((there @ share).mean()) * n + 4 * len(centre)  # comparisons where it is looked up, and with centroids
+        share = sum(visits(x[part : part + V.PART], centre, least)[1].sum(0) for part in range(0, len(x), V.PART)) / len(x)
+        work = float(share @ share) * n + 4 * len(centre)  # comparisons where it is looked up, and with centroids
         if best is None or work < best[0]:
             best = (work, centre)
         if k == 1:
@@ -96,18 +97,25 @@ def _compared(least: float):
         if not len(asks) or not len(there):
             return empty
         own, other = asks["node"].to_numpy(), there["node"].to_numpy()
-        near = (V.matrix(asks["vector"].tolist()) @ V.matrix(there["vector"].tolist()).T >= least) & (own[:, None] != other)
-        n = near @ there["copies"].to_numpy()
-        row, col = forest(near)
-        a, b = row < len(other), col < len(other)
-        return pd.DataFrame({
-            "a": np.concatenate((own[a], other[b])), "b": np.concatenate((other[row[a]], other[col[b]])), "n": np.concatenate((n[a], np.zeros(int(b.sum()), np.int64))),
-        })
+        x, y, copies = V.matrix(asks["vector"].tolist()), V.matrix(there["vector"].tolist()), there["copies"].to_numpy()
+        n, edges = np.zeros(len(own), np.int64), []
+        for i in range(0, len(own), TILE):
+            for j in range(0, len(other), TILE):
+                u, v = own[i : i + TILE], other[j : j + TILE]
+                near = (x[i : i + TILE] @ y[j : j + TILE].T >= least) & (u[:, None] != v)
+                if near.any():
+                    n[i : i + TILE] += near @ copies[j : j + TILE]
+                    row, col = forest(near)
+                    a, b = row < len(v), col < len(v)
+                    edges += [(u[a], v[row[a]]), (v[b], v[col[b]])]
+        linked = n > 0
+        a, b = (np.concatenate([e[side] for e in edges] or [np.zeros(0, np.int64)]) for side in (0, 1))
+        return pd.DataFrame({"a": np.concatenate((own[linked], a)), "b": np.concatenate((own[linked], b)), "n": np.concatenate((n[linked], np.zeros(len(a), np.int64)))})
 
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, block: int = BLOCK) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, block: int | None = None) -> DataFrame:
     """``<id_col>, n_links, component_id, kept``, one row per input row.
 
     Two vectors are linked if their cosine, in double precision, is at least ``least``; ``n_links`` counts the other rows linked directly,
@@ -118,6 +126,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors = materialize(V.packed(df, id_col, vector_col), "vectors")
     classes = V.classes_of(vectors)
     n = classes.count()
+    block = block or max(TILE, min(BLOCK, -(-n // SIDES)))
     centre = {dim: centroids(x, n, least) for dim, x in V.sample(classes).items()}
     placed = classes.select("node", "vector", "copies").mapInArrow(_placed(centre, least), "cell long, home boolean, node long, copies long, vector binary")
     placed = materialize(placed, "cells")
