@@ -204,5 +204,5 @@ def sparse_strings(weights: DataFrame, key: str, digits: int = 6) -> DataFrame:
     """``term:weight`` pairs of a document in term order, separated by blanks."""
     pair = F.concat(F.col("term"), F.lit(":"), F.format_string(f"%.{digits}f", F.col("weight")))
     rows = weights.filter(F.col("weight") != 0).groupBy(key)
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct("term", pair.alias("pair")))).alias("pairs"))
-    return packed.select(key, F.array_join(F.transform("pairs", lambda p: p["pair"]), " ").alias("vector"))
+    packed = rows.agg(F.sort_array(F.collect_list(F.struct("term", pair.alias("pair")))).alias("pairs"))
+    return packed.select(key, F.array_join("pairs.pair", " ").alias("vector"))
