@@ -12,7 +12,6 @@ the end of a shard becomes sequences whose lengths are powers of two, which need
 from __future__ import annotations
 
 import re
-import struct
 import unicodedata
 import zlib
 
@@ -31,21 +30,22 @@ from gaugeline.session import materialize
 WINDOW, SHARD = 4096, 1 << 20
 K1, SLOPE = 1.2, 0.75
 END_OF_DOCUMENT = 2
-KEEP = 700_000
+KEEP, TOGETHER = 700_000, 100
 # Fixed value: the splitting pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-# By Latin-1 sign, small letters only: 0 space, 1 letter, 2 number, 3 other; a piece is a run of letters or of others, or one number.
-_SMALL = np.frombuffer(bytes(range(256)).decode("latin-1").lower().encode("latin-1"), np.uint8)
-_KIND = np.array([0 if c in "\t\n\x0b\x0c\r \x85\xa0" else 1 if re.match("[A-Za-zªµºÀ-ÖØ-öø-ÿ]", c) else 2 if re.match("[0-9²³¹¼-¾]", c) else 3 for c in map(chr, range(256))], np.uint8)
+# By Latin-1 sign: the small letter, and the kind of it: 0 space, 1 letter, 2 number, 3 other; a piece is a run of letters or of others, or one number.
+_SMALL = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+_KIND = bytes(0 if c in "\t\n\x0b\x0c\r \x85\xa0" else 1 if re.match("[A-Za-zªµºÀ-ÖØ-öø-ÿ]", c) else 2 if re.match("[0-9²³¹¼-¾]", c) else 3 for c in map(chr, range(256)))
 
 
-def split_latin(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_latin(signs: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every piece of small Latin-1 signs that end in a space; what ``PATTERN`` finds in them."""
-    kind = _KIND[data]
-    before = np.concatenate(([np.uint8(0)], kind[:-1]))
-    start = (kind != 0) & ((kind == 2) | (kind != before))
+    data, kind = np.frombuffer(signs, np.uint8), np.frombuffer(signs.translate(_KIND), np.uint8)
+    space = kind == 0
+    start = ~space
+    start[1:] &= (kind[1:] == 2) | (kind[1:] != kind[:-1])
     # An apostrophe alone between a sign of another kind and one of these endings takes the ending along.
     tick = np.flatnonzero(start & (data == 39))
     ahead = np.concatenate((data, np.zeros(3, np.uint8)))
@@ -55,12 +55,99 @@ def split_latin(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for some, more in ((tick[single], 1), (tick[double], 2)):
         start[some + 1] = False
         behind = some + 1 + more
-        start[behind] = kind[behind] != 0  # letters behind the ending are a piece of their own, other signs are anyway
-    edge = np.flatnonzero(start | (kind == 0))
+        start[behind] = ~space[behind]  # letters behind the ending are a piece of their own, other signs are anyway
+    edge = np.flatnonzero(start | space)
     first = start[edge]
     return edge[first], edge[1:][first[:-1]]
 
 
+_SHORT, _LONG = 7, 64
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], B.U)
+_ODD = B.U(0x9E3779B97F4A7C15)
+
+
+def piece_hash(signs: bytes, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hash of pieces of more than ``_SHORT`` signs."""
+    eight = np.ndarray(len(signs) + 1, "<u8", signs + bytes(8), strides=(1,))  # the eight signs from each place on
+    out = (eight[starts] ^ length.astype(B.U)) * _ODD
+    for done in range(8, _LONG, 8):
+        more = np.flatnonzero(length > done)
+        if not len(more):
+            break
+        x = out[more]
+        out[more] = (x ^ (x >> B.U(29)) ^ (eight[starts[more] + done] & _MASK[np.minimum(length[more] - done, 8)])) * _ODD
+    far = np.flatnonzero(length > _LONG)
+    out[far] = [hash(signs[a:b]) & 0xFFFFFFFFFFFFFFFF for a, b in zip(starts[far].tolist(), (starts[far] + length[far]).tolist())]
+    return out ^ (out >> B.U(32))
+
+
+def piece_keys(signs: bytes, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number above 0 for each piece: its length and signs up to ``_SHORT`` signs, so only those of longer pieces can be alike for different ones."""
+    eight = np.ndarray(len(signs) + 1, "<u8", signs + bytes(8), strides=(1,))
+    keys = (eight[starts] & _MASK[np.minimum(length, _SHORT)]) | (length.astype(B.U) << B.U(56))
+    more = np.flatnonzero(length > _SHORT)
+    keys[more] = piece_hash(signs, starts[more], length[more]) | B.U(1 << 63)
+    return keys
+
+
+class Places:
+    """Numbers above 0 by key, for many keys at once: a table of slots, of which at most half are taken."""
+
+    def __init__(self):
+        self.keys, self.numbers, self.taken = np.zeros(1 << 12, B.U), np.zeros(1 << 12, np.int32), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        x = keys ^ (keys >> B.U(31))
+        return ((x * _ODD) >> B.U(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, 0 if it has none."""
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.numbers[slots], 0)
+        open_ = np.flatnonzero((there != keys) & (there != 0))
+        slots = slots[open_]
+        while len(open_):
+            slots = (slots + 1) & (len(self.keys) - 1)
+            there = self.keys[slots]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.numbers[slots[hit]]
+            go = ~hit & (there != 0)
+            open_, slots = open_[go], slots[go]
+        return out
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Different keys that are not here yet."""
+        self.taken += len(keys)
+        if 2 * self.taken > len(self.keys):
+            old = self.numbers != 0
+            keys, numbers = np.concatenate((self.keys[old], keys)), np.concatenate((self.numbers[old], numbers))
+            size = 1 << (2 * self.taken).bit_length()
+            self.keys, self.numbers = np.zeros(size, B.U), np.zeros(size, np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.numbers[slots] == 0
+            self.numbers[slots[free]] = numbers[free]
+            won = self.numbers[slots] == numbers  # one of those that want the same slot
+            self.keys[slots[won]] = keys[won]
+            keys, numbers, slots = keys[~won], numbers[~won], (slots[~won] + 1) & (len(self.keys) - 1)
+
+
+class Row:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.all, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.all):
+            wider = np.zeros(1 << (self.n + len(values)).bit_length(), self.all.dtype)
+            wider[: self.n] = self.all[: self.n]
+            self.all = wider
+        self.all[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Words:
     """Token ids of whole texts through the library, which sees each distinct piece of a worker once (up to ``KEEP`` kept)."""
 
@@ -74,7 +161,10 @@ class Words:
         self.merges.no_padding()
         self.special = [t.content for t in self.merges.get_added_tokens_decoder().values()]
         self.merges.normalizer = normalizers.Sequence([])
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Pieces come many to a text, a line's end between them. A piece's last token alone has the suffix, if the vocabulary has one.
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, self.last = self.merges.model.end_of_word_suffix, np.zeros(1 << 16, bool)
+        self.last[[i for t, i in self.merges.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
         self.splitter = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
         self._forget()
@@ -91,10 +181,12 @@ class Words:
         return self.loaded
 
     def _forget(self):
-        """No Latin-1 piece is known. Known are: hashes in order with the pieces' numbers; by number the signs and the ids, one piece behind the other."""
-        self.hashes, self.number = np.zeros(0, B.U), np.zeros(0, np.int64)
-        self.sign_first, self.length, self.signs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        """No Latin-1 piece is known. Known are, by number: the signs and the ids, one piece behind the other; number 0 is none."""
+        self.places, self.pieces = Places(), 0
+        self.sign_first, self.length, self.signs = Row(np.int64), Row(np.int64), Row(np.uint8)
+        self.first, self.size, self.ids = Row(np.int64), Row(np.int64), Row("<u2")
+        for row in (self.sign_first, self.length, self.first, self.size):
+            row.add(np.zeros(1, np.int64))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers (the vocabulary has fewer than 65,536 entries)."""
@@ -121,56 +213,60 @@ class Words:
     def _latin(self, texts: list[bytes]) -> list[bytes]:
         if not texts:
             return []
-        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        data = _SMALL[raw]
-        starts, ends = split_latin(data)
+        signs = (b"\n".join(texts) + b"\n").translate(_SMALL)
+        starts, ends = split_latin(signs)
         begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         if not len(starts):
             return [b""] * len(texts)
-        hashes = B.span_hash(B.prefix_hash(data), starts, ends)
-        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
         length = ends - starts
-        twin = starts[sample][which]
-        other = np.flatnonzero(starts != twin)
-        if not (np.array_equal(length, length[sample][which]) and _same(data, starts[other], data, twin[other], length[other])):
+        number = self._numbers(signs, starts, length)
+        long = np.flatnonzero(length > _SHORT)
+        piece, many = number[long], length[long]
+        if not (np.array_equal(self.length.all[piece], many) and _same(np.frombuffer(signs, np.uint8), starts[long], self.signs.all, self.sign_first.all[piece], many)):
             return self._other([t.decode("latin-1") for t in texts])  # two pieces share a hash
-        known = self._numbers(hashes[sample], data, starts[sample], length[sample])
-        if known is None:
-            return self._other([t.decode("latin-1") for t in texts])
-        number = known[which]
-        size = self.size[number]
-        ahead = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.repeat(self.first[number] - ahead[:-1], size) + np.arange(ahead[-1])].tobytes()
+        size = self.size.all[number]
+        ahead = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        ids = self.ids.all[np.repeat(self.first.all[number] - ahead[:-1], size) + np.arange(ahead[-1])].tobytes()
         cut = 2 * ahead[np.searchsorted(starts, begins)]
         return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
 
-    def _numbers(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray | None:
-        """A number for each distinct piece, given by ascending hashes; new ones are encoded. None if a known piece of the same hash differs."""
-        if len(self.hashes) + len(hashes) > KEEP:
+    def _numbers(self, signs: bytes, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """A number for each piece, the same for the same key; those of new keys are encoded."""
+        keys = piece_keys(signs, starts, length)
+        number = self.places.find(keys)
+        new = np.flatnonzero(number == 0)
+        if not len(new):
+            return number
+        fresh, sample, which = np.unique(keys[new], return_index=True, return_inverse=True)
+        if self.pieces and self.pieces + len(fresh) > KEEP:
             self._forget()
-        at = np.searchsorted(self.hashes, hashes)
-        found = np.zeros(len(hashes), bool)
-        inside = at < len(self.hashes)
-        found[inside] = self.hashes[at[inside]] == hashes[inside]
-        number = np.zeros(len(hashes), np.int64)
-        number[found] = self.number[at[found]]
-        old = number[found]
-        if not (np.array_equal(self.length[old], length[found]) and _same(data, starts[found], self.signs, self.sign_first[old], length[found])):
-            return None
-        new = np.flatnonzero(~found)
-        if len(new):
-            raw = data.tobytes()
-            pieces = [raw[a:b] for a, b in zip(starts[new].tolist(), (starts[new] + length[new]).tolist())]
-            made = [e.ids for e in self.merges.encode_batch_fast([p.decode("latin-1") for p in pieces], add_special_tokens=False)]
-            number[new] = len(self.size) + np.arange(len(new))
-            size, many = np.array([len(m) for m in made], np.int64), length[new]
-            self.hashes, self.number = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.number, at[new], number[new])
-            self.sign_first = np.concatenate((self.sign_first, len(self.signs) + np.cumsum(many) - many))
-            self.length, self.signs = np.concatenate((self.length, many)), np.concatenate((self.signs, np.frombuffer(b"".join(pieces), np.uint8)))
-            self.first, self.size = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size)), np.concatenate((self.size, size))
-            self.ids = np.concatenate((self.ids, np.array([i for m in made for i in m], "<u2")))
+            return self._numbers(signs, starts, length)
+        sample = new[sample]
+        begin, many, text = starts[sample], length[sample], signs.decode("latin-1")
+        pieces = [text[a:b] for a, b in zip(begin.tolist(), (begin + many).tolist())]
+        ids, size = self._encode_pieces(pieces)
+        numbers = np.arange(self.pieces + 1, self.pieces + 1 + len(fresh), dtype=np.int32)
+        self.pieces += len(fresh)
+        self.places.put(fresh, numbers)
+        number[new] = numbers[which]
+        self.sign_first.add(self.signs.n + np.cumsum(many) - many)
+        self.length.add(many)
+        self.signs.add(np.frombuffer("".join(pieces).encode("latin-1"), np.uint8))
+        self.first.add(self.ids.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.ids.add(ids)
         return number
 
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one piece behind the other, and how many each has. ``TOGETHER`` pieces are one text to the library, as each call and result costs more than a piece."""
+        texts = ["\n".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, "<u2") for e in self.merges.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(pieces) and ends[-1] == len(ids):
+            return ids, np.diff(ends, prepend=0)
+        made = [e.ids for e in self.merges.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for m in made for i in m], "<u2"), np.array([len(m) for m in made], np.int64)
+
     def _other(self, texts: list[str]) -> list[bytes]:
         # The library lower-cases sign by sign, so a capital sigma never becomes a final one.
         pieces = [self.splitter.findall(unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()) for t in texts]
@@ -178,8 +274,11 @@ class Words:
         if len(self.known) + len(new) > KEEP:
             self.known.clear()
             new = {w for p in pieces for w in p}
-        for w, e in zip(new, self.merges.encode_batch_fast(list(new), add_special_tokens=False) if new else []):
-            self.known[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+        if new:
+            made = list(new)
+            ids, size = self._encode_pieces(made)
+            run, ends = ids.tobytes(), 2 * np.cumsum(size)
+            self.known.update((w, run[a:b]) for w, a, b in zip(made, (ends - 2 * size).tolist(), ends.tolist()))
         return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
 
 
@@ -257,10 +356,11 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]
     n = len(lengths)
     # The inverted index: postings (document, weight), those of a term one behind the other. Those of used documents are
     # taken out once half of the documents are used.
-    doc, term = np.repeat(np.arange(n), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64)
+    term = np.concatenate(terms)
     order = np.argsort(term, kind="stable")
-    doc, term, weight = doc[order], term[order], np.concatenate(weights)[order]
-    first = np.searchsorted(term, np.arange(int(term[-1]) + 2))
+    doc, term, weight = np.repeat(np.arange(n), [len(t) for t in terms])[order], term[order], np.concatenate(weights)[order]
+    first = np.concatenate(([0], np.cumsum(np.bincount(term))))
+    steps = np.arange(len(doc))
     present = n
     left, at = lengths.astype(np.int64).copy(), np.zeros(n, np.int64)
     out = []
@@ -291,9 +391,13 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]
             if 2 * unused.sum() < present:
                 entries = unused[doc]
                 doc, term, weight, present = doc[entries], term[entries], weight[entries], int(unused.sum())
-                first = np.searchsorted(term, np.arange(len(first)))
-            lists = [slice(first[t], first[t + 1]) for t in terms[seed].tolist()]
-            score = np.bincount(np.concatenate([doc[p] for p in lists]), np.concatenate([weight[p] for p in lists]), n)
+                first = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(first) - 1))))
+            begin = first[terms[seed]]
+            many = first[terms[seed] + np.int64(1)] - begin
+            ahead = np.cumsum(many)
+            posting = np.repeat(begin - ahead + many, many)
+            posting += steps[: len(posting)]
+            score = np.bincount(doc[posting], weight[posting], n)
             near = np.flatnonzero((score > 0) & unused)
             near = near[np.argsort(-score[near], kind="stable")]
             at_near = 0
@@ -397,15 +501,18 @@ def _shard(idf: np.ndarray, mean: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = [np.frombuffer(x, "<u2") for x in rows["ids"]]
         starts, tokens, names = rows["start"].to_numpy(), rows["doc_tokens"].to_numpy(), rows["doc"]
-        terms, weights = [], []
-        for x in ids:
-            x = np.sort(x)
-            ends = np.append(np.flatnonzero(x[1:] != x[:-1]), len(x) - 1)
-            t, tf = x[ends], np.diff(ends, prepend=-1)
-            terms.append(t)
-            weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - SLOPE + SLOPE * len(x) / mean)))
+        # The terms of all pieces and how often each has them, piece by piece.
+        size = np.array([len(x) for x in ids], np.int64)
+        kind = np.uint32 if len(ids) <= 1 << 16 else np.int64  # the narrow one is sorted faster
+        x = np.sort(np.repeat(np.arange(len(ids), dtype=kind) << kind(16), size) | np.concatenate(ids))
+        ends = np.append(np.flatnonzero(x[1:] != x[:-1]), len(x) - 1)
+        tf, x = np.diff(ends, prepend=-1), x[ends]
+        own, t = (x >> kind(16)).astype(np.int64), x.astype(np.uint16)  # the lower bits are the term
+        weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - SLOPE + SLOPE * size[own] / mean))
+        cut = np.searchsorted(own, np.arange(len(ids) + 1)).tolist()
+        terms, weights = [t[a:b] for a, b in zip(cut, cut[1:])], [weight[a:b] for a, b in zip(cut, cut[1:])]
         out = []
-        for k, row in enumerate(pack(np.array([len(x) for x in ids]), terms, weights)):
+        for k, row in enumerate(pack(size, terms, weights)):
             offset = 0
             for d, start, size in row:
                 out.append((d, int(starts[d]) + start, size, crc(ids[d][start : start + size]), int(tokens[d]), (int(key[0]) << 20) + k, offset))

@@ -33,6 +33,80 @@ def test_two_pieces_with_one_hash_are_told_apart(monkeypatch):
         assert np.frombuffer(own.encode([t])[0], "<u2").tolist() == own.library.encode(t, add_special_tokens=False).ids
 
 
+def test_long_pieces_with_one_hash_are_told_apart(monkeypatch):
+    own = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "piece_hash", lambda signs, starts, length: length.astype(np.uint64))
+    # In one text, in one block, with an earlier block, and alone.
+    for texts in (["elephants crocodile"], ["anteater", "aardvark"], ["crocodile"], ["elephants one"], ["antelope seven"], ["elephants"]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_of_all_lengths_equal_the_library():
+    """Lengths around those that the keys tell apart (7, 8, 64), alike but for one sign or the length, with zero bytes; capitals, other scripts."""
+    own = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    texts = ["\x00", "\x00\x00", "\x00" * 8, "!\x00", "!"]
+    for n in (1, 6, 7, 8, 9, 15, 16, 17, 63, 64, 65, 72, 130, 5000):
+        word = "".join(rng.choice("abcdeé") for _ in range(n))
+        texts += [word, word + "x", "x" + word[1:], word[:-1] + "x", word.upper(), "=" * n, word + " " + word[: n // 2], word + " мир " + word]
+    want = [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+    for some in ([texts], [[t] for t in texts], [texts[::-1]]):
+        got = [np.frombuffer(x, "<u2").tolist() for part in some for x in own.encode(part)]
+        assert got == (want[::-1] if some[0][0] == texts[-1] else want)
+
+
+def test_keys_keep_their_numbers():
+    rng = np.random.default_rng(2)
+    places, plain = packing.Places(), {}
+    for n in (0, 5, 3000, 40_000):
+        some = np.unique(np.concatenate((rng.integers(1, 1 << 63, n, dtype=np.uint64), np.arange(1, n + 1, dtype=np.uint64) << np.uint64(56))))
+        some = some[[k not in plain for k in some.tolist()]] if n else some
+        number = np.arange(len(plain) + 1, len(plain) + 1 + len(some), dtype=np.int32)
+        places.put(some, number)
+        plain.update(zip(some.tolist(), number.tolist()))
+        asked = np.concatenate((np.array(list(plain), np.uint64), rng.integers(1, 1 << 63, 1000, dtype=np.uint64)))
+        assert places.find(asked).tolist() == [plain.get(k, 0) for k in asked.tolist()] and 2 * len(plain) <= len(places.keys)
+
+
+def test_new_pieces_go_to_the_library_many_at_a_time():
+    """A call for each new piece was a third of the time of encoding."""
+    own = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    seen = []
+
+    class Counted:
+        def __init__(self, merges):
+            self.merges = merges
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.merges.encode_batch_fast(texts, **more)
+
+    own.merges = Counted(own.merges)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("aeinorst", k=9)) for _ in range(3000)]
+    for texts in ([" ".join(words)], ["мир " + " ".join(w + "ш" for w in words)]):
+        seen.clear()
+        got = own.encode(texts)
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(seen) < 100
+        own.encode(texts)
+        assert len(seen) < 100
+
+
+def test_a_vocabulary_without_suffix(tmp_path):
+    """Where no token tells a piece's end, the pieces are encoded one by one."""
+    import json
+
+    file = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    signs = [t for t in file["model"]["vocab"] if len(t) == 1]
+    file["model"] |= {"end_of_word_suffix": None, "merges": [["a", "b"]], "vocab": {t: i for i, t in enumerate([*signs, "ab"])}}
+    file["added_tokens"] = []
+    (tmp_path / "plain.json").write_text(json.dumps(file), encoding="utf-8")
+    own = packing.Words(str(tmp_path / "plain.json"))
+    texts = ["abba cab don't", "", "cab, ab", "éa мab"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def plain_order(lengths, terms, weights, window):
     """The first window of a shard, every piece scored one by one."""
     seed = max(range(len(lengths)), key=lambda d: (lengths[d], -d))
