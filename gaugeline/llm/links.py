@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.session import materialize
+from gaugeline.session import materialize, owning, release, scratch_of
 
 SMALL, BLOCK = 16, 1024
 
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every step hangs neighbours to the smallest one known, so the number of
     rounds grows with the logarithm of a chain's length. Sums are combined before each shuffle; the joins are plain
-    equi-joins, which adaptive execution splits where one node has many links. Runs jobs. No edges: no rows.
+    equi-joins, which adaptive execution splits where one node has many links. A step's links are deleted after the next one.
+    Runs jobs. No edges: no rows.
     """
     now = materialize(_ordered(edges), "links")
     mark = _mark(now)
@@ -32,12 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        before, now = now, materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        release(before)
         after = _mark(now)
         if after == mark:
             break
         mark = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return owning(roots, scratch_of(now))
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

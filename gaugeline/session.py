@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,4 +43,39 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return owning(spark.read.schema(df.schema).parquet(path), path)
+
+
+def owning(df: DataFrame, path: str | None) -> DataFrame:
+    """Notes that ``df`` reads ``path`` of the shared folder."""
+    df._scratch_path = path
+    return df
+
+
+def scratch_of(df: DataFrame) -> str | None:
+    return df.__dict__.get("_scratch_path")
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = scratch_of(df)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Queries that end within leave no shuffle files, which else stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
